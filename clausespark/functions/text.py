@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from clausespark import constants as K
 
-_EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _col(value: Column | str) -> Column:
@@ -122,7 +123,11 @@ def lower_squeeze(value: Column | str) -> Column:
 
 
 # --------------------------------------------------------------- token lists
-_STEM_STEP = f"(?<={K.TOKEN_CHARS}{{4}})(?:{'|'.join(K.SUFFIXES)})(?!{K.TOKEN_CHARS})"
+# The leading lookahead rejects most positions before the wider lookbehind is tried.
+_STEM_FIRST = "".join(sorted({s[0] for s in K.SUFFIXES}))
+_STEM_STEP = (
+    f"(?=[{_STEM_FIRST}])(?<={K.TOKEN_CHARS}{{4}})(?:{'|'.join(K.SUFFIXES)})(?!{K.TOKEN_CHARS})"
+)
 _STEM_PASSES = 6
 
 
@@ -159,7 +164,7 @@ def tokenize(value: Column | str) -> Column:
 
 def ci_distinct(values: Column | str) -> Column:
     """Trimmed, non-empty values; the first spelling per lower-case key, in order."""
-    arr = F.filter(F.transform(F.coalesce(_col(values), _EMPTY), lambda v: F.trim(v)), lambda v: v != "")
+    arr = F.filter(F.transform(F.coalesce(_col(values), _empty()), lambda v: F.trim(v)), lambda v: v != "")
 
     def first_spellings(pair: Column) -> Column:
         return F.filter(
@@ -426,7 +431,7 @@ def choice_parse(raw: Column | str, candidates: Column) -> Column:
     compact = squeeze_ends(F.btrim(squeeze_ends(raw), F.lit("`")))
     compact = F.when(compact.startswith("json"), squeeze_ends(F.substr(compact, F.lit(5)))).otherwise(compact)
     key = lambda x: F.lower(F.regexp_replace(x, K.WS, ""))
-    allowed = F.filter(F.coalesce(candidates, _EMPTY), lambda x: x != "")
+    allowed = F.filter(F.coalesce(candidates, _empty()), lambda x: x != "")
     named = key(F.try_variant_get(F.try_parse_json(compact), "$.code", "string"))
     by_json = F.filter(allowed, lambda x: key(x) == named)
     by_text = F.filter(allowed, lambda x: F.contains(key(compact), key(x)))

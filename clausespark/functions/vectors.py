@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
-from clausespark.functions.text import _col, squeeze_ends
+from clausespark.functions.text import _col, let
 
 
 def hash_bucket(token: Column) -> Column:
@@ -15,27 +15,50 @@ def hash_bucket(token: Column) -> Column:
     384 = 128 * 3: the residue modulo 128 is in the last byte, the residue modulo 3 is the sum of
     the 32-bit chunks (2^32 = 1 mod 3), and the two combine by the Chinese remainder theorem.
     """
-    digest = F.sha2(token, 256)
-    low = F.conv(F.substring(digest, 63, 2), 16, 10).cast("int") % 128
-    chunks = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
-    m3 = (sum(chunks[1:], chunks[0]) % 3).cast("int")
-    return low + F.lit(128) * F.pmod(F.lit(2) * (m3 - low), F.lit(3))
 
+    def combine(digest: Column) -> Column:
+        low = F.conv(F.substring(digest, 63, 2), 16, 10).cast("int") % 128
+        chunks = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+        m3 = (sum(chunks[1:], chunks[0]) % 3).cast("int")
+        return let(
+            F.struct(low.alias("a"), m3.alias("m")),
+            lambda r: r["a"] + F.lit(128) * F.pmod(F.lit(2) * (r["m"] - r["a"]), F.lit(3)),
+        )
 
-def hash_vector(text: Column | str) -> Column:
-    """Sparse unit vector as a struct of parallel arrays (idx, w); empty for blank text."""
-    tokens = F.regexp_extract_all(F.lower(squeeze_ends(_col(text))), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.struct(
-        F.transform(tokens, hash_bucket).alias("buckets"),
-    )
+    return let(F.sha2(token, 256), combine)
 
 
-def sparse_from_buckets(buckets: Column) -> tuple[Column, Column]:
-    """Distinct sorted buckets and their unit-length weights."""
-    idx = F.array_sort(F.array_distinct(buckets))
-    counts = F.transform(idx, lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
-    return idx, F.transform(counts, lambda c: c / norm)
+def hash_vector(text: Column | str) -> Column:
+    """Sparse unit vector as a struct of parallel arrays (idx, w); both empty for blank text."""
+    words = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def weigh(buckets: Column) -> Column:
+        idx = F.array_sort(F.array_distinct(buckets))
+        counts = F.transform(idx, lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+        return F.struct(idx.alias("idx"), counts.alias("n"))
+
+    def scale(p: Column) -> Column:
+        norm = F.sqrt(F.aggregate(p["n"], F.lit(0.0), lambda a, c: a + c * c))
+        return let(
+            F.struct(p.alias("p"), norm.alias("norm")),
+            lambda s: F.struct(
+                s["p"]["idx"].alias("idx"), F.transform(s["p"]["n"], lambda c: c / s["norm"]).alias("w")
+            ),
+        )
+
+    return let(let(F.transform(words, hash_bucket), weigh), scale)
+
+
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Dot product of two (idx, w) structs."""
+    return let(
+        F.map_from_arrays(b["idx"], b["w"]),
+        lambda m: F.aggregate(
+            F.arrays_zip(a["idx"].alias("idx"), a["w"].alias("w")),
+            F.lit(0.0),
+            lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(m, x["idx"]), F.lit(0.0)),
+        ),
+    )
 
 
 def dot(a: Column, b: Column) -> Column:
