@@ -131,7 +131,7 @@ def row_candidates(questions: DataFrame, rows: DataFrame, k: Column | int, fallb
     qv = with_vector(questions, "question", "qid", "qid")
     iv = with_vector(rows, "search_text", "row_id", "id")
     lead = term_table(f, 4)
-    hit = lead.join(text_hits(rows, "row_id", "search_text", lead), "term").select("qid", "row_id").distinct()
+    hit = cut_lineage(lead.join(text_hits(rows, "row_id", "search_text", lead), "term").select("qid", "row_id").distinct())
     missed = qv.join(hit.select("qid").distinct(), "qid", "left_anti")
     missed = missed.join(f.where((F.size("terms") > 0) | F.col("row_priority")).select("qid"), "qid", "left_semi")
     near = vector.top_k(missed, iv, fallback, K.HASH_DIM).select("qid", F.col("id").alias("row_id"))

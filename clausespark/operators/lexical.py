@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from clausespark import constants as K
 from clausespark.functions import text as X
+from clausespark.session import cut_lineage
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -122,8 +123,9 @@ def top_clauses(scored: DataFrame, k: int) -> DataFrame:
 
 def retrieve(questions: DataFrame, clauses: DataFrame, k: int = K.LEXICAL_K, postings: DataFrame | None = None) -> DataFrame:
     """Lexical list of a question table: (qid, clause_id, lexical_score, coverage, tf, lexical_rank)."""
-    terms = question_terms(questions)
-    hits = term_hits(clause_tokens(clauses) if postings is None else postings, terms)
+    # terms and hits are read several times below
+    terms = cut_lineage(question_terms(questions))
+    hits = cut_lineage(term_hits(clause_tokens(clauses) if postings is None else postings, terms))
     return top_clauses(score_candidates(terms, hits, k), k)
 
 

@@ -229,3 +229,25 @@ def match_cte(profile: str, texts: str, name: str = "nm") -> str:
   FROM {name}_e e JOIN {profile} p ON p.qid::VARCHAR = split_part(e.qid, '#', 1) WHERE p.is_numeric),
 {name} AS (SELECT pair, greatest(0, least(1, max(s::DOUBLE))) AS score, arg_max(value, s::DOUBLE - i * 1e-9) AS value,
        arg_max(unit, s::DOUBLE - i * 1e-9) AS unit, max(cnt) AS cnt FROM {name}_s GROUP BY pair)"""
+
+ITEM = f"""item AS (
+  SELECT l_orderkey AS qid, concat_ws('-', l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS item_id,
+    CASE l_linenumber % 4 WHEN 0 THEN 'table_row' WHEN 3 THEN 'image' ELSE 'clause' END AS kind,
+    CASE WHEN l_linenumber % 4 IN (1, 2) THEN 'C' || (l_partkey % 500) END AS clause_id,
+    CASE WHEN l_linenumber % 4 = 0 THEN 'T' || (l_partkey % 6) END AS table_id,
+    CASE WHEN l_linenumber % 4 = 3 THEN 'I' || (l_partkey % 5) END AS image_id,
+    CASE WHEN l_linenumber % 4 IN (1, 2) THEN 'Band ' || (1 + l_partkey % 3) || '.' || (l_partkey % 4)
+         WHEN l_linenumber % 4 = 0 THEN 'Jadval ' || (l_partkey % 6) ELSE 'Rasm ' || (l_partkey % 5) END AS title,
+    'Detal ' || l_partkey || ' kengligi ' || l_quantity::INT || ' mm kerak' AS snippet, {code('(l_suppkey % 5)')} AS code,
+    CASE WHEN l_linenumber % 4 IN (1, 2) THEN (1 + l_partkey % 3) || '.' || (l_partkey % 4) END AS clause_number,
+    CASE WHEN l_linenumber % 4 = 0 THEN (l_partkey % 6)::VARCHAR END AS table_number,
+    CASE WHEN l_linenumber % 4 = 0 THEN l_linenumber::BIGINT END AS row_index,
+    CASE WHEN l_linenumber % 4 = 3 THEN (l_partkey % 5)::VARCHAR END AS appendix_number, l_returnflag || '-bob' AS chapter,
+    round((l_extendedprice % 50) / 100, 6) AS score, round(l_discount * 3, 6) AS semantic, round(l_tax * 5, 6) AS keyword,
+    round((l_partkey % 7) / 10, 6) AS numeric FROM lineitem)"""
+
+ITEM_Q = """item_q AS (
+  SELECT o_orderkey AS qid, CASE o_orderkey % 6 WHEN 0 THEN (o_orderkey % 6 + 3) || '-jadval bo''yicha talab' WHEN 1 THEN 'rasm chizma kerak'
+    WHEN 2 THEN (1 + o_orderkey % 3) || '.' || (o_orderkey % 4) || ' band nima deydi' WHEN 3 THEN 'detal kengligi kamida necha mm'
+    WHEN 4 THEN 'Detal haqida ' || o_orderkey || ' umumiy tushuncha bering' ELSE 'salom python haqida' END AS question,
+    o_orderkey % 6 AS m FROM orders)"""

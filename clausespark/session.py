@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +29,21 @@ def local_session(cores: int | str = 8, app: str = "clausespark") -> SparkSessio
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return configured or current
-    folder = configured or tempfile.mkdtemp(prefix="clausespark-ckpt-")
-    context.setCheckpointDir(folder)
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="clausespark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so later stages survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared scratch folder and read it back.
+
+    Later steps that read it several times neither repeat the work nor lose it with an executor, and
+    the planner sees its true size, which lets it choose broadcasts on its own.
+    """
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/clausespark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

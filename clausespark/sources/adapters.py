@@ -79,7 +79,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def norm_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Requirement sentences, one per part; every third states a maximum in percent."""
-    p = table(spark, folder, "part")
+    p = texts(spark, folder, "part")
     size = F.col("p_size").cast("string")
     third = F.col("p_partkey") % 3 == 0
     return p.select(
@@ -94,7 +94,7 @@ def norm_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def reference_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with explicit references, one per part."""
-    p = table(spark, folder, "part")
+    p = texts(spark, folder, "part")
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     return p.select(
         k.alias("qid"),
@@ -198,3 +198,48 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(
         F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("bigint").alias("label")
     )
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate lists from order lines: one list per order, clauses, rows and images mixed."""
+    li = texts(spark, folder, "lineitem")
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    kind = F.when(n % 4 == 0, "table_row").when(n % 4 == 3, "image").otherwise("clause")
+    is_c, is_r, is_i = n % 4 % 3 != 0, n % 4 == 0, n % 4 == 3
+    s = lambda c: c.cast("string")
+    number = F.concat(s(1 + k % 3), F.lit("."), s(k % 4))
+    return li.select(
+        F.col("l_orderkey").alias("qid"),
+        F.concat_ws("-", s(n), s(k), s(F.col("l_suppkey")), s(F.round(F.col("l_extendedprice") * 100).cast("bigint"))).alias("item_id"),
+        kind.alias("kind"),
+        F.when(is_c, F.concat(F.lit("C"), s(k % 500))).alias("clause_id"),
+        F.when(is_r, F.concat(F.lit("T"), s(k % 6))).alias("table_id"),
+        F.when(is_i, F.concat(F.lit("I"), s(k % 5))).alias("image_id"),
+        F.when(is_c, F.concat(F.lit("Band "), number)).when(is_r, F.concat(F.lit("Jadval "), s(k % 6))).otherwise(F.concat(F.lit("Rasm "), s(k % 5))).alias("title"),
+        F.concat(F.lit("Detal "), s(k), F.lit(" kengligi "), s(F.col("l_quantity").cast("int")), F.lit(" mm kerak")).alias("snippet"),
+        code_of(F.col("l_suppkey") % 5).alias("code"),
+        F.when(is_c, number).alias("clause_number"),
+        F.when(is_r, s(k % 6)).alias("table_number"),
+        F.when(is_r, n.cast("bigint")).alias("row_index"),
+        F.when(is_i, s(k % 5)).alias("appendix_number"),
+        F.concat(F.col("l_returnflag"), F.lit("-bob")).alias("chapter"),
+        F.round((F.col("l_extendedprice") % 50) / 100, 6).alias("score"),
+        F.round(F.col("l_discount") * 3, 6).alias("semantic"),
+        F.round(F.col("l_tax") * 5, 6).alias("keyword"),
+        F.round((k % 7) / 10, 6).alias("numeric"),
+    )
+
+
+def item_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The question behind each order's list."""
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    text = (
+        F.when(k % 6 == 0, F.concat(s(k % 6 + 3), F.lit("-jadval bo'yicha talab")))
+        .when(k % 6 == 1, "rasm chizma kerak")
+        .when(k % 6 == 2, F.concat(s(1 + k % 3), F.lit("."), s(k % 4), F.lit(" band nima deydi")))
+        .when(k % 6 == 3, "detal kengligi kamida necha mm")
+        .when(k % 6 == 4, F.concat(F.lit("Detal haqida "), s(k), F.lit(" umumiy tushuncha bering")))
+        .otherwise("salom python haqida")
+    )
+    return texts(spark, folder, "orders").select(k.alias("qid"), text.alias("question"))
