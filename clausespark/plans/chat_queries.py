@@ -87,7 +87,7 @@ def cache_semantic(spark, sf):
 
 @query(
     "doc_penalties",
-    f"""WITH {_V} SELECT lower(replace(code, ' ', '')) AS code_key, round(least(0.58, sum(0.12 + least(0.28, (rejected_count - 1) * 0.05))), 6) AS penalty FROM rej GROUP BY 1""",
+    f"""WITH {_V} SELECT lower(replace(code, ' ', '')) AS code_key, round(least(0.58, sum(0.12 + least(0.28, (rejected_count - 1) * 0.05))), 6)::DOUBLE AS penalty FROM rej GROUP BY 1""",
 )
 def doc_penalties(spark, sf):
     r = FB.rejected_batch(votes(spark, sf).where("vote = 'down'"))
@@ -106,7 +106,7 @@ def negatives(spark, sf):
     return FB.negative_signal(q, FB.rejected_batch(v.where("vote = 'down'").drop("normalized_question")))
 
 
-@query("negative_signal", f"WITH {_NEG} SELECT qid, code_key, round(penalty, 6) AS penalty, (SELECT count(*) FROM nso WHERE nso.qid = nd.qid) AS n_sources FROM nd")
+@query("negative_signal", f"WITH {_NEG} SELECT qid, code_key, round(penalty, 6)::DOUBLE AS penalty, (SELECT count(*) FROM nso WHERE nso.qid = nd.qid) AS n_sources FROM nd")
 def negative_signal(spark, sf):
     docs, sources = negatives(spark, sf)
     n = sources.groupBy("qid").agg(F.count(F.lit(1)).alias("n_sources"))
