@@ -359,23 +359,26 @@ def table_pick(questions: DataFrame, tables: DataFrame) -> DataFrame:
     j = j.withColumn("exact", hit).withColumn("cand", F.round(score, 9)).withColumn("ctx", X.term_coverage(F.col("context"), context_hay))
     j = j.withColumn("section_key", section)
     order = [F.desc(F.col("exact").cast("int")), F.desc("cand"), F.desc("ctx"), F.col("table_order"), F.col("table_id")]
-    j = j.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
-    first = lambda c: F.max_by(c, -F.col("r"))
-    second = lambda c: F.max(F.when(F.col("r") == 2, c))
+    # only the two best tables of a question are ranked; the rest is counted with partial aggregates
+    two = j.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where("r <= 2")
+    at = lambda n, c: F.max(F.when(F.col("r") == n, F.col(c)))
+    two = two.groupBy("qid").agg(
+        at(1, "table_id").alias("best"), at(1, "exact").alias("e1"), at(1, "cand").alias("c1"), at(1, "ctx").alias("x1"),
+        at(2, "exact").alias("e2"), at(2, "cand").alias("c2"), at(2, "ctx").alias("x2"),
+    )
     g = j.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("n"), first(F.col("table_id")).alias("best"), first(F.col("exact")).alias("e1"), first(F.col("cand")).alias("c1"),
-        first(F.col("ctx")).alias("x1"), second(F.col("exact")).alias("e2"), second(F.col("cand")).alias("c2"), second(F.col("ctx")).alias("x2"),
+        F.count(F.lit(1)).alias("n"),
         F.min_by(F.when(F.col("exact"), F.col("table_id")), F.when(F.col("exact"), F.struct("table_order", "table_id"))).alias("exact_id"),
-        F.count_distinct(F.when(F.col("exact"), F.col("section_key"))).alias("exact_sections"),
+        F.min(F.when(F.col("exact"), F.col("section_key"))).alias("_s0"), F.max(F.when(F.col("exact"), F.col("section_key"))).alias("_s1"),
         F.max(F.size("context")).alias("nctx"),
-    )
+    ).join(two, "qid")
     win = (
         (F.col("e1") & ~F.coalesce("e2", F.lit(False)))
         | ((F.col("x1") > 0) & (F.col("x1") > F.coalesce("x2", F.lit(-1))))
         | ((F.col("c1") >= 0.75) & (F.col("c1") >= F.coalesce("c2", F.lit(-1.0)) + 0.08))
         | (F.col("n") == 1)
     )
-    picked = F.when(F.col("nctx") > 0, F.when(F.col("exact_sections") == 1, F.col("exact_id")).when(win, F.col("best"))).when(F.col("n") == 1, F.col("best"))
+    picked = F.when(F.col("nctx") > 0, F.when(F.col("_s0") == F.col("_s1"), F.col("exact_id")).when(win, F.col("best"))).when(F.col("n") == 1, F.col("best"))
     return g.select("qid", F.col("n").alias("n_candidates"), picked.alias("table_id"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clausespark import constants as K
 from clausespark.functions import refs as R
 from clausespark.functions import text as X
+from clausespark.operators.ordered import dense_positions
+from clausespark.session import cut_lineage
 
 
 def contexts(clauses: DataFrame, tables: DataFrame) -> DataFrame:
@@ -120,15 +122,17 @@ def job_counters(jobs: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.withColumn("remaining", F.greatest(F.lit(0), F.greatest(F.lit(0), F.col("requested")) - F.col("generated")))
 
 
-def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JOB_MINUTES) -> DataFrame:
+def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JOB_MINUTES, block: int = 4096) -> DataFrame:
     """Current state of every job from its commands, replayed in order.
 
     commands: job_id, seq, ts, command (create, start, progress, finish, cancel, restart, extend, delete),
-    amount. A command that its state does not allow is counted as refused. The state of a job is folded
-    with a merge over its ordered commands; a job's command list is the one thing gathered per key.
+    amount. A command that its state does not allow is counted as refused. Each command depends on the
+    state before it, so jobs are replayed in rounds of at most ``block`` commands; the state table is carried
+    from round to round. Most logs need one round, a very long job more, and none is gathered whole.
     """
+    ordered = dense_positions(commands, "job_id", ["seq"]).withColumn("_round", F.floor(F.col("pos") / block))
+    rounds = ordered.agg(F.max("_round")).first()[0] or 0
     c = F.struct("seq", "ts", "command", F.coalesce("amount", F.lit(0)).alias("amount"))
-    lists = commands.groupBy("job_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
     start = F.struct(
         F.lit("none").alias("status"), F.lit(0).cast("bigint").alias("requested"), F.lit(0).cast("bigint").alias("generated"),
         F.lit(None).cast("timestamp").alias("touched"), F.lit(0).alias("refused"),
@@ -160,7 +164,15 @@ def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JO
             (acc["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"),
         )
 
-    f = lists.select("job_id", F.aggregate("cs", start, step).alias("s")).select("job_id", "s.*")
+    state = None
+    for n in range(rounds + 1):
+        part = ordered.where(F.col("_round") == n).groupBy("job_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
+        if state is None:
+            state = part.select("job_id", F.aggregate("cs", start, step).alias("s"))
+            continue
+        j = cut_lineage(state).join(part, "job_id", "left")
+        state = j.select("job_id", F.when(F.col("cs").isNull(), F.col("s")).otherwise(F.aggregate("cs", F.col("s"), step)).alias("s"))
+    f = state.select("job_id", "s.*")
     final = F.when(timed_out(F.col("status"), F.col("touched"), now), "failed").otherwise(F.col("status"))
     f = f.withColumn("status", final)
     message = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausespark.operators.lexical import match_tokens
+
 FIELDS = {"code": "doc_hit", "clause_number": "clause_hit", "table_number": "table_hit"}
 
 
@@ -43,23 +45,31 @@ def summary(per_case: DataFrame) -> DataFrame:
 def containing_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(qid, document_id) of the documents that contain a question word for word.
 
-    Candidates come from an equi-join on eight-word shingles: a text that holds the question holds its
-    first shingle of whole words. Only candidates are compared in full.
+    Candidates come from equi-joins; only they are compared in full. The first and last word of a passage
+    may be glued to other characters in the text, so passages of three and more words are found by a run of
+    inner words (at most eight), shorter ones by the tokens that contain their longest word.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
     q = questions.select("qid", "question", words(F.col("question")).alias("w")).withColumn("n", F.size("w"))
-    # the first and last word of a passage may be glued to other characters in the text
-    q = q.withColumn("shingle", F.array_join(F.slice("w", 2, F.greatest(F.lit(0), F.least(F.lit(8), F.col("n") - 2))), " "))
-    wide = q.where("n >= 10")
-    d = documents.select("doc_id", "text", words(F.col("text")).alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))
-    keys = wide.select("shingle").distinct()
-    hit = d.select("doc_id", F.explode(grams).alias("shingle")).join(keys, "shingle", "left_semi")
-    pairs = hit.join(wide.select("qid", "question", "shingle"), "shingle").select("doc_id", "qid", "question").distinct()
-    found = pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question")))
-    # passages too short for a shingle are compared against every text directly
-    short = q.where("n < 10").agg(F.collect_list(F.struct("qid", "question")).alias("qs")).scalar()
-    direct = documents.select("doc_id", "text", F.explode(short).alias("s")).where(F.contains("text", F.col("s.question")))
-    out = found.select("qid", F.col("doc_id").alias("document_id"))
-    return out.unionByName(direct.select(F.col("s.qid").alias("qid"), F.col("doc_id").alias("document_id")))
+    inner = F.array_join(F.slice("w", 2, F.least(F.lit(8), F.col("n") - 2)), " ")
+    long_q = q.where("n >= 3").withColumn("run", inner).withColumn("len", F.least(F.lit(8), F.col("n") - 2))
+    lengths = long_q.agg(F.collect_set("len").alias("ls")).scalar()
+    d = documents.select("doc_id", words(F.col("text")).alias("w"), lengths.alias("ls"))
+
+    def runs(n):
+        last = F.size("w") - n + 1
+        at = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(last >= 1, at).otherwise(F.array().cast("array<string>"))
+
+    e = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("ls", runs)))).alias("run"))
+    found = e.join(long_q.select("qid", "run"), "run").select("qid", "doc_id").distinct()
+
+    by_length = F.array_sort(F.transform("w", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    short_q = q.where("n BETWEEN 1 AND 2").withColumn("term", F.get(by_length, F.lit(0))["t"])
+    tokens = documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    matched = match_tokens(short_q.select("term").distinct(), tokens.select("token").distinct())
+    near = tokens.join(matched, "token").join(short_q.select("qid", "term"), "term").select("qid", "doc_id").distinct()
+
+    pairs = found.unionByName(near).join(questions.select("qid", "question"), "qid")
+    hit = pairs.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question")))
+    return hit.select("qid", F.col("doc_id").alias("document_id"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausespark.session import cut_lineage
+
 BLOCK = 8192
 
 
@@ -19,6 +21,24 @@ def _windows(key: str, pos: str):
     return local, before
 
 
+def dense_positions(df: DataFrame, key: str, order: list[str], name: str = "pos") -> DataFrame:
+    """0-based position of every row within its key, without gathering a key in one task.
+
+    Rows are range-partitioned and sorted by key and order, so a large key spreads over partitions. The
+    row number inside each partition plus the sizes of the partitions before give a global number, and the
+    smallest one of a key turns it into a position.
+    """
+    ids = F.monotonically_increasing_id()
+    t = df.orderBy(key, *order).withColumn("_part", F.shiftright(ids, 33)).withColumn("_row", ids.bitwiseAND(F.lit((1 << 33) - 1)))
+    t = cut_lineage(t)
+    sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    t = t.join(starts, "_part").withColumn("_g", F.col("_start") + F.col("_row"))
+    first = t.groupBy(key).agg(F.min("_g").alias("_first"))
+    return t.join(first, key).withColumn(name, F.col("_g") - F.col("_first")).drop("_part", "_row", "_start", "_g", "_first")
+
+
 def running(
     df: DataFrame, key: str, pos: str, sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None, following: dict[str, Column] | None = None, block: int = BLOCK,

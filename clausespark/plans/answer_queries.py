@@ -399,8 +399,7 @@ def mixed_rerank(spark, sf):
 @query("mixed_suppress")
 def mixed_suppress(spark, sf):
     """Kept items and removal counts of the mixed rerank (its walk is property-tested)."""
-    it = A.items(spark, sf).join(item_features(spark, sf), "qid")
-    return rerank.rerank_mixed(it).select("qid", "item_id", "final_rank", "removed")
+    return rerank.rerank_mixed(ordered_items(spark, sf)).select("qid", "item_id", "final_rank", "removed")
 
 
 @query(

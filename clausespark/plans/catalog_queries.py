@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
@@ -113,8 +114,9 @@ def doc_status(spark, sf):
 def status_sorted_docs(spark, sf):
     p = A.doc_processes(spark, sf).select("document_id", "status").withColumn("code", A.code_of(F.col("document_id")))
     top = G.status_sorted(p, {"processing": 0, "queued": 1}).limit(500)
-    w = A.F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.when(F.col("status") == "processing", 0).when(F.col("status") == "queued", 1).otherwise(99), "code", "document_id"))
-    return top.withColumn("position", big(w))
+    # 500 rows are left, so the position needs no partitioning
+    w = Window.orderBy(F.when(F.col("status") == "processing", 0).when(F.col("status") == "queued", 1).otherwise(99), "code", "document_id")
+    return top.withColumn("position", big(F.row_number().over(w)))
 
 
 @query(

@@ -266,12 +266,11 @@ def session_rollup(spark, sf):
 @query(
     "session_list",
     f"""WITH {S.MESSAGE}, {_ROOM}, g AS (SELECT session_id, count(*) AS n, max(ord) AS u FROM message GROUP BY session_id)
-    SELECT room, session_id, u AS updated_at, row_number() OVER (PARTITION BY room ORDER BY u DESC, session_id) AS position FROM g JOIN room USING (session_id)""",
+    SELECT room, session_id, u AS updated_at FROM g JOIN room USING (session_id) ORDER BY room, u DESC, session_id""",
 )
 def session_list(spark, sf):
     s = chat.session_rollup(A.messages(spark, sf)).join(rooms(spark, sf), "session_id")
-    w = vector.Window.partitionBy("room").orderBy(F.desc("updated_at"), "session_id")
-    return s.select("room", "session_id", "updated_at", big(F.row_number().over(w)).alias("position"))
+    return s.select("room", "session_id", "updated_at").orderBy("room", F.desc("updated_at"), "session_id")
 
 
 @query("transcript", f"WITH {S.MESSAGE} SELECT session_id, ord, role, md5(content) AS content_md5 FROM message ORDER BY session_id, ord")

@@ -139,3 +139,39 @@ def test_document_table_refresh(spark, tmp_path):
         sinks.refresh_document_table(b, path, buckets=4)
     got = {r["doc_id"]: r["v"] for r in spark.read.parquet(path).collect()}
     assert len(got) == 41 and got[3] == "new" and got[99] == "new" and got[4] == "old"
+
+
+def test_dense_positions_of_a_hot_key(spark):
+    from clausespark.operators.ordered import dense_positions
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("k"), (F.col("id") * 7919 % 3001).alias("o"))
+    got = dense_positions(df, "k", ["o"]).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["k"], r["o"])):
+        assert r["pos"] == by.get(r["k"], 0)
+        by[r["k"]] = r["pos"] + 1
+
+
+def test_job_ledger_rounds(spark):
+    from clausespark.plans import catalog_queries
+    from clausespark.operators import curate
+    from conftest import SMALL
+
+    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    names = F.array(*[F.lit(n) for n in ("create", "start", "progress", "finish", "cancel", "restart", "extend", "delete")])
+    c = e.select((F.col("user_id") % 5).alias("job_id"), F.col("event_id").alias("seq"), "ts", F.get(names, (F.col("event_id") * 31 % 8).cast("int")).alias("command"), F.lit(2).cast("bigint").alias("amount"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    rows = lambda df: sorted(tuple(r) for r in df.select("job_id", "status", "requested", "generated", "refused").collect())
+    assert rows(curate.job_ledger(c, now)) == rows(curate.job_ledger(c, now, block=90))
+    assert catalog_queries is not None
+
+
+def test_containment_matches_scan(spark):
+    from clausespark.operators.evaluate import containing_documents
+
+    docs = [(1, "alpha beta gamma delta"), (2, "xalpha betay"), (3, "one two three four five six seven eight nine ten eleven"), (4, "gamma")]
+    qs = [(1, "alpha beta"), (2, "gamma"), (3, "two three four five six seven eight nine ten"), (4, "eta gam"), (5, "alpha beta gamma"), (6, "zzz")]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    q = spark.createDataFrame(qs, "qid int, question string")
+    got = {(r["qid"], r["document_id"]) for r in containing_documents(q, d).collect()}
+    assert got == {(a, b) for a, t in qs for b, x in docs if t in x}
