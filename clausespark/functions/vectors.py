@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausespark import constants as K
 from clausespark.functions.text import _col, let
@@ -12,18 +18,17 @@ from clausespark.functions.text import _col, let
 def hash_bucket(token: Column) -> Column:
     """sha256(token) modulo 384 without big integers.
 
-    384 = 128 * 3: the residue modulo 128 is in the last byte, the residue modulo 3 is the sum of
-    the 32-bit chunks (2^32 = 1 mod 3), and the two combine by the Chinese remainder theorem.
+    384 = 128 * 3: the residue modulo 128 is in the last byte. 16 = 1 modulo 3, so the residue modulo 3 is
+    that of the digit sum, which follows from how many digits leave 1 and how many leave 2. The two combine
+    by the Chinese remainder theorem.
     """
 
     def combine(digest: Column) -> Column:
         low = F.conv(F.substring(digest, 63, 2), 16, 10).cast("int") % 128
-        chunks = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
-        m3 = (sum(chunks[1:], chunks[0]) % 3).cast("int")
-        return let(
-            F.struct(low.alias("a"), m3.alias("m")),
-            lambda r: r["a"] + F.lit(128) * F.pmod(F.lit(2) * (r["m"] - r["a"]), F.lit(3)),
-        )
+        ones = F.length(F.translate(digest, "0369cf258be", ""))
+        twos = F.length(F.translate(digest, "0369cf147ad", ""))
+        # 128 leaves 2 modulo 3 and 2 is its own inverse
+        return low + F.lit(128) * F.pmod(F.lit(2) * (ones + F.lit(2) * twos - low), F.lit(3))
 
     return let(F.sha2(token, 256), combine)
 
@@ -32,9 +37,11 @@ def hash_vector(text: Column | str) -> Column:
     """Sparse unit vector as a struct of parallel arrays (idx, w); both empty for blank text."""
     words = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
-    def weigh(buckets: Column) -> Column:
-        idx = F.array_sort(F.array_distinct(buckets))
-        counts = F.transform(idx, lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    def weigh(sorted_: Column) -> Column:
+        idx = F.array_distinct(sorted_)
+        # in a sorted list the run of a value ends where the next one starts
+        starts = F.concat(F.transform(idx, lambda d: F.array_position(sorted_, d)), F.array((F.size(sorted_) + 1).cast("bigint")))
+        counts = let(starts, lambda st: F.transform(idx, lambda _, i: (F.get(st, i + 1) - F.get(st, i)).cast("double")))
         return F.struct(idx.alias("idx"), counts.alias("n"))
 
     def scale(p: Column) -> Column:
@@ -46,7 +53,39 @@ def hash_vector(text: Column | str) -> Column:
             ),
         )
 
-    return let(let(F.transform(words, hash_bucket), weigh), scale)
+    return let(let(F.array_sort(F.transform(words, hash_bucket)), weigh), scale)
+
+
+_WORDS = re.compile(r"\w+")
+_CACHE_WORDS = 1_000_000
+
+
+@F.pandas_udf(T.StructType([T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))]))
+def hash_vectors(texts: pd.Series) -> pd.DataFrame:
+    """``hash_vector`` for whole columns of long texts, in Arrow batches.
+
+    Hashing dominates and words repeat, so each worker process keeps the buckets of words it has seen.
+    """
+    seen = _seen_buckets()
+    idx, weights = [], []
+    for text in texts:
+        at = []
+        for word in _WORDS.findall((text or "").lower()):
+            b = seen.get(word)
+            if b is None:
+                if len(seen) >= _CACHE_WORDS:
+                    seen.clear()
+                b = seen[word] = int(hashlib.sha256(word.encode("utf-8")).hexdigest(), 16) % K.HASH_DIM
+            at.append(b)
+        i, n = np.unique(np.asarray(at, dtype=np.int32), return_counts=True)
+        idx.append(i)
+        weights.append(n / (np.sqrt((n * n).sum()) or 1.0))
+    return pd.DataFrame({"idx": idx, "w": weights})
+
+
+def _seen_buckets(store: dict[str, int] = {}) -> dict[str, int]:  # noqa: B006
+    """The word cache of this worker process."""
+    return store
 
 
 def sparse_dot(a: Column, b: Column) -> Column:

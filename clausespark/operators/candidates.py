@@ -15,7 +15,7 @@ from clausespark.session import cut_lineage
 
 def with_vector(df: DataFrame, text: str, key: str, as_key: str) -> DataFrame:
     """(key, idx, w) hashing-trick vectors of a text column; blank texts have none."""
-    d = df.select(F.col(key).alias(as_key), V.hash_vector(text).alias("v"))
+    d = df.select(F.col(key).alias(as_key), V.hash_vectors(text).alias("v"))
     return d.select(as_key, "v.idx", "v.w").where(F.size("idx") > 0)
 
 

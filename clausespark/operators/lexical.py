@@ -69,28 +69,23 @@ def term_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def score_candidates(terms: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+def score_candidates(terms: DataFrame, hits: DataFrame, limit: int, staged: bool | None = None) -> DataFrame:
     """Scores of all candidate clauses per question before the cut: (qid, clause_id, score, coverage, tf).
 
     A question starts with the clauses whose text holds a priority term. With fewer than
     max(24, 3 * limit) of them it takes clauses with any term in the text, and with still fewer
     also those that match in the title alone.
+
+    Two plans give the same rows. One joins all terms at once; the staged one joins the deciding terms first
+    and looks common terms up only where they matter, which wins when common terms fill the postings. The
+    cheaper one is taken by the number of rows each would join, counted from the hits.
     """
     enough = max(24, 3 * limit)
-    lead = terms.withColumn("leads", F.col("is_priority") | (F.col("n_priority") == 0))
-    first = lead.where("leads").join(hits, "term")
-    started = first.groupBy("qid", "clause_id").agg(F.max((F.col("text_tf") > 0).cast("int")).alias("t"))
-    counts = started.groupBy("qid").agg(F.sum("t").alias("c1"))
-    q = terms.select("qid").distinct().join(counts, "qid", "left").select("qid", F.coalesce("c1", F.lit(0)).alias("c1"))
-    narrow = q.where(F.col("c1") >= enough).select("qid")
-    wide = q.where(F.col("c1") < enough).select("qid")
-
-    # questions with enough leading clauses: score only those, all terms
-    pairs = started.where("t = 1").select("qid", "clause_id").join(narrow, "qid", "left_semi")
-    per_pair = pairs.join(terms, "qid").join(hits, ["clause_id", "term"])
-    # the others: every clause any term touches
-    per_wide = terms.join(wide, "qid", "left_semi").join(hits, "term").select(per_pair.columns)
-
+    lead = F.col("is_priority") | (F.col("n_priority") == 0)
+    if staged is None:
+        n = terms.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
+        cost = n.agg(F.sum("n").alias("once"), F.sum(F.when(lead, F.col("n") * F.col("n_unique"))).alias("staged")).first()
+        staged = (cost["staged"] or 0) < (cost["once"] or 0)
     agg = [
         F.sum(F.when(F.col("is_unique"), F.col("tf")).otherwise(0)).alias("tf"),
         F.sum(F.col("is_unique").cast("int")).alias("coverage"),
@@ -98,12 +93,36 @@ def score_candidates(terms: DataFrame, hits: DataFrame, limit: int) -> DataFrame
         F.sum(F.col("is_priority").cast("int")).alias("p_coverage"),
         F.max("n_priority").alias("n_priority"),
         F.max((F.col("text_tf") > 0).cast("int")).alias("in_text"),
+        F.max((lead & (F.col("text_tf") > 0)).cast("int")).alias("led"),
     ]
-    a = per_pair.groupBy("qid", "clause_id").agg(*agg).drop("in_text")
-    b = per_wide.groupBy("qid", "clause_id").agg(*agg)
+    if staged:
+        g = _staged(terms, hits, lead, agg, enough)
+    else:
+        g = terms.join(hits, "term").groupBy("qid", "clause_id").agg(*agg)
+        c = g.groupBy("qid").agg(F.sum("led").alias("c1"), F.sum("in_text").alias("c2"))
+        keep = F.when(F.col("c1") >= enough, F.col("led") == 1).when(F.col("c2") >= enough, F.col("in_text") == 1).otherwise(True)
+        g = g.join(c, "qid").where(keep)
+    return _scores(g)
+
+
+def _staged(terms: DataFrame, hits: DataFrame, lead, agg: list, enough: int) -> DataFrame:
+    started = terms.where(lead).join(hits, "term").groupBy("qid", "clause_id").agg(F.max((F.col("text_tf") > 0).cast("int")).alias("t"))
+    counts = started.groupBy("qid").agg(F.sum("t").alias("c1"))
+    q = terms.select("qid").distinct().join(counts, "qid", "left").select("qid", F.coalesce("c1", F.lit(0)).alias("c1"))
+    narrow = q.where(F.col("c1") >= enough).select("qid")
+    wide = q.where(F.col("c1") < enough).select("qid")
+    # questions with enough leading clauses: those clauses only, all terms
+    pairs = started.where("t = 1").select("qid", "clause_id").join(narrow, "qid", "left_semi")
+    a = pairs.join(terms, "qid").join(hits, ["clause_id", "term"]).groupBy("qid", "clause_id").agg(*agg)
+    # the others: every clause any term touches
+    b = terms.join(wide, "qid", "left_semi").join(hits, "term").groupBy("qid", "clause_id").agg(*agg)
     c2 = b.groupBy("qid").agg(F.sum("in_text").alias("c2"))
-    b = b.join(c2, "qid").where((F.col("in_text") == 1) | (F.col("c2") < enough)).drop("in_text", "c2")
-    s = a.unionByName(b).where(F.col("tf") > 0)
+    b = b.join(c2, "qid").where((F.col("in_text") == 1) | (F.col("c2") < enough)).drop("c2")
+    return a.unionByName(b)
+
+
+def _scores(g: DataFrame) -> DataFrame:
+    s = g.where(F.col("tf") > 0)
     s = s.where(~((F.col("n_priority") > 0) & (F.col("p_coverage") <= 0) & (F.col("coverage") < 2)))
     score = (
         F.col("p_coverage") * 3.0

@@ -182,7 +182,7 @@ def infer_codes(spark, sf):
     SELECT clause_id, code, chapter_title, len(string_split(text, ' ')) AS token_count, n_dims, norm, checksum FROM clause JOIN g USING (clause_id)""",
 )
 def clause_embeddings(spark, sf):
-    c = A.clauses(spark, sf).withColumn("v", V.hash_vector("text"))
+    c = A.clauses(spark, sf).withColumn("v", V.hash_vectors("text"))
     total = lambda f: F.aggregate(F.arrays_zip("v.idx", "v.w"), F.lit(0.0), lambda a, x: a + f(x))
     return c.where(F.size("v.idx") > 0).select(
         "clause_id", "code", "chapter_title", big(F.size(F.split("text", " "))).alias("token_count"), big(F.size("v.idx")).alias("n_dims"),

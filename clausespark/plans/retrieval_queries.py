@@ -68,8 +68,8 @@ def knn_filtered(spark, sf):
     f"""WITH {P.sparse_cte('e', 'benchmark', 'item_id', 'text')} SELECT item_id, idx, round(w, 6) AS w FROM e""",
 )
 def hash_embed(spark, sf):
-    q = C.with_vector(A.table(spark, sf, "benchmark"), "text", "item_id", "item_id")
-    e = q.select("item_id", F.explode(F.arrays_zip("idx", "w")).alias("z"))
+    q = A.table(spark, sf, "benchmark").select("item_id", V.hash_vector("text").alias("v"))
+    e = q.select("item_id", F.explode(F.arrays_zip("v.idx", "v.w")).alias("z"))
     return e.select("item_id", big(F.col("z.idx")).alias("idx"), r6(F.col("z.w")).alias("w"))
 
 
@@ -280,7 +280,7 @@ def row_candidates(spark, sf):
     x AS (SELECT f.qid, row_id, {S.coverage('terms', 'h')} AS cov, {S.frequency('terms', 'h')} AS tf, len(terms) AS n FROM afeat f, rh
           WHERE len(list_filter(terms[1:6], lambda t: contains(h, t))) > 0),
     z AS (SELECT *, round(cov * 0.55 + least(0.55, tf * 0.07), 9) AS score FROM x)
-    SELECT qid, row_id, round(score, 6) AS score, round(cov / n, 6) AS keyword, rank FROM (
+    SELECT qid, row_id, round(score, 6)::DOUBLE AS score, round(cov / n, 6) AS keyword, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM z) WHERE rank <= 8""",
 )
 def row_fallback(spark, sf):

@@ -313,13 +313,13 @@ def numeric_score(spark, sf):
 
 @query(
     "numeric_format",
-    r"""SELECT l_orderkey, l_linenumber, replace(regexp_replace(regexp_replace(printf('%.3f', round_even(l_extendedprice / 64, 3)), '0+$', ''), '\.$', ''), '.', ',')
+    r"""SELECT l_orderkey, l_linenumber, replace(regexp_replace(regexp_replace(printf('%.3f', l_extendedprice / 10), '0+$', ''), '\.$', ''), '.', ',')
     || CASE l_linenumber % 2 WHEN 0 THEN '%' ELSE ' mm' END AS shown FROM lineitem""",
 )
 def numeric_format(spark, sf):
     unit = F.when(F.col("l_linenumber") % 2 == 0, "%").otherwise("mm")
     li = A.table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", N.format_value(F.col("l_extendedprice") / 64, unit).alias("shown"))
+    return li.select("l_orderkey", "l_linenumber", N.format_value(F.col("l_extendedprice") / 10, unit).alias("shown"))
 
 
 _INTENT = f"""ip AS (SELECT qid::VARCHAR AS qid, text FROM refs), {S.profile_cte('ip', 'pf')},

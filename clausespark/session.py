@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,20 @@ def local_session(cores: int | str = 8, app: str = "clausespark") -> SparkSessio
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per session, so they can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_clausespark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="clausespark-pkg-"), "clausespark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(target)
+    context._clausespark_shipped = True
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from clausespark import constants as K
 from clausespark.functions import text as X
+from clausespark.session import ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

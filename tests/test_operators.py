@@ -95,6 +95,18 @@ def test_lexical_equals_brute_force_with_a_hot_word(spark):
         mine = [r["term"] for r in t if r["qid"] == qid and r["is_unique"]]
         assert cov == sum(m in hay for m in mine) and tf == sum(hay.count(m) for m in mine)
     assert len(got) > 20
+    hits = lexical.term_hits(lexical.clause_tokens(clauses), terms)
+    rows = lambda flag: sorted(tuple(r) for r in lexical.score_candidates(terms, hits, 5, staged=flag).collect())
+    assert rows(True) == rows(False)
+
+
+def test_embedders_agree(spark):
+    from clausespark.functions import vectors as V
+
+    df = spark.createDataFrame([("Bino kengligi 3 m, bino бино ёлка",), ("",), (None,), ("a a a b",)], "t string")
+    for r in df.select(V.hash_vector("t").alias("a"), V.hash_vectors("t").alias("b")).collect():
+        assert list(r["a"]["idx"] or []) == list(r["b"]["idx"]) if r["a"] and r["a"]["idx"] else not r["b"]["idx"]
+        assert all(abs(x - y) < 1e-12 for x, y in zip((r["a"] or {"w": []})["w"] or [] if r["a"] else [], r["b"]["w"]))
 
 
 HTML = """<html><body><div class="TEXT_HEADER_DEFAULT">1-bob. Umumiy</div><a id="a1"></a>
