@@ -349,7 +349,7 @@ def _discovery_sql() -> str:
     gq {P.MAT} (SELECT qid * 10 + pos AS qid, question FROM phr WHERE qid IN (SELECT qid FROM gq0) AND pos < 3), {P.hybrid_cte('g', 'gq', 50, 50, 80, 16, 'gask')},
     m2 AS (SELECT qid, clause_id, max(score) AS score FROM (SELECT qid, clause_id, score FROM m1 UNION ALL
         SELECT g.qid // 10, clause_id, score * w * w FROM gcand g JOIN gq0 ON gq0.qid = g.qid // 10) GROUP BY qid, clause_id)
-    SELECT qid, clause_id, round(score, 6) AS score FROM m2"""
+    SELECT qid, clause_id, round(round(score, 9), 6) AS score FROM m2"""
 
 
 def _with_asked(sql: str) -> str:
