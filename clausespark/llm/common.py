@@ -31,12 +31,9 @@ def unit_hash(*columns: Column | str, seed: int = 0) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` is called that (Spark ignores case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def own_columns(df: DataFrame, *replaced: str) -> list[str]:
+    """Columns to carry along: all but those an operator replaces and those that start with two underscores, which it uses itself."""
+    return [c for c in df.columns if c.lower() not in replaced and not c.startswith("__")]
 
 
 def ordered_positions(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, pos: str = "pos") -> DataFrame:
@@ -48,18 +45,18 @@ def ordered_positions(df: DataFrame, order: list[Column], sums: dict[str, str] |
     """
     sums = sums or {}
     ids = F.monotonically_increasing_id()
-    t = df.orderBy(*order).withColumns({"_part": F.shiftright(ids, 33), "_row": ids.bitwiseAND(F.lit((1 << 33) - 1))})
+    t = df.orderBy(*order).withColumns({"__part": F.shiftright(ids, 33), "__row": ids.bitwiseAND(F.lit((1 << 33) - 1))})
     t = cut_lineage(t)
-    totals = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    carried = {"_first": F.coalesce(F.sum("_n").over(before), F.lit(0))}
-    carried |= {f"_c_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in sums}
-    totals = totals.withColumns(carried).select("_part", *carried)
+    totals = t.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = {"__first": F.coalesce(F.sum("__n").over(before), F.lit(0))}
+    carried |= {f"__c_{n}": F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)) for n in sums}
+    totals = totals.withColumns(carried).select("__part", *carried)
     if sums:
-        here = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        here = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         t = t.withColumns({n: F.sum(c).over(here) for n, c in sums.items()})
-    t = t.join(totals, "_part").withColumns({pos: F.col("_first") + F.col("_row")} | {n: F.col(n) + F.col(f"_c_{n}") for n in sums})
-    return t.drop("_part", "_row", *carried)
+    t = t.join(totals, "__part").withColumns({pos: F.col("__first") + F.col("__row")} | {n: F.col(n) + F.col(f"__c_{n}") for n in sums})
+    return t.drop("__part", "__row", *carried)
 
 
 def join_counted(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread: list[str]) -> DataFrame:
@@ -70,12 +67,12 @@ def join_counted(rows: DataFrame, lookup: DataFrame, key: str, count: str, sprea
     partitions by ``spread`` in place of the key. Null keys match nothing.
     """
     values = [c for c in lookup.columns if c not in (key, count)]
-    total = lookup.agg(F.sum(count).alias("_all"))
-    hot = lookup.join(F.broadcast(total), F.col(count) * HOT_KEYS > F.col("_all")).select(key, F.struct(*values).alias("_hot"))
+    total = lookup.agg(F.sum(count).alias("__all"))
+    hot = lookup.join(F.broadcast(total), F.col(count) * HOT_KEYS > F.col("__all")).select(key, F.struct(*values).alias("__hot"))
     t = rows.join(F.broadcast(hot), key, "left")
     spreader = F.xxhash64(*spread, F.lit(1)).cast(dict(rows.dtypes)[key])
-    t = t.withColumn("_k", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spreader))
-    cold = lookup.select(F.col(key).alias("_k"), F.struct(*values).alias("_cold"))
-    t = t.join(cold, "_k", "left")
-    found = F.when(F.col("_hot").isNotNull(), F.col("_hot")).when(F.col(key).isNotNull(), F.col("_cold"))
-    return t.withColumn("_v", found).select(*[F.col(c) for c in rows.columns], *[F.col("_v")[c].alias(c) for c in values])
+    t = t.withColumn("__k", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spreader))
+    cold = lookup.select(F.col(key).alias("__k"), F.struct(*values).alias("__cold"))
+    t = t.join(cold, "__k", "left")
+    found = F.when(F.col("__hot").isNotNull(), F.col("__hot")).when(F.col(key).isNotNull(), F.col("__cold"))
+    return t.withColumn("__v", found).select(*[F.col(c) for c in rows.columns], *[F.col("__v")[c].alias(c) for c in values])

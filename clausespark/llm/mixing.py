@@ -14,7 +14,8 @@ short of the target by little.
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; documents of size
 0 have no words to take (taken 0; copies as the certain ones); a null doc_id and repeated doc_ids are ranked by
 a hash of doc_id and text, so repeated rows tie and which of them is taken makes no difference; an empty table
-gives an empty result. Added columns replace input columns of the same name.
+gives an empty result. Added columns replace input columns of the same name; input columns that
+start with two underscores are not carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausespark.llm.common import unit_hash
+from clausespark.llm.common import own_columns, unit_hash
 from clausespark.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -46,60 +47,61 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     wheel = F.array(*[F.lit(float(w)) for w in weights])
-    t = sizes.withColumn("_w", F.element_at(wheel, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
-    t = t.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_r", F.col("_cap") / F.col("_w"))
-    by = Window.orderBy("_r", F.col("source").isNull(), F.col("source"))
+    t = sizes.withColumn("__w", F.element_at(wheel, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
+    t = t.withColumn("__cap", F.col("source_size") * F.lit(float(most))).withColumn("__r", F.col("__cap") / F.col("__w"))
+    by = Window.orderBy("__r", F.col("source").isNull(), F.col("source"))
     below, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy().orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(whole) * F.lit(float(share))
-    t = t.withColumn("_level", (total - F.coalesce(F.sum("_cap").over(below), F.lit(0.0))) / F.sum("_w").over(rest))
-    t = t.withColumn("_at", F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_r", "_level"))).over(whole)["_level"])
-    target = F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_at") * F.col("_w")))
-    return t.withColumn("target", target).drop("_w", "_cap", "_r", "_level", "_at")
+    t = t.withColumn("__level", (total - F.coalesce(F.sum("__cap").over(below), F.lit(0.0))) / F.sum("__w").over(rest))
+    t = t.withColumn("__at", F.min(F.when(F.col("__level") <= F.col("__r"), F.struct("__r", "__level"))).over(whole)["__level"])
+    target = F.when(F.col("__at").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__at") * F.col("__w")))
+    return t.withColumn("target", target).drop("__w", "__cap", "__r", "__level", "__at")
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, size_power: float = SIZE_POWER) -> DataFrame:
     """``docs`` with size, source_size, target (of the row's source), copies and taken (words: copies times size)."""
     out = ("size", "source_size", "target", "copies", "taken")
-    t = docs.drop(*out).withColumn("size", word_count(F.col("text")))
+    kept = own_columns(docs, *out)
+    t = docs.select(*kept).withColumn("size", word_count(F.col("text")))
     # odds of the random number over odds of inclusion, relative to those of a document of average measure
     u = unit_hash("doc_id", F.xxhash64("text"), seed=seed)
     measure = F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(float(size_power)))
-    t = t.withColumns({"_odds": u / (1 - u), "_m": measure})
-    sums = t.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_m").alias("_avg"))
+    t = t.withColumns({"__odds": u / (1 - u), "__m": measure})
+    sums = t.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"), F.avg("__m").alias("__avg"))
     sums = cut_lineage(source_targets(sums, weights, share, most))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    sources = sums.withColumn("_s", key).drop("source")
-    t = t.withColumn("_s", key).join(sources, "_s")
-    t = t.withColumn("_rank", F.col("_odds") / (F.col("_m") / F.col("_avg")))
-    t = t.withColumn("_bucket", F.floor(F.col("_rank") / (1 + F.col("_rank")) * F.ceil(F.col("_n") / BUCKET_ROWS)))
+    sources = sums.withColumn("__s", key).drop("source")
+    t = t.withColumn("__s", key).join(sources, "__s")
+    t = t.withColumn("__rank", F.col("__odds") / (F.col("__m") / F.col("__avg")))
+    t = t.withColumn("__bucket", F.floor(F.col("__rank") / (1 + F.col("__rank")) * F.ceil(F.col("__n") / BUCKET_ROWS)))
     certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0))
-    t = t.withColumns({"_certain": certain, "_left": F.floor(F.col("target") - certain * F.col("source_size") + 1e-6)})
-
-    before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = t.groupBy("_s", "_bucket", "_left").agg(F.sum("size").alias("_sum"))
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = buckets.filter((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_sum") > F.col("_left")))
-    cut = cut_lineage(cut.groupBy("_s").agg(F.min("_bucket").alias("_cut"), F.min(F.col("_left") - F.col("_before")).alias("_room")))
-    t = t.join(cut, "_s", "left")
-    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    t = t.withColumns({"__certain": certain, "__left": F.floor(F.col("target") - certain * F.col("source_size") + 1e-6)})
+
+    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = t.groupBy("__s", "__bucket", "__left").agg(F.sum("size").alias("__sum"))
+    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    cut = buckets.filter((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("__sum") > F.col("__left")))
+    cut = cut_lineage(cut.groupBy("__s").agg(F.min("__bucket").alias("__cut"), F.min(F.col("__left") - F.col("__before")).alias("__room")))
+    t = t.join(cut, "__s", "left")
+    at_cut = F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))
     # no cut: every document fits, which happens only if there is nothing to draw from
-    sure = t.filter(~at_cut).withColumn("_drawn", F.coalesce(F.col("_bucket") < F.col("_cut"), F.col("_left") > 0))
+    sure = t.filter(~at_cut).withColumn("__drawn", F.coalesce(F.col("__bucket") < F.col("__cut"), F.col("__left") > 0))
 
-    edge = t.filter(at_cut).withColumn("_drawn", F.lit(False))
+    edge = t.filter(at_cut).withColumn("__drawn", F.lit(False))
     for _ in range(FILL_ROUNDS):
-        rank = Window.partitionBy("_s", "_open").orderBy("_rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        every = Window.partitionBy("_s")
-        edge = edge.withColumn("_open", ~F.col("_drawn") & (F.col("size") <= F.col("_room")))
-        edge = edge.withColumn("_fits", F.col("_open") & (F.sum("size").over(rank) <= F.col("_room")))
-        edge = edge.withColumn("_room", F.col("_room") - F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))).over(every), F.lit(0)))
-        edge = edge.withColumn("_drawn", F.col("_drawn") | F.col("_fits")).drop("_open", "_fits")
+        rank = Window.partitionBy("__s", "__open").orderBy("__rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = Window.partitionBy("__s")
+        edge = edge.withColumn("__open", ~F.col("__drawn") & (F.col("size") <= F.col("__room")))
+        edge = edge.withColumn("__fits", F.col("__open") & (F.sum("size").over(rank) <= F.col("__room")))
+        edge = edge.withColumn("__room", F.col("__room") - F.coalesce(F.sum(F.when(F.col("__fits"), F.col("size"))).over(every), F.lit(0)))
+        edge = edge.withColumn("__drawn", F.col("__drawn") | F.col("__fits")).drop("__open", "__fits")
     t = sure.unionByName(edge)
-    t = t.withColumn("copies", (F.col("_certain") + F.col("_drawn").cast("int")).cast("int"))
+    t = t.withColumn("copies", (F.col("__certain") + F.col("__drawn").cast("int")).cast("int"))
     t = t.withColumn("taken", F.col("copies") * F.col("size"))
-    return t.select(*[F.col(c) for c in docs.columns if c.lower() not in out], *out)
+    return t.select(*kept, *out)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
     """Each row as often as its ``copies`` say; rows of none go."""
-    return mixed.filter("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_i")
+    return mixed.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__i")

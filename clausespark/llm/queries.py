@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import mixing
+from clausespark.llm import mixing, sharding
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 def op2_mix_sources(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@query("op10_minimax_shards")
+def op10_minimax_shards(spark, folder):
+    return sharding.shard(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
