@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import mixing, sharding
+from clausespark.llm import gray_index, mixing, sharding
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,8 @@ def op2_mix_sources(spark, folder):
 @query("op10_minimax_shards")
 def op10_minimax_shards(spark, folder):
     return sharding.shard(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op4_gray_simhash")
+def op4_gray_simhash(spark, folder):
+    return gray_index.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
