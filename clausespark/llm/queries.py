@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import gray_index, mixing, sharding
+from clausespark.llm import fingerprints, gray_index, mixing, sharding
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,8 @@ def op10_minimax_shards(spark, folder):
 @query("op4_gray_simhash")
 def op4_gray_simhash(spark, folder):
     return gray_index.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query("op9_simhash_fingerprints")
+def op9_simhash_fingerprints(spark, folder):
+    return fingerprints.compare_with_edited(table(spark, folder, "documents").select("doc_id", "text"))
