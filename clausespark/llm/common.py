@@ -36,6 +36,11 @@ def own_columns(df: DataFrame, *replaced: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in replaced and not c.startswith("__")]
 
 
+def row_key() -> Column:
+    """A string that rows of equal doc_id and text share."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
+
+
 def ordered_positions(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, pos: str = "pos") -> DataFrame:
     """0-based place of every row in one global order, plus running sums up to and including the row.
 

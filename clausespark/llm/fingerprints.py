@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausespark.llm.common import ascii_lower, ordered_positions, split_words
+from clausespark.llm.common import ascii_lower, ordered_positions, row_key, split_words
 from clausespark.llm.votes import distance, hex16, tally
 from clausespark.session import cut_lineage
 
@@ -85,8 +85,7 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
 
 def with_key(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text) with a key that equal pairs of doc_id and text share."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
-    return docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def next_documents(docs: DataFrame) -> DataFrame:

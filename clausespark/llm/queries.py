@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import fingerprints, gray_index, mixing, sharding
+from clausespark.llm import fingerprints, gray_index, mixing, positional_index, sharding
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,9 @@ def op4_gray_simhash(spark, folder):
 @query("op9_simhash_fingerprints")
 def op9_simhash_fingerprints(spark, folder):
     return fingerprints.compare_with_edited(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op3_positional_decontamination", positional_index.ORACLE)
+def op3_positional_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return positional_index.mark_contaminated(docs, table(spark, folder, "benchmark")).drop("text")
