@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import fingerprints, gray_index, mixing, positional_index, sharding
+from clausespark.llm import fingerprints, gray_index, language_id, mixing, positional_index, sharding
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,10 @@ def op9_simhash_fingerprints(spark, folder):
 def op3_positional_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return positional_index.mark_contaminated(docs, table(spark, folder, "benchmark")).drop("text")
+
+
+@query("op1_bigru_language")
+def op1_bigru_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
