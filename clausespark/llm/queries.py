@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import fingerprints, gray_index, language_id, mixing, positional_index, sharding
+from clausespark.llm import fingerprints, gray_index, language_id, mixing, personal_data, positional_index, secret_scan, sharding, spans
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,15 @@ def op1_bigru_language(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_crf_secrets")
+def op6_crf_secrets(spark, folder):
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"), secret_scan.train())
+    return spans.digest(found, secret_scan.BASE_KINDS, [secret_scan.KIND])
+
+
+@query("op8_crf_personal_data")
+def op8_crf_personal_data(spark, folder):
+    found = personal_data.scan(table(spark, folder, "documents").select("doc_id", "text"), personal_data.train())
+    return spans.digest(found, personal_data.BASE_KINDS, personal_data.KINDS)
