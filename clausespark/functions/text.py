@@ -232,8 +232,8 @@ def anchor_terms(specific: Column) -> Column:
 
 
 def fingerprint(value: Column | str) -> Column:
-    """Sorted distinct stems, first forty."""
-    return F.slice(F.array_sort(F.array_distinct(tokenize(value))), 1, 40)
+    """Sorted distinct stems."""
+    return F.array_sort(F.array_distinct(tokenize(value)))
 
 
 # -------------------------------------------------------------------- scores

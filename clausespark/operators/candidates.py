@@ -36,7 +36,7 @@ def hybrid(
     fused = fused_lists(questions, clauses, postings, dense_k, lexical_k)
     best = fused.where(F.col("fused_rank") <= rerank_n)
     # only the fused head of each question picks up its texts
-    items = best.join(questions, "qid").join(clauses.withColumn("snippet", F.left("text", F.lit(900))), "clause_id")
+    items = best.join(questions, "qid").join(clauses.withColumn("snippet", F.col("text")), "clause_id")
     return calibrate(rerank.rerank(items, rerank_n, top_k), numeric_profile)
 
 
@@ -88,8 +88,8 @@ def calibrate(items: DataFrame, profile: str | None = None) -> DataFrame:
 
 
 def seeded_dense(questions: DataFrame, clauses: DataFrame, k: int, postings: DataFrame | None = None) -> DataFrame:
-    """Dense top k restricted to each question's lexical seed list."""
-    seeds = lexical.retrieve(questions, clauses, max(k * 30, 900), postings).select("qid", "clause_id")
+    """Dense top k among all clauses that a question's terms touch."""
+    seeds = lexical.score_candidates(*lexical.matches(questions, clauses, postings)).select("qid", "clause_id")
     qv = with_vector(questions, "question", "qid", "qid").select("qid", F.struct("idx", "w").alias("qv"))
     cv = with_vector(clauses, "text", "clause_id", "clause_id").select("clause_id", F.struct("idx", "w").alias("cv"))
     pairs = seeds.join(qv, "qid").join(cv, "clause_id")
@@ -97,10 +97,9 @@ def seeded_dense(questions: DataFrame, clauses: DataFrame, k: int, postings: Dat
     return vector.rank(scored, k)
 
 
-def term_table(features: DataFrame, limit: int | None = None) -> DataFrame:
+def term_table(features: DataFrame) -> DataFrame:
     """(qid, term, pos) of the search terms."""
-    t = features.select("qid", F.posexplode("terms").alias("pos", "term"))
-    return t.where(F.col("pos") < limit) if limit else t
+    return features.select("qid", F.posexplode("terms").alias("pos", "term"))
 
 
 def text_hits(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
@@ -120,22 +119,21 @@ def pair_semantic(pairs: DataFrame, qv: DataFrame, iv: DataFrame, key: str) -> D
     return j.withColumn("semantic", F.round(s, 9)).drop("_q", "_i")
 
 
-def row_candidates(questions: DataFrame, rows: DataFrame, k: Column | int, fallback: int = 400) -> DataFrame:
+def row_candidates(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Scored table rows per question.
 
-    rows: row_id, table_id, table_number, row_index, code, search_text, combined. A question whose
-    first four terms hit no row is answered from its ``fallback`` nearest rows instead.
+    rows: row_id, table_id, table_number, row_index, code, search_text, combined. All rows that
+    a term hits are scored. A row without a hit scores its cosine alone, so of those only the nearest can enter.
     questions: qid, question, row_priority (boolean).
     """
     f = question_features(questions)
     qv = with_vector(questions, "question", "qid", "qid")
     iv = with_vector(rows, "search_text", "row_id", "id")
-    lead = term_table(f, 4)
-    hit = cut_lineage(lead.join(text_hits(rows, "row_id", "search_text", lead), "term").select("qid", "row_id").distinct())
-    missed = qv.join(hit.select("qid").distinct(), "qid", "left_anti")
-    missed = missed.join(f.where((F.size("terms") > 0) | F.col("row_priority")).select("qid"), "qid", "left_semi")
-    near = vector.top_k(missed, iv, fallback, K.HASH_DIM).select("qid", F.col("id").alias("row_id"))
-    pairs = pair_semantic(hit.unionByName(near), qv, iv, "row_id")
+    terms = term_table(f)
+    hit = terms.join(text_hits(rows, "row_id", "search_text", terms), "term").select("qid", "row_id").distinct()
+    asked = qv.join(f.where((F.size("terms") > 0) | F.col("row_priority")).select("qid"), "qid", "left_semi")
+    near = vector.top_k(asked, iv, k, K.HASH_DIM).select("qid", F.col("id").alias("row_id"))
+    pairs = pair_semantic(cut_lineage(hit.union(near).distinct()), qv, iv, "row_id")
     t = pairs.join(f, "qid").join(rows.withColumn("_h", X.normalize_text("combined")), "row_id")
     t = (
         t.withColumn("coverage", X.term_coverage(F.col("terms"), F.col("_h")))
@@ -169,18 +167,16 @@ def row_candidates(questions: DataFrame, rows: DataFrame, k: Column | int, fallb
 def row_fallback(questions: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """Rows by the keywords in their cells. cells: row_id, col_index, text.
 
-    A row is a candidate when one of its cells holds one of the first six terms; it is scored on all
-    of its cells. Cell terms are counted per cell and summed per row, no row is re-read.
+    A row is a candidate when one of its cells holds a term; it is scored on all of its cells. Cell terms are counted per cell and summed per row, no row is re-read.
     """
     f = question_features(questions)
     terms = term_table(f)
-    lead = F.max((F.col("pos") < 6).cast("int"))
     hits = text_hits(cells.withColumn("cell", F.struct("row_id", "col_index")), "cell", "text", terms)
     per_row = hits.groupBy(F.col("cell.row_id").alias("row_id"), "term").agg(F.sum("tf").alias("tf"))
     g = terms.join(per_row, "term").groupBy("qid", "row_id").agg(
-        F.count(F.lit(1)).alias("coverage"), F.sum("tf").alias("tf"), lead.alias("lead")
+        F.count(F.lit(1)).alias("coverage"), F.sum("tf").alias("tf")
     )
-    g = g.where(F.col("lead") == 1).join(f.select("qid", F.size("terms").alias("n")), "qid")
+    g = g.join(f.select("qid", F.size("terms").alias("n")), "qid")
     score = F.col("coverage") * 0.55 + F.least(F.lit(0.55), F.col("tf") * 0.07)
     g = g.withColumn("score", F.round(score, 9)).withColumn("keyword", F.round(F.col("coverage") / F.col("n"), 9))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "row_id")
@@ -215,11 +211,19 @@ def image_candidates(questions: DataFrame, images: DataFrame, k: int = K.IMAGE_T
 def exact_clauses(references: DataFrame, clauses: DataFrame, k: int = 6) -> DataFrame:
     """Clauses whose stored number a question names, within the named documents if any.
 
-    references: qid, clause_numbers, document_codes.
+    references: qid, clause_numbers, document_codes. A named document joins on number and code. Without one,
+    only the first ``k`` clauses of a number can enter a list, so the others are cut before the join: each
+    slice of a number keeps its first ``k``, and these are ranked.
     """
     r = references.select("qid", "document_codes", F.explode("clause_numbers").alias("clause_number")).distinct()
-    j = r.join(clauses, "clause_number")
-    j = j.where((F.size("document_codes") == 0) | F.array_contains("document_codes", F.col("code")))
+    named = r.select("qid", "clause_number", F.explode("document_codes").alias("code")).distinct().join(clauses, ["clause_number", "code"])
+    sliced = Window.partitionBy("clause_number", "_slice").orderBy("clause_id")
+    first = Window.partitionBy("clause_number").orderBy("clause_id")
+    heads = clauses.withColumn("_slice", F.pmod(F.xxhash64("clause_id"), F.lit(256)))
+    heads = heads.withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= k)
+    heads = heads.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_slice", "_r")
+    loose = r.where(F.size("document_codes") == 0).select("qid", "clause_number").join(heads, "clause_number")
+    j = named.select("qid", "clause_id", "code", "clause_number").unionByName(loose.select("qid", "clause_id", "code", "clause_number"))
     w = Window.partitionBy("qid").orderBy("clause_id")
     t = j.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     return t.select("qid", "clause_id", "code", "clause_number", F.lit(1.35).alias("score"), "rank")

@@ -6,8 +6,8 @@ occurrence always lies inside one token of the text. The plan therefore works on
 1. the distinct tokens of the corpus are matched to the distinct terms by an equi-join on the
    substrings whose lengths occur among the terms;
 2. tokens of the clauses that match any term are joined back and counted per (clause, term);
-3. terms that decide candidacy are joined to the questions first; the common ones are looked up only
-   for clauses that are candidates already, or for questions that need the wider search.
+3. every clause that a term touches is a candidate; for a top k, common terms are looked up only for clauses
+   that rarer ones touch, as soon as the common ones alone could not bring a clause into the list.
 
 No side is broadcast by hand: small ones are broadcast by size, large ones are shuffled.
 """
@@ -21,6 +21,10 @@ from clausespark import constants as K
 from clausespark.functions import text as X
 from clausespark.session import cut_lineage
 
+PRIORITY_WEIGHT, UNIQUE_WEIGHT = 3.0, 1.15
+#: The most that counts of occurrences (1.0, 0.6) and full priority coverage (0.45) add to a score.
+EXTRA_MOST = 2.05
+
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     """(qid, term, is_unique, is_priority, n_priority) of every question."""
@@ -69,64 +73,52 @@ def term_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def score_candidates(terms: DataFrame, hits: DataFrame, limit: int, staged: bool | None = None) -> DataFrame:
-    """Scores of all candidate clauses per question before the cut: (qid, clause_id, score, coverage, tf).
-
-    A question starts with the clauses whose text holds a priority term. With fewer than
-    max(24, 3 * limit) of them it takes clauses with any term in the text, and with still fewer
-    also those that match in the title alone.
-
-    Two plans give the same rows. One joins all terms at once; the staged one joins the deciding terms first
-    and looks common terms up only where they matter, which wins when common terms fill the postings. The
-    cheaper one is taken by the number of rows each would join, counted from the hits.
-    """
-    enough = max(24, 3 * limit)
-    lead = F.col("is_priority") | (F.col("n_priority") == 0)
-    if staged is None:
-        n = terms.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
-        cost = n.agg(F.sum("n").alias("once"), F.sum(F.when(lead, F.col("n") * F.col("n_unique"))).alias("staged")).first()
-        staged = (cost["staged"] or 0) < (cost["once"] or 0)
-    agg = [
+def _gather(terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """Counts per question and touched clause; ``hits`` joins on whatever columns both sides share."""
+    on = ["term", "clause_id"] if "clause_id" in terms.columns else ["term"]
+    return terms.join(hits, on).groupBy("qid", "clause_id").agg(
         F.sum(F.when(F.col("is_unique"), F.col("tf")).otherwise(0)).alias("tf"),
         F.sum(F.col("is_unique").cast("int")).alias("coverage"),
         F.sum(F.when(F.col("is_priority"), F.col("tf")).otherwise(0)).alias("p_tf"),
         F.sum(F.col("is_priority").cast("int")).alias("p_coverage"),
         F.max("n_priority").alias("n_priority"),
-        F.max((F.col("text_tf") > 0).cast("int")).alias("in_text"),
-        F.max((lead & (F.col("text_tf") > 0)).cast("int")).alias("led"),
-    ]
-    if staged:
-        g = _staged(terms, hits, lead, agg, enough)
-    else:
-        g = terms.join(hits, "term").groupBy("qid", "clause_id").agg(*agg)
-        c = g.groupBy("qid").agg(F.sum("led").alias("c1"), F.sum("in_text").alias("c2"))
-        keep = F.when(F.col("c1") >= enough, F.col("led") == 1).when(F.col("c2") >= enough, F.col("in_text") == 1).otherwise(True)
-        g = g.join(c, "qid").where(keep)
-    return _scores(g)
-
-
-def _staged(terms: DataFrame, hits: DataFrame, lead, agg: list, enough: int) -> DataFrame:
-    started = terms.where(lead).join(hits, "term").groupBy("qid", "clause_id").agg(F.max((F.col("text_tf") > 0).cast("int")).alias("t"))
-    counts = started.groupBy("qid").agg(F.sum("t").alias("c1"))
-    q = terms.select("qid").distinct().join(counts, "qid", "left").select("qid", F.coalesce("c1", F.lit(0)).alias("c1"))
-    narrow = q.where(F.col("c1") >= enough).select("qid")
-    wide = q.where(F.col("c1") < enough).select("qid")
-    # questions with enough leading clauses: those clauses only, all terms
-    pairs = started.where("t = 1").select("qid", "clause_id").join(narrow, "qid", "left_semi")
-    a = pairs.join(terms, "qid").join(hits, ["clause_id", "term"]).groupBy("qid", "clause_id").agg(*agg)
-    # the others: every clause any term touches
-    b = terms.join(wide, "qid", "left_semi").join(hits, "term").groupBy("qid", "clause_id").agg(*agg)
-    c2 = b.groupBy("qid").agg(F.sum("in_text").alias("c2"))
-    b = b.join(c2, "qid").where((F.col("in_text") == 1) | (F.col("c2") < enough)).drop("c2")
-    return a.unionByName(b)
+    )
+
+
+def score_candidates(terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """Scores of all clauses that any term touches: (qid, clause_id, score, coverage, tf)."""
+    return _scores(_gather(terms, hits))
+
+
+def top_scored(terms: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The same rows as the best ``k`` of ``score_candidates`` per question, without joining common terms to every clause.
+
+    Each term has an upper bound of what it adds. The rarest terms alone give partial scores, and the k-th best
+    of these is a floor. Terms are then taken from rare to common until those left could not lift an untouched
+    clause to the floor; only clauses that a term taken so far touches are scored in full.
+    """
+    count = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    bound = F.when(F.col("is_unique"), UNIQUE_WEIGHT).otherwise(0.0) + F.when(F.col("is_priority"), PRIORITY_WEIGHT).otherwise(0.0)
+    t = terms.join(count, "term").withColumn("bound", bound)
+    rare_first = Window.partitionBy("qid").orderBy("n", "term")  # the few terms of one question
+    left = F.sum("bound").over(rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    t = t.withColumn("left", left).withColumn("lead", left * 2 > F.sum("bound").over(Window.partitionBy("qid")))
+    t = cut_lineage(t)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "clause_id")
+    partial = score_candidates(t.where("lead"), hits).withColumn("r", F.row_number().over(order))
+    floor = cut_lineage(partial.where(F.col("r") == k).select("qid", F.col("score").alias("floor")))
+    t = t.join(floor, "qid", "left")
+    needed = t.where(F.col("lead") | F.col("floor").isNull() | (F.col("left") + EXTRA_MOST + 1e-6 >= F.col("floor")))
+    touched = needed.join(hits, "term").select("qid", "clause_id").distinct()
+    return _scores(_gather(touched.join(terms, "qid"), hits))
 
 
 def _scores(g: DataFrame) -> DataFrame:
     s = g.where(F.col("tf") > 0)
     s = s.where(~((F.col("n_priority") > 0) & (F.col("p_coverage") <= 0) & (F.col("coverage") < 2)))
     score = (
-        F.col("p_coverage") * 3.0
-        + F.col("coverage") * 1.15
+        F.col("p_coverage") * PRIORITY_WEIGHT
+        + F.col("coverage") * UNIQUE_WEIGHT
         + F.least(F.lit(1.0), F.log1p("p_tf") * 0.45)
         + F.least(F.lit(0.6), F.log1p("tf") * 0.18)
         + F.when((F.col("n_priority") > 0) & (F.col("p_coverage") == F.col("n_priority")), 0.45).otherwise(0.0)
@@ -140,12 +132,16 @@ def top_clauses(scored: DataFrame, k: int) -> DataFrame:
     return r.withColumnRenamed("score", "lexical_score")
 
 
+def matches(questions: DataFrame, clauses: DataFrame, postings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Terms of the questions and their hits, as written tables."""
+    terms = cut_lineage(question_terms(questions))
+    return terms, cut_lineage(term_hits(clause_tokens(clauses) if postings is None else postings, terms))
+
+
 def retrieve(questions: DataFrame, clauses: DataFrame, k: int = K.LEXICAL_K, postings: DataFrame | None = None) -> DataFrame:
     """Lexical list of a question table: (qid, clause_id, lexical_score, coverage, tf, lexical_rank)."""
-    # terms and hits are read several times below
-    terms = cut_lineage(question_terms(questions))
-    hits = cut_lineage(term_hits(clause_tokens(clauses) if postings is None else postings, terms))
-    return top_clauses(score_candidates(terms, hits, k), k)
+    terms, hits = matches(questions, clauses, postings)
+    return top_clauses(top_scored(terms, hits, k), k)
 
 
 def containing(clauses: DataFrame, terms: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def lexical_retrieve(spark, sf):
 
 @query(
     "seeded_knn",
-    f"""WITH {P.BASE}, {P.terms_cte('a', 'question')}, {P.lexical_cte('a', 900)}, {P.dense_cte('a', 'question', 24)},
+    f"""WITH {P.BASE}, {P.terms_cte('a', 'question')}, {P.lexical_cte('a', None)}, {P.dense_cte('a', 'question', 24)},
     s AS (SELECT d.* FROM add d JOIN alex l USING (qid, clause_id))
     SELECT qid, clause_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, clause_id) AS rank FROM s) WHERE rank <= 24""",
 )
@@ -144,7 +144,7 @@ def fused_items(spark, sf):
     c = A.clauses(spark, sf)
     q = A.questions(spark, sf)
     best = C.fused_lists(q, c).where(F.col("fused_rank") <= K.RERANK_CANDIDATES)
-    return best.join(q, "qid").join(c.withColumn("snippet", F.left("text", F.lit(900))), "clause_id")
+    return best.join(q, "qid").join(c.withColumn("snippet", F.col("text")), "clause_id")
 
 
 @query(
@@ -251,13 +251,13 @@ rowq AS (SELECT min(p_partkey) AS qid, CASE min(p_partkey) % 3 WHEN 0 THEN p_nam
 
 @query(
     "row_candidates",
-    f"""WITH {ROW_SQL}, {P.sparse_cte('rv', 'rowtext', 'row_id', 'search_text')}, {P.dense_cte('a', 'rowq', 400, 'rv', 'row_id')}, {P.features_cte('a', 'rowq')},
+    f"""WITH {ROW_SQL}, {P.sparse_cte('rv', 'rowtext', 'row_id', 'search_text')}, {P.dense_cte('a', 'rowq', 8, 'rv', 'row_id')}, {P.features_cte('a', 'rowq')},
     pq AS (SELECT qid, question AS text FROM rowq), {S.profile_cte('pq', 'prof')},
     ft AS (SELECT *, {S.any_of('norm', K.ROW_TABLE_TERMS)} AND {S.any_of('norm', K.ROW_FOCUS_TERMS)} AND {S.any_of('norm', K.ROW_QUESTION_TERMS)}
            AND NOT {S.any_of('norm', K.DOCUMENT_LIST_PHRASES)} AS pri FROM afeat),
     rh AS (SELECT *, {S.fold('search_text')} AS hs, {S.norm('combined')} AS h FROM rowfull),
-    hit AS (SELECT f.qid, r.row_id FROM ft f, rh r WHERE len(list_filter(terms[1:4], lambda t: contains(r.hs, t))) > 0),
-    cnd AS (SELECT * FROM hit UNION ALL SELECT qid, row_id FROM adense WHERE qid NOT IN (SELECT qid FROM hit)),
+    hit AS (SELECT f.qid, r.row_id FROM ft f, rh r WHERE len(list_filter(terms, lambda t: contains(r.hs, t))) > 0),
+    cnd AS (SELECT * FROM hit UNION SELECT qid, row_id FROM adense),
     x AS (SELECT c.qid, c.row_id, coalesce(d.score, 0) AS sem, f.*EXCLUDE(qid), r.*EXCLUDE(row_id), p.is_numeric FROM cnd c JOIN ft f USING (qid) JOIN rh r USING (row_id)
           JOIN prof p USING (qid) LEFT JOIN add d USING (qid, row_id)),
     y AS (SELECT *, {S.coverage('terms', 'h')} AS cov, {S.frequency('terms', 'h')} AS tf, {S.coverage('specific', 'h')} AS sc,
@@ -278,7 +278,7 @@ def row_candidates(spark, sf):
     "row_fallback",
     f"""WITH {ROW_SQL}, {P.features_cte('a', 'rowq')}, rh AS (SELECT row_id, {S.norm("array_to_string(texts, ' | ')")} AS h FROM rowtext),
     x AS (SELECT f.qid, row_id, {S.coverage('terms', 'h')} AS cov, {S.frequency('terms', 'h')} AS tf, len(terms) AS n FROM afeat f, rh
-          WHERE len(list_filter(terms[1:6], lambda t: contains(h, t))) > 0),
+          WHERE len(list_filter(terms, lambda t: contains(h, t))) > 0),
     z AS (SELECT *, round(cov * 0.55 + least(0.55, tf * 0.07), 9) AS score FROM x)
     SELECT qid, row_id, round(score, 6)::DOUBLE AS score, round(cov / n, 6) AS keyword, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM z) WHERE rank <= 8""",

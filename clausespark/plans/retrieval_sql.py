@@ -37,22 +37,17 @@ def terms_cte(p: str, src: str) -> str:
       FROM (SELECT qid, u, pr, unnest(list_distinct(list_concat(u, pr))) AS term FROM {p}t4))"""
 
 
-def lexical_cte(p: str, k: int) -> str:
-    """{p}lex(qid, clause_id, score, coverage, tf, rk) by scanning every clause for every term."""
-    enough = max(24, 3 * k)
-    return f"""{p}hit {MAT} (SELECT term, clause_id, (length(h) - length(replace(h, term, ''))) // length(term) AS tf, contains(b, term) AS in_text
+def lexical_cte(p: str, k: int | None) -> str:
+    """{p}lex(qid, clause_id, score, coverage, tf, rk) by scanning every clause for every term; all of them without ``k``."""
+    return f"""{p}hit {MAT} (SELECT term, clause_id, (length(h) - length(replace(h, term, ''))) // length(term) AS tf
       FROM (SELECT DISTINCT term FROM {p}terms) t, hay WHERE contains(h, term)),
 {p}g {MAT} (SELECT qid, clause_id, sum(CASE WHEN is_u THEN tf ELSE 0 END) AS tf, count(*) FILTER (is_u) AS coverage,
-      sum(CASE WHEN is_p THEN tf ELSE 0 END) AS p_tf, count(*) FILTER (is_p) AS p_cov, max(n_p) AS n_p,
-      bool_or(in_text) AS any_text, bool_or(in_text AND (is_p OR n_p = 0)) AS lead_text
+      sum(CASE WHEN is_p THEN tf ELSE 0 END) AS p_tf, count(*) FILTER (is_p) AS p_cov, max(n_p) AS n_p
       FROM {p}terms JOIN {p}hit USING (term) GROUP BY qid, clause_id),
-{p}n AS (SELECT qid, count(*) FILTER (lead_text) AS c1, count(*) FILTER (any_text) AS c2 FROM {p}g GROUP BY qid),
-{p}ok AS (SELECT g.* FROM {p}g g JOIN {p}n USING (qid)
-      WHERE CASE WHEN c1 >= {enough} THEN lead_text WHEN c2 >= {enough} THEN any_text ELSE true END
-        AND tf > 0 AND NOT (n_p > 0 AND p_cov = 0 AND coverage < 2)),
+{p}ok AS (SELECT * FROM {p}g WHERE tf > 0 AND NOT (n_p > 0 AND p_cov = 0 AND coverage < 2)),
 {p}ls AS (SELECT qid, clause_id, coverage, tf, round(p_cov * 3.0::DOUBLE + coverage * 1.15::DOUBLE + least(1.0, ln(1 + p_tf) * 0.45::DOUBLE)
       + least(0.6, ln(1 + tf) * 0.18::DOUBLE) + CASE WHEN n_p > 0 AND p_cov = n_p THEN 0.45 ELSE 0 END::DOUBLE, 9) AS score FROM {p}ok),
-{p}lex {MAT} (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, clause_id) AS rk FROM {p}ls) WHERE rk <= {k})"""
+{p}lex {MAT} (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, clause_id) AS rk FROM {p}ls){f" WHERE rk <= {k}" if k else ""})"""
 
 
 HAY = f"""hay {MAT} (SELECT clause_id, {S.fold("chapter_title || ' ' || text")} AS h, {S.fold('text')} AS b FROM clause)"""
@@ -75,7 +70,7 @@ def fused_cte(p: str) -> str:
 def rerank_cte(p: str, src: str, n: int, prof_src: str | None = None) -> str:
     """{p}rr(qid, clause_id, ..., rerank, overlap, rk): feature scores of the fused head."""
     return f"""{p}it {MAT} (SELECT f.qid, q.question, f.clause_id, f.hybrid, f.dense_score, f.lexical_score, c.clause_number, c.code, c.document_id,
-      c.chapter_title, left(c.text, 900) AS snippet FROM {p}fused f JOIN {src} q USING (qid) JOIN clause c USING (clause_id) WHERE fr <= {n}),
+      c.chapter_title, c.text AS snippet FROM {p}fused f JOIN {src} q USING (qid) JOIN clause c USING (clause_id) WHERE fr <= {n}),
 {p}pq AS (SELECT qid, question AS text FROM {src}), {S.profile_cte(p + 'pq', p + 'prof')},
 {p}pp AS (SELECT qid, clause_id AS tid, snippet AS text FROM {p}it), {S.match_cte(p + 'prof', p + 'pp', p + 'nm')},
 {p}ov AS (SELECT i.*, t.d, len(list_filter(t.d, lambda x: contains(lower(i.snippet), x))) AS overlap, pr.is_numeric, coalesce(m.score, 0) AS num
@@ -85,7 +80,7 @@ def rerank_cte(p: str, src: str, n: int, prof_src: str | None = None) -> str:
       + CASE WHEN is_numeric THEN num * 0.22 - CASE WHEN num <= 0.01 THEN 0.03 ELSE 0 END ELSE 0 END
       + least(0.03, ln(1 + overlap) * 0.01) ELSE hybrid END, 9) AS rerank FROM {p}ov),
 {p}rr {MAT} (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, clause_id) AS rk,
-      list_sort(list_distinct({S.stems(S.fold('snippet'))}))[1:40] AS fp FROM {p}rs)"""
+      list_sort(list_distinct({S.stems(S.fold('snippet'))})) AS fp FROM {p}rs)"""
 
 
 def suppress_cte(p: str, k: int, rows: str = "rr", scope: str = "code") -> str:

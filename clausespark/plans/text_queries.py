@@ -162,7 +162,7 @@ def keyword_score(spark, sf):
 
 @query(
     "fingerprints",
-    f"""WITH {S.CLAUSE} SELECT clause_id, md5(array_to_string(list_sort(list_distinct({S.stems(S.fold('text'))}))[1:40], ' ')) AS fp
+    f"""WITH {S.CLAUSE} SELECT clause_id, md5(array_to_string(list_sort(list_distinct({S.stems(S.fold('text'))})), ' ')) AS fp
     FROM clause""",
 )
 def fingerprints(spark, sf):

@@ -88,7 +88,7 @@ def test_lexical_equals_brute_force_with_a_hot_word(spark):
     qs = [(i, f"umumiy {rng.choice(vocab)} {rng.choice(vocab)} haqida nima deyilgan") for i in range(20)]
     questions = spark.createDataFrame(qs, "qid int, question string")
     terms = lexical.question_terms(questions)
-    got = {(r["qid"], r["clause_id"]): (r["coverage"], r["tf"]) for r in lexical.score_candidates(terms, lexical.term_hits(lexical.clause_tokens(clauses), terms), 5).collect()}
+    got = {(r["qid"], r["clause_id"]): (r["coverage"], r["tf"]) for r in lexical.score_candidates(terms, lexical.term_hits(lexical.clause_tokens(clauses), terms)).collect()}
     t = terms.collect()
     for (qid, cid), (cov, tf) in got.items():
         hay = next(f"{c} {x}" for i, c, x in rows if i == cid).lower()
@@ -96,8 +96,27 @@ def test_lexical_equals_brute_force_with_a_hot_word(spark):
         assert cov == sum(m in hay for m in mine) and tf == sum(hay.count(m) for m in mine)
     assert len(got) > 20
     hits = lexical.term_hits(lexical.clause_tokens(clauses), terms)
-    rows = lambda flag: sorted(tuple(r) for r in lexical.score_candidates(terms, hits, 5, staged=flag).collect())
-    assert rows(True) == rows(False)
+    for k in (1, 5, 50):
+        rows = lambda scored: sorted(tuple(r) for r in lexical.top_clauses(scored, k).collect())
+        assert rows(lexical.top_scored(terms, hits, k)) == rows(lexical.score_candidates(terms, hits))
+
+
+def test_many_priority_hits_hide_no_better_clause(spark):
+    """Sixty clauses with a priority term alone, and one with six ordinary terms, which scores higher than they."""
+    ordinary = "band raqam talab qanday bino uchun"
+    rows = [(f"p{i:02d}", "1-bob", "zinapoya") for i in range(60)] + [("best", "1-bob", f"{ordinary} zinapoya"), ("other", "1-bob", "eshik balandlik kenglik masofa")]
+    clauses = spark.createDataFrame(rows, "clause_id string, chapter_title string, text string")
+    questions = spark.createDataFrame([(1, "zinapoya eshik balandlik kenglik masofa")], "qid int, question string")
+    got = [r["clause_id"] for r in lexical.retrieve(questions, clauses, 3).orderBy("lexical_rank").collect()]
+    assert "other" in got[:2]
+
+
+def test_texts_that_differ_behind_forty_stems_have_different_fingerprints(spark, one):
+    from clausespark.functions import text as X
+
+    words = [f"suz{i:03d}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[:50] + [f"yangi{i:03d}" for i in range(10)])
+    assert one(X.fingerprint(F.lit(a))) != one(X.fingerprint(F.lit(b)))
 
 
 def test_embedders_agree(spark):
