@@ -348,8 +348,8 @@ def table_pick(questions: DataFrame, tables: DataFrame) -> DataFrame:
     msg = X.normalize_text("question")
     hit = (F.length(section) >= 8) & (F.contains(msg, section) | ((F.length(core) >= 8) & F.contains(msg, core)))
     head = F.concat_ws(" | ", "title", "section_title", "table_number")
-    combined = F.concat_ws(" | ", head, F.left("body", F.lit(2000)))
-    context_hay = X.normalize_text(F.concat_ws(" ", "code", "section_title", "title", F.left("body", F.lit(2500))))
+    combined = F.concat_ws(" | ", head, "body")
+    context_hay = X.normalize_text(F.concat_ws(" ", "code", "section_title", "title", "body"))
     score = (
         F.lit(0.55)
         + F.when(R.table_mentioned(X.normalize_text(combined), F.col("number")), 0.15).otherwise(0.0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
+from clausespark.operators.ordered import dense_positions
 
 STAGES = ("doc_html", "chunking", "row_embedding", "img_embedding")
 
@@ -71,11 +72,13 @@ def dashboard(documents: DataFrame, processes: DataFrame, totals: dict[str, Data
 
 
 def status_sorted(documents: DataFrame, order: dict[str, int]) -> DataFrame:
-    """Documents in a custom status order, unknown status last, then by code."""
+    """Documents with their 1-based ``position`` in a custom status order, unknown status last, then by code."""
     place = F.lit(99)
     for name, n in order.items():
         place = F.when(F.col("status") == name, n).otherwise(place)
-    return documents.orderBy(place, "code", "document_id")
+    t = documents.withColumns({"_all": F.lit(0), "_place": place})
+    t = dense_positions(t, "_all", ["_place", "code", "document_id"], "position")
+    return t.select(*documents.columns, (F.col("position") + 1).alias("position"))
 
 
 def erase_users(sessions: DataFrame, users: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,8 +108,3 @@ def import_taxonomy(rows: DataFrame, existing: DataFrame, default: str = "UMUMIY
 def page(inventory: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of the merged inventory in (kind, sequence) order."""
     return inventory.orderBy("kind_order", "seq", "id").offset(offset).limit(limit)
-
-
-def numbered(df: DataFrame, group: str, *order) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("position", F.row_number().over(w).cast("bigint"))

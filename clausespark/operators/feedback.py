@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
@@ -14,6 +14,15 @@ VERIFIED_KEY = ["normalized_question", "source_hash", "answer"]
 REJECTED_KEY = ["normalized_question", "answer"]
 
 
+EVENT = ("ts", "event_id")
+
+
+def _stamps(first: str, last: tuple[str, ...]) -> Column:
+    """When each value was given: its first event for ``first``, the last one with a value for the others."""
+    fields = [F.min(F.struct(*EVENT)).alias(first)]
+    return F.struct(*fields, *[F.max(F.when(F.col(c).isNotNull(), F.struct(*EVENT))).alias(c) for c in last]).alias("stamps")
+
+
 def _latest(column: str) -> Column:
     """Last supplied value by time; a null never overwrites."""
     at = F.when(F.col(column).isNotNull(), F.struct("ts", "event_id"))
@@ -28,36 +37,51 @@ def verified_batch(votes: DataFrame) -> DataFrame:
     v = votes.withColumn("normalized_question", X.normalize_text("question")).withColumn("source_hash", R.source_hash(F.col("source_ids")))
     return v.groupBy(*VERIFIED_KEY).agg(
         F.count(F.lit(1)).alias("verified_count"), F.max("ts").alias("updated_at"), F.min_by("question", F.struct("ts", "event_id")).alias("original_question"),
-        _latest("code"), _latest("clause_number"), F.max_by("source_ids", F.struct("ts", "event_id")).alias("source_ids"),
-        X.short_answer(F.max("answer")).alias("short_answer"),
+        _latest("code"), _latest("clause_number"), _latest("source_ids"),
+        X.short_answer(F.max("answer")).alias("short_answer"), _stamps("original_question", ("code", "clause_number", "source_ids")),
     )
 
 
 def rejected_batch(votes: DataFrame) -> DataFrame:
     """Down-votes collapsed per key: sources and document of the latest vote, the latest given reason."""
     v = votes.withColumn("normalized_question", X.normalize_text("question"))
-    last = lambda c: F.max_by(c, F.struct("ts", "event_id")).alias(c)
+    last = _latest
     return v.groupBy(*REJECTED_KEY).agg(
         F.count(F.lit(1)).alias("rejected_count"), F.max("ts").alias("rejected_at"), F.min_by("question", F.struct("ts", "event_id")).alias("original_question"),
         last("code"), last("source_ids"), F.max_by("reason", F.when(F.col("reason").isNotNull(), F.struct("ts", "event_id"))).alias("reason"),
+        _stamps("original_question", ("code", "source_ids", "reason")),
     )
 
 
-def upsert(snapshot: DataFrame, batch: DataFrame, key: list[str], count: str, keep_old: tuple[str, ...] = ("original_question", "short_answer")) -> DataFrame:
-    """Merge a batch into a snapshot: counts add, new non-null values win, ``keep_old`` keeps the stored value."""
+def upsert(snapshot: DataFrame, batch: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Merge a batch into a snapshot, whatever the order in which the events of the two arrived.
+
+    Counts add, times take the later one, and a stamped value goes by its event: the earliest for the first
+    question, else the latest that gave a value. Other columns follow from the key.
+    """
     s = snapshot.select(*[F.col(c).alias(f"_o_{c}") if c not in key else F.col(c) for c in snapshot.columns])
     j = s.join(batch, key, "full_outer")
-    out = []
-    for c in snapshot.columns:
+    stamped = snapshot.schema["stamps"].dataType.names
+    first = stamped[0]
+
+    def pick(c: str) -> Column:
+        old, new = F.col(f"_o_stamps.{c}"), F.col(f"stamps.{c}")
+        better = new < old if c == first else new > old
+        return F.when(old.isNull() | better, F.col(c)).otherwise(F.col(f"_o_{c}"))
+
+    def merged(c: str) -> Column:
         if c in key:
-            out.append(F.col(c))
-        elif c == count:
-            out.append((F.coalesce(f"_o_{c}", F.lit(0)) + F.coalesce(c, F.lit(0))).alias(c))
-        elif c in keep_old:
-            out.append(F.coalesce(f"_o_{c}", c).alias(c))
-        else:
-            out.append(F.coalesce(c, f"_o_{c}").alias(c))
-    return j.select(*out)
+            return F.col(c)
+        if c == count:
+            return F.coalesce(f"_o_{c}", F.lit(0)) + F.coalesce(c, F.lit(0))
+        if c.endswith("_at"):
+            return F.greatest(f"_o_{c}", c)
+        if c == "stamps":
+            both = lambda f, n: f(F.col(f"_o_stamps.{n}"), F.col(f"stamps.{n}")).alias(n)
+            return F.struct(*[both(F.least if n == first else F.greatest, n) for n in stamped])
+        return pick(c) if c in stamped else F.coalesce(f"_o_{c}", c)
+
+    return j.select(*[merged(c).alias(c) for c in snapshot.columns])
 
 
 def cache_exact(questions: DataFrame, verified: DataFrame) -> DataFrame:
@@ -94,11 +118,9 @@ def negative_signal(questions: DataFrame, rejected: DataFrame, near: DataFrame |
     similar rejections used for questions without an exact one.
     """
     j = questions.join(rejected, "normalized_question")
-    w = Window.partitionBy("qid").orderBy(F.desc("rejected_at"), F.desc("answer"))
-    exact = j.withColumn("_r", F.row_number().over(w)).where("_r <= 80").drop("_r")
-    used = exact.select("qid", "code", "rejected_count", "source_ids")
+    used = j.select("qid", "code", "rejected_count", "source_ids")
     if near is not None:
-        rest = near.join(exact.select("qid").distinct(), "qid", "left_anti").join(rejected, F.col("id") == F.col("reject_id"))
+        rest = near.join(j.select("qid").distinct(), "qid", "left_anti").join(rejected, F.col("id") == F.col("reject_id"))
         used = used.unionByName(rest.select("qid", "code", "rejected_count", "source_ids"))
     sources = used.select("qid", F.explode("source_ids").alias("source_id")).where(F.trim("source_id") != "").distinct()
     return doc_penalties(used, ("qid",)), sources

@@ -169,35 +169,26 @@ def cells(table_rows: DataFrame) -> DataFrame:
 
 
 def place_cells(cs) -> list[tuple]:
-    """(row, column, text, header, row span, column span, carried) of every grid position that holds a value."""
-    out, held, rows = [], {}, {}
+    """(row, column, text, header, row span, column span, carried) of every grid position that holds a value.
+
+    A cell goes to the first free column of its row and covers a rectangle; positions of the rectangle other
+    than its corner are carried copies. Rectangles end with the last row of the table; where two overlap, the
+    earlier cell keeps the position.
+    """
+    grid: dict[tuple[int, int], tuple] = {}
+    last = max((c["row"] for c in cs), default=0)
+    free: dict[int, int] = {}
     for c in cs:
-        rows.setdefault(c["row"], []).append(c)
-    for r in sorted(rows):
-        col = 1
-
-        def carry(col: int) -> int:
-            while col in held:
-                text, left = held[col]
-                out.append((r, col, text, False, 1, 1, True))
-                if left > 1:
-                    held[col] = (text, left - 1)
-                else:
-                    del held[col]
-                col += 1
-            return col
-
-        for c in rows[r]:
-            col = carry(col)
-            out.append((r, col, c["text"], bool(c["is_header"]), int(c["row_span"]), int(c["col_span"]), False))
-            for k in range(1, int(c["col_span"])):
-                out.append((r, col + k, c["text"], False, 1, 1, True))
-            if c["row_span"] > 1:
-                for k in range(int(c["col_span"])):
-                    held[col + k] = (c["text"], int(c["row_span"]) - 1)
-            col += int(c["col_span"])
-        carry(col)
-    return out
+        r, high, wide = c["row"], int(c["row_span"]), int(c["col_span"])
+        col = free.get(r, 1)
+        while (r, col) in grid:
+            col += 1
+        grid[r, col] = (c["text"], bool(c["is_header"]), high, wide, False)
+        for y in range(r, min(r + high, last + 1)):
+            for x in range(col, col + wide):
+                grid.setdefault((y, x), (c["text"], False, 1, 1, True))
+        free[r] = col + wide
+    return [(*at, *grid[at]) for at in sorted(grid)]
 
 
 def markdown(grid: DataFrame) -> DataFrame:

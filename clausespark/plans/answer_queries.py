@@ -178,7 +178,7 @@ def routed(spark, sf):
     titles = d.select(F.col("document_id").alias("clause_id"), F.col("code").alias("chapter_title"), F.col("title").alias("text"))
     hits = cut_lineage(lexical.term_hits(lexical.clause_tokens(titles), terms))
     g = terms.join(hits, "term").groupBy("qid", "clause_id").agg(
-        F.count(F.lit(1)).alias("cov"), F.sum("tf").alias("tf"), F.max((F.col("pos") < 5) & (F.col("text_tf") > 0)).alias("lead")
+        F.count(F.lit(1)).alias("cov"), F.sum("tf").alias("tf"), F.max(F.col("text_tf") > 0).alias("lead")
     ).where("lead")
     by_title = g.join(d.select(F.col("document_id").alias("clause_id"), "code"), "clause_id")
     by_title = by_title.groupBy("qid", "code").agg(F.max(F.col("cov") * 0.8 + F.least(F.lit(0.6), F.log1p("tf") * 0.3)).alias("doc_score"))
@@ -201,7 +201,7 @@ def routed(spark, sf):
     th {P.MAT} (SELECT term, document_id, code, (length(h) - length(replace(h, term, ''))) // length(term) AS tf, contains(t, term) AS in_t
         FROM (SELECT DISTINCT term FROM tt), dh WHERE contains(h, term)),
     ts AS (SELECT qid, code, max(cov * 0.8 + least(0.6, ln(1 + tf) * 0.3)) * 0.35 AS s FROM (SELECT qid, document_id, any_value(code) AS code, count(*) AS cov, sum(tf) AS tf
-        FROM tt JOIN th USING (term) GROUP BY qid, document_id HAVING bool_or(pos <= 5 AND in_t)) GROUP BY qid, code),
+        FROM tt JOIN th USING (term) GROUP BY qid, document_id HAVING bool_or(in_t)) GROUP BY qid, code),
     tot AS (SELECT qid, code, round(sum(s), 9) AS score FROM (SELECT * FROM ds UNION ALL SELECT * FROM ls UNION ALL SELECT * FROM ts) GROUP BY qid, code),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, code) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM tot)
     SELECT qid, code, round(score, 6) AS score, rank, (score >= 0.12 OR score >= greatest(0.12 * 0.92, top - 0.08) OR top < 0.12 * 0.92) AND rank <= 3 AS selected FROM r WHERE rank <= 10""",

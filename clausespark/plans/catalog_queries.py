@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
@@ -109,14 +108,11 @@ def doc_status(spark, sf):
 @query(
     "status_sorted_docs",
     f"""WITH {S.PROCESS} SELECT document_id, status, {S.code('document_id')} AS code, row_number() OVER (ORDER BY CASE status WHEN 'processing' THEN 0 WHEN 'queued' THEN 1 ELSE 99 END, {S.code('document_id')}, document_id) AS position
-    FROM process QUALIFY position <= 500""",
+    FROM process""",
 )
 def status_sorted_docs(spark, sf):
     p = A.doc_processes(spark, sf).select("document_id", "status").withColumn("code", A.code_of(F.col("document_id")))
-    top = G.status_sorted(p, {"processing": 0, "queued": 1}).limit(500)
-    # 500 rows are left, so the position needs no partitioning
-    w = Window.orderBy(F.when(F.col("status") == "processing", 0).when(F.col("status") == "queued", 1).otherwise(99), "code", "document_id")
-    return top.withColumn("position", big(F.row_number().over(w)))
+    return G.status_sorted(p, {"processing": 0, "queued": 1})
 
 
 @query(

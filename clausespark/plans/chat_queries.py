@@ -39,16 +39,17 @@ def verified(spark, sf):
     return a, b
 
 
-@query("verified_upsert", f"WITH {_V} SELECT normalized_question, source_hash, answer, verified_count, short_answer FROM ver")
+@query("verified_upsert", f"WITH {_V} SELECT normalized_question, source_hash, answer, verified_count, updated_at, code, clause_number, short_answer FROM ver")
 def verified_upsert(spark, sf):
     a, b = verified(spark, sf)
     u = FB.upsert(a, b, FB.VERIFIED_KEY, "verified_count")
-    return u.select("normalized_question", "source_hash", "answer", "verified_count", "short_answer")
+    return u.select("normalized_question", "source_hash", "answer", "verified_count", "updated_at", "code", "clause_number", "short_answer")
 
 
 @query("rejected_upsert", f"WITH {_V} SELECT normalized_question, answer, rejected_count, rejected_at, code, reason, {S.joined('ids')} AS ids FROM rej")
 def rejected_upsert(spark, sf):
-    r = FB.rejected_batch(votes(spark, sf).where("vote = 'down'"))
+    v = votes(spark, sf).where("vote = 'down'")
+    r = FB.upsert(FB.rejected_batch(v.where("event_id % 2 = 1")), FB.rejected_batch(v.where("event_id % 2 = 0")), FB.REJECTED_KEY, "rejected_count")
     return r.select("normalized_question", "answer", "rejected_count", "rejected_at", "code", "reason", F.array_join("source_ids", "|").alias("ids"))
 
 
@@ -95,7 +96,7 @@ def doc_penalties(spark, sf):
 
 
 _NEG = f"""{_V}, nq AS (SELECT DISTINCT nq FROM fv),
- ns AS (SELECT * FROM (SELECT n.nq AS qid, r.*, row_number() OVER (PARTITION BY n.nq ORDER BY rejected_at DESC, answer DESC) AS k FROM nq n JOIN rej r ON r.normalized_question = n.nq) WHERE k <= 80),
+ ns AS (SELECT n.nq AS qid, r.* FROM nq n JOIN rej r ON r.normalized_question = n.nq),
  nd AS (SELECT qid, lower(replace(code, ' ', '')) AS code_key, least(0.58, sum(0.12 + least(0.28, (rejected_count - 1) * 0.05))) AS penalty FROM ns GROUP BY 1, 2),
  nso AS (SELECT DISTINCT qid, unnest(ids) AS source_id FROM ns)"""
 

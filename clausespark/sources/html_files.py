@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,62 +28,98 @@ _APPENDIX_NO = re.compile(K.APPENDIX_REF, re.I)
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: its path and repaired text; undecodable bytes are dropped."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return raw.select("doc_id", X.repair_mojibake(text).alias("html"))
+    return _decoded(spark.read.format("binaryFile").load(path))
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "start", "end")
+def read_page_stream(spark: SparkSession, path: str) -> DataFrame:
+    """New files as the same rows as ``read_pages``."""
+    return _decoded(spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent, self.start, self.end = tag, attrs, parent, start, None
-        self.children: list = []
 
-    def walk(self) -> Iterator["_Node"]:
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+def _decoded(files: DataFrame) -> DataFrame:
+    raw = files.select(F.col("path").alias("doc_id"), "content")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    return raw.select("doc_id", X.repair_mojibake(text).alias("html"))
+
 
-    def strings(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in _SILENT:
-                yield from c.strings()
+class _Node:
+    """An element. Everything below it is a slice of the page's lists of elements and of strings.
+
+    ``hidden`` counts the script-like elements around it; strings of its own level of hiding are its text.
+    ``anchor`` and ``block`` are the nearest enclosing a and div.
+    """
+
+    __slots__ = ("page", "tag", "attrs", "parent", "start", "end", "index", "last", "first_string", "last_string", "hidden", "anchor", "block", "elements", "place", "divs", "div_place", "text")
+
+    def __init__(self, page: "_Page", tag: str, attrs: dict, parent: "_Node | None", start: int):
+        self.page, self.tag, self.attrs, self.parent, self.start, self.end = page, tag, attrs, parent, start, None
+        self.index, self.last, self.first_string, self.last_string = len(page.elements), None, len(page.strings), None
+        self.elements, self.divs, self.text = [], [], None
+        self.hidden = self.place = self.div_place = 0
+        self.anchor = self.block = None
+        if parent is not None:
+            self.hidden = parent.hidden + (tag in _SILENT)
+            self.anchor = parent if parent.tag == "a" else parent.anchor
+            self.block = parent if parent.tag == "div" else parent.block
+            self.place, self.div_place = len(parent.elements), len(parent.divs)
+            parent.elements.append(self)
+            if tag == "div":
+                parent.divs.append(self)
+
+    def close(self) -> None:
+        self.last, self.last_string = len(self.page.elements), len(self.page.strings)
+
+    def walk(self) -> list["_Node"]:
+        """All elements below, in document order."""
+        return self.page.elements[self.index + 1 : self.last]
+
+    def strings(self) -> list[str]:
+        return [s for hidden, s in self.page.strings[self.first_string : self.last_string] if hidden == self.hidden]
 
     def spaced(self) -> str:
-        return _clean(" ".join(s.strip() for s in self.strings() if s.strip()))
+        if self.text is None:
+            self.text = _clean(" ".join(s.strip() for s in self.strings() if s.strip()))
+        return self.text
 
-    def previous(self) -> Iterator["_Node"]:
-        """Earlier sibling elements, nearest first."""
-        mates = [c for c in self.parent.children if isinstance(c, _Node)] if self.parent else []
-        yield from reversed(mates[: mates.index(self)] if self in mates else [])
+    def has_image(self) -> bool:
+        return self.page.images[self.last] > self.page.images[self.index + 1]
 
-    def following(self) -> Iterator["_Node"]:
-        mates = [c for c in self.parent.children if isinstance(c, _Node)] if self.parent else []
-        yield from mates[mates.index(self) + 1 :] if self in mates else []
 
+class _Page(HTMLParser):
+    """Elements and strings of a page in document order; no step depends on depth or on the number of siblings."""
 
-class _Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.top = _Node("", {}, None, 0)
-        self.lines = [0]
-        for m in re.finditer("\n", html):
-            self.lines.append(m.end())
+        self.elements: list[_Node] = []
+        self.strings: list[tuple[int, str]] = []
+        self.open: Counter[str] = Counter()
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.root = self.top = _Node(self, "", {}, None, 0)
+        self.elements.append(self.root)
         self.feed(html)
         self.close()
+        while self.top is not None:
+            self._leave()
+        self.images = [0]
+        for n in self.elements:
+            self.images.append(self.images[-1] + (n.tag == "img"))
 
     def _at(self) -> int:
         line, col = self.getpos()
         return self.lines[line - 1] + col
 
+    def _leave(self) -> None:
+        self.top.close()
+        self.open[self.top.tag] -= 1
+        self.top = self.top.parent
+
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.top, self._at())
-        self.top.children.append(node)
-        if tag not in _VOID:
+        node = _Node(self, tag, dict(attrs), self.top, self._at())
+        self.elements.append(node)
+        if tag in _VOID:
+            node.close()
+        else:
+            self.open[tag] += 1
             self.top = node
 
     def handle_startendtag(self, tag, attrs):
@@ -91,15 +128,15 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.top
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            node.end = self._at() + len(tag) + 3
-            self.top = node.parent
+        if self.open[tag] <= 0:
+            return
+        while self.top.tag != tag:
+            self._leave()
+        self.top.end = self._at() + len(tag) + 3
+        self._leave()
 
     def handle_data(self, data):
-        self.top.children.append(data)
+        self.strings.append((self.top.hidden, data))
 
 
 def _clean(text: str) -> str:
@@ -117,9 +154,7 @@ def _label(table: _Node) -> str:
             if c.spaced():
                 return c.spaced()
             break
-    for n, mate in enumerate(table.previous()):
-        if n == 4:
-            break
+    for mate in reversed(table.parent.elements[max(0, table.place - 4) : table.place]):
         text, classes = mate.spaced(), {c.upper() for c in _classes(mate)}
         titled = "ACT_TITLE_APPL" in classes or any(c.startswith("APPL_BANNER") for c in classes)
         named = "jadval" in text.lower() or any(r.search(text) for r in _TABLE_NO) or _APPENDIX_NO.search(text)
@@ -130,18 +165,15 @@ def _label(table: _Node) -> str:
 
 def _context(img: _Node) -> str:
     """Up to three distinct texts around an image: its block, three blocks before, two after."""
-    block = img.parent
-    while block is not None and block.tag != "div":
-        block = block.parent
-    if block is None or block.parent is None:
+    block = img.block
+    if block is None:
         return ""
-    near = [block]
-    near += [m for m in block.previous() if m.tag == "div"][:3]
-    near += [m for m in block.following() if m.tag == "div"][:2]
+    divs, at = block.parent.divs, block.div_place
+    near = [block, *reversed(divs[max(0, at - 3) : at]), *divs[at + 1 : at + 3]]
     out: dict[str, str] = {}
     for node in near:
-        text = node.spaced()
-        if any(c.tag == "img" for c in node.walk()) or not text or text.lower().startswith(("http://", "https://")):
+        text = "" if node.has_image() else node.spaced()
+        if not text or text.lower().startswith(("http://", "https://")):
             continue
         out.setdefault(text[:220].lower(), text[:220])
     return " | ".join(list(out.values())[:3])
@@ -173,18 +205,15 @@ def _cells(table: _Node) -> list[dict]:
 
 def _elements(doc_id, html: str) -> Iterator[tuple]:
     pos = 0
-    for n in _Tree(html).root.walk():
+    for n in _Page(html).root.walk():
         if n.tag not in ("div", "a", "table", "img"):
             continue
         pos += 1
-        anchor = n.parent
-        while anchor is not None and anchor.tag != "a":
-            anchor = anchor.parent
         table = n.tag == "table"
         yield (
             doc_id, pos, n.tag, _classes(n), n.attrs.get("id"), _clean(n.attrs.get("src") or "") or None,
-            _clean("".join(n.strings())), n.spaced(), any(c.tag == "img" for c in n.walk()),
-            anchor.attrs.get("id") if anchor is not None else None,
+            _clean("".join(n.strings())), n.spaced(), n.has_image(),
+            n.anchor.attrs.get("id") if n.anchor is not None else None,
             _label(n) if table else None, _context(n) if n.tag == "img" else None,
             html[n.start : n.end] if table else None, _cells(n) if table else None,
         )

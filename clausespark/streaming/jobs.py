@@ -6,30 +6,23 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clausespark import constants as K
-from clausespark.functions import text as X
 from clausespark.operators import feedback as FB
 from clausespark.operators import ingest
 from clausespark.sources import html_files, sinks
 
 
-def read_page_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New HTML files as rows (doc_id, html)."""
-    raw = spark.readStream.option("wholetext", True).text(path)
-    return raw.select(F.input_file_name().alias("doc_id"), X.repair_mojibake("value").alias("html"))
-
-
 def ingest_batch(pages: DataFrame, out: str, batch_id: int) -> None:
-    """Chapters, clauses, tables and images of one set of pages, written under the batch number."""
+    """Chapters, clauses, tables and images of one set of pages, and which pages these were, under the batch number."""
     seg = ingest.segment(html_files.flatten(pages))
     for name, df in (("chapters", ingest.chapters(seg)), ("clauses", ingest.clauses(seg)), ("tables", ingest.tables(seg)), ("images", ingest.images(seg))):
         sinks.write_batch(df, f"{out}/{name}", batch_id)
+    sinks.write_batch(pages.select("doc_id").distinct(), f"{out}/{sinks.INGESTED}", batch_id)
 
 
 def ingest_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -47,23 +40,18 @@ def upsert_batch(votes: DataFrame, out: str, batch_id: int) -> None:
     version again and readers never see a half-written one under the number they use.
     """
     parts = (
-        ("verified", FB.verified_batch(votes.where("vote = 'up'")), FB.VERIFIED_KEY, "verified_count", ("original_question", "short_answer")),
-        ("rejected", FB.rejected_batch(votes.where("vote = 'down'")), FB.REJECTED_KEY, "rejected_count", ("original_question",)),
+        ("verified", FB.verified_batch(votes.where("vote = 'up'")), FB.VERIFIED_KEY, "verified_count"),
+        ("rejected", FB.rejected_batch(votes.where("vote = 'down'")), FB.REJECTED_KEY, "rejected_count"),
     )
-    for name, batch, key, count, keep in parts:
+    for name, batch, key, count in parts:
         old = snapshot(votes.sparkSession, out, name, batch_id - 1)
-        merged = batch if old is None else FB.upsert(old, batch, key, count, keep)
+        merged = batch if old is None else FB.upsert(old, batch, key, count)
         merged.write.mode("overwrite").parquet(f"{out}/{name}/v{batch_id}")
 
 
 def snapshot(spark: SparkSession, out: str, name: str, batch_id: int) -> DataFrame | None:
-    """A snapshot version, or None before the first batch."""
-    if batch_id < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{out}/{name}/v{batch_id}")
-    except AnalysisException:
-        return None
+    """A snapshot version, or None before the first batch. A missing version is an error, not an empty history."""
+    return spark.read.parquet(f"{out}/{name}/v{batch_id}") if batch_id >= 0 else None
 
 
 def vote_stream(votes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -204,3 +205,33 @@ def test_containment_matches_scan(spark):
     q = spark.createDataFrame(qs, "qid int, question string")
     got = {(r["qid"], r["document_id"]) for r in containing_documents(q, d).collect()}
     assert got == {(a, b) for a, t in qs for b, x in docs if t in x}
+
+
+def test_page_depth_and_length_cost_no_more_than_linear_time():
+    import time
+
+    for page in ("<p>" * 100_000 + "x", "<div>" * 30_000 + "x", "<div><img src='a'>" + "<p>y</p><img src='b'>" * 50_000 + "</div>", "<a id='q'></a>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<table></table>" * 50_000):
+        t0 = time.perf_counter()
+        n = sum(1 for _ in html_files._elements("d", page))
+        assert n >= 0 and time.perf_counter() - t0 < 40
+
+
+def test_cells_with_row_and_column_spans():
+    c = lambda row, text, high=1, wide=1: {"row": row, "text": text, "is_header": False, "row_span": high, "col_span": wide}
+    grid = ingest.place_cells([c(1, "a", 2, 2), c(1, "b"), c(2, "d", 9), c(3, "e", 1, 2), c(3, "f")])
+    at = {(r, col): (text, carried) for r, col, text, _, _, _, carried in grid}
+    assert at == {
+        (1, 1): ("a", False), (1, 2): ("a", True), (1, 3): ("b", False), (2, 1): ("a", True), (2, 2): ("a", True), (2, 3): ("d", False),
+        (3, 1): ("e", False), (3, 2): ("e", True), (3, 3): ("d", True), (3, 4): ("f", False),
+    }
+
+
+def test_the_later_vote_wins_whatever_the_batch(spark):
+    from clausespark.operators import feedback as FB
+
+    schema = "event_id int, ts timestamp, question string, answer string, source_ids array<string>, code string, clause_number string"
+    vote = lambda n, code: spark.createDataFrame([(n, datetime(2024, 1, n), f"Q {'?' * n}".strip("?"), "a", ["s"], code, None)], schema)
+    new, old, none = FB.verified_batch(vote(5, "new")), FB.verified_batch(vote(2, "old")), FB.verified_batch(vote(7, None))
+    for order in ((new, old, none), (none, old, new), (old, new, none)):
+        r = FB.upsert(FB.upsert(order[0], order[1], FB.VERIFIED_KEY, "verified_count"), order[2], FB.VERIFIED_KEY, "verified_count").first()
+        assert (r["verified_count"], r["code"], r["updated_at"]) == (3, "new", datetime(2024, 1, 7))

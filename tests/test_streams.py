@@ -1,5 +1,8 @@
+import re
 from datetime import datetime
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from clausespark.operators import feedback as FB
@@ -16,11 +19,25 @@ def test_page_stream_equals_batch(spark, tmp_path):
     src.mkdir()
     for i in range(3):
         (src / f"{i}.html").write_text(HTML.replace("Yo'lak", f"Yo'lak {i}"), encoding="utf-8")
-    jobs.ingest_stream(jobs.read_page_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = sinks.latest_documents(spark, str(tmp_path / "out" / "clauses"))
+    jobs.ingest_stream(html_files.read_page_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sinks.latest_documents(spark, str(tmp_path / "out"), "clauses")
     want = ingest.clauses(ingest.segment(html_files.flatten(html_files.read_pages(spark, str(src)))))
     assert sorted(r["text"] for r in got.collect()) == sorted(r["text"] for r in want.collect())
     assert got.count() == 3
+    assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in want.collect()}
+
+
+def test_a_document_without_images_any_more_keeps_none(spark, tmp_path):
+    out = str(tmp_path)
+    for n, html in enumerate((HTML, re.sub("<img[^>]*>", "", HTML))):
+        jobs.ingest_batch(spark.createDataFrame([("d", html)], "doc_id string, html string"), out, n)
+    assert "<img" in HTML and spark.read.parquet(f"{out}/images").count() > 0
+    assert sinks.latest_documents(spark, out, "images").count() == 0
+
+
+def test_a_missing_snapshot_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        jobs.upsert_batch(chat_queries.votes(spark, SMALL).limit(1), str(tmp_path), 3)
 
 
 def test_vote_stream_replays(spark, tmp_path):
