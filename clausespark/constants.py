@@ -182,6 +182,7 @@ DEEP_MULTIPLIER = 2
 NUMERIC_WEIGHT = 0.24
 NUMERIC_RESCUE_MIN = 0.08
 CACHE_MIN_SCORE = 0.9
+REJECTED_NEAR_FLOOR = 0.92
 NEGATIVE_MIN_SCORE = 0.92
 STALE_DOC_MINUTES = 15
 STALE_JOB_MINUTES = 10

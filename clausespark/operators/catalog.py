@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
@@ -108,3 +108,15 @@ def import_taxonomy(rows: DataFrame, existing: DataFrame, default: str = "UMUMIY
 def page(inventory: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of the merged inventory in (kind, sequence) order."""
     return inventory.orderBy("kind_order", "seq", "id").offset(offset).limit(limit)
+
+
+def listing(df: DataFrame, group: list[str], order: list[str], offset: int, size: int) -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``size`` of every group, with their 1-based ``position``.
+
+    A group is cut into slices that each keep their first rows, so no task ranks a whole large group.
+    """
+    last = offset + size
+    t = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(64)))
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))).where(F.col("_r") <= last).drop("_r", "_slice")
+    t = t.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return t.where((F.col("position") > offset) & (F.col("position") <= last))

@@ -84,12 +84,17 @@ def upsert(snapshot: DataFrame, batch: DataFrame, key: list[str], count: str) ->
     return j.select(*[merged(c).alias(c) for c in snapshot.columns])
 
 
+def active(verified: DataFrame) -> DataFrame:
+    """Rows that are not switched off; without an ``is_active`` column all are."""
+    return verified.where(F.coalesce("is_active", F.lit(True))) if "is_active" in verified.columns else verified
+
+
 def cache_exact(questions: DataFrame, verified: DataFrame) -> DataFrame:
     """Exact cache: (qid, blocked, answer). Rows of another document block the semantic step.
 
-    questions: qid, normalized_question, doc_key (or empty).
+    questions: qid, normalized_question, doc_key (or empty). Inactive rows neither answer nor block.
     """
-    j = questions.join(verified, "normalized_question")
+    j = questions.join(active(verified), "normalized_question")
     fits = (F.col("doc_key") == "") | (R.code_key("code") == F.col("doc_key"))
     order = F.struct("verified_count", "updated_at", "answer", "source_hash")
     g = j.groupBy("qid").agg(F.max_by(F.struct("answer", "code"), F.when(fits, order)).alias("hit"))
@@ -99,9 +104,9 @@ def cache_exact(questions: DataFrame, verified: DataFrame) -> DataFrame:
 def cache_semantic(questions: DataFrame, verified: DataFrame, dim: int, floor: float = K.CACHE_MIN_SCORE) -> DataFrame:
     """Nearest verified row at or above the floor, inside the requested document where one is given.
 
-    questions: qid, vector/(idx, w), scope. verified: id, vector/(idx, w), key.
+    questions: qid, vector/(idx, w), scope. verified: id, vector/(idx, w), key. Inactive rows are not asked.
     """
-    return vector.top_k(questions, verified, 1, dim).where(F.col("score") >= floor).select("qid", "id", "score")
+    return vector.top_k(questions, active(verified), 1, dim).where(F.col("score") >= floor).select("qid", "id", "score")
 
 
 def doc_penalties(rejected: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
@@ -126,6 +131,14 @@ def negative_signal(questions: DataFrame, rejected: DataFrame, near: DataFrame |
     return doc_penalties(used, ("qid",)), sources
 
 
+def near_rejections(questions: DataFrame, rejected: DataFrame, dim: int, floor: float = K.REJECTED_NEAR_FLOOR) -> DataFrame:
+    """(qid, id) of every rejection whose question is as near as ``floor``.
+
+    questions: qid, vector/(idx, w). rejected: id, vector/(idx, w).
+    """
+    return vector.above(questions, rejected, floor, dim).select("qid", "id")
+
+
 def apply_penalties(items: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Scores after feedback: document penalty plus 0.16 for a rejected source, at most 0.55.
 

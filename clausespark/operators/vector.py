@@ -120,20 +120,51 @@ def top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    return rank(_scored(questions, stored, lambda head: _TopK(head, dim, k), block_rows, slice_rows, out), k)
+
+
+def above(questions: DataFrame, stored: DataFrame, floor: float, dim: int, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """All (qid, id, score) with a cosine of at least ``floor``, however many a question has."""
+    out = T.StructType([T.StructField("qid", questions.schema["qid"].dataType), T.StructField("id", stored.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    return _scored(questions, stored, lambda head: _Above(head, dim, floor), block_rows, slice_rows, out)
+
+
+class _Above:
+    """Pairs at or above a floor; they leave the task batch by batch."""
+
+    def __init__(self, questions: pd.DataFrame, dim: int, floor: float):
+        self.qid, self.q, self.dim, self.least = questions["qid"].to_numpy(), _matrix(questions, dim), dim, floor
+        self.found: list[pd.DataFrame] = []
+
+    def add(self, frame: pd.DataFrame) -> None:
+        scores = np.round(self.q @ _matrix(frame, self.dim).T, SCORE_DIGITS)
+        j, i = np.nonzero(scores >= self.least)
+        self.found.append(pd.DataFrame({"qid": self.qid[j], "id": frame["id"].to_numpy()[i], "score": scores[j, i]}))
+
+    def frame(self) -> pd.DataFrame:
+        found, self.found = self.found, []
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"qid": self.qid[:0], "id": [], "score": []})
+
+
+def _scored(questions, stored, scorer, block_rows, slice_rows, out) -> DataFrame:
+    """Rows of a scorer per block of questions, over all stored vectors."""
     head = questions.limit(block_rows + 1).toPandas()
-    if len(head) <= block_rows:
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top = _TopK(head, dim, k)
-            for frame in batches:
-                if len(frame) and len(head):
-                    top.add(frame)
-            yield top.frame().astype({"score": "float64"})
+    if len(head) > block_rows:
+        return _block_pairs(questions, stored, scorer, block_rows, slice_rows, out)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = scorer(head)
+        for frame in batches:
+            if len(frame) and len(head):
+                found.add(frame)
+                if isinstance(found, _Above):
+                    yield found.frame().astype({"score": "float64"})
+        yield found.frame().astype({"score": "float64"})
 
-        return rank(stored.mapInPandas(scan, out), k)
-    return rank(_block_pairs(questions, stored, k, dim, block_rows, slice_rows, out), k)
+    return stored.mapInPandas(scan, out)
 
 
-def _block_pairs(questions, stored, k, dim, block_rows, slice_rows, out) -> DataFrame:
+def _block_pairs(questions, stored, scorer, block_rows, slice_rows, out) -> DataFrame:
     """Score hash blocks of questions against hash slices of vectors, one pair per group."""
     nq = max(1, -(-questions.count() // block_rows))
     nv = max(1, -(-stored.count() // slice_rows))
@@ -143,7 +174,7 @@ def _block_pairs(questions, stored, k, dim, block_rows, slice_rows, out) -> Data
     v = v.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda b: b * nv + F.col("_s"))))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(left, dim, k)
+        top = scorer(left)
         for at in range(0, len(right) if len(left) else 0, 10_000):
             top.add(right.iloc[at : at + 10_000])
         return top.frame().astype({"score": "float64"})

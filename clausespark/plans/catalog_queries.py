@@ -148,6 +148,41 @@ def oldest_queued(spark, sf):
     return A.doc_processes(spark, sf).where("status = 'queued'").orderBy("updated_at", "document_id").limit(32).select("document_id", "updated_at")
 
 
+@query(
+    "reprocess_set",
+    f"""WITH {S.PROCESS}, {S.DOCUMENT} SELECT d.document_id FROM document d LEFT JOIN process p USING (document_id) WHERE coalesce({_EFF}, 'queued') IN ('queued', 'processing')""",
+)
+def reprocess_set(spark, sf):
+    """Documents to run again, by their effective status."""
+    j = A.documents(spark, sf).select("document_id").join(A.doc_processes(spark, sf), "document_id", "left")
+    return j.where(G.effective_status().isin("queued", "processing")).select("document_id")
+
+
+@query(
+    "changed_processes",
+    f"""WITH {S.PROCESS}, o AS (SELECT document_id, status, doc_html FROM process WHERE document_id % 5 <> 1),
+    n AS (SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN document_id % 7 = 0 THEN 0 ELSE doc_html END::BIGINT AS doc_html FROM process)
+    SELECT * FROM n EXCEPT SELECT * FROM o""",
+)
+def changed_processes(spark, sf):
+    """Snapshot rows that a listener has not seen yet."""
+    p = A.doc_processes(spark, sf).select("document_id", "status", "doc_html")
+    k = F.col("document_id")
+    new = p.withColumns({"status": F.when(k % 3 == 0, "failed").otherwise(F.col("status")), "doc_html": F.when(k % 7 == 0, 0).otherwise(F.col("doc_html"))})
+    return G.changed(p.where("document_id % 5 <> 1"), new).select("document_id", "status", big(F.col("doc_html")).alias("doc_html"))
+
+
+@query(
+    "documents_listing",
+    f"""WITH {S.DOCUMENT} SELECT document_id, code, title, section_code, category_code, position FROM (
+      SELECT *, row_number() OVER (PARTITION BY section_code, category_code ORDER BY code, document_id) AS position FROM document) WHERE position BETWEEN 3 AND 7""",
+)
+def documents_listing(spark, sf):
+    """The second page of five documents of every category, by code."""
+    return G.listing(A.documents(spark, sf), ["section_code", "category_code"], ["code", "document_id"], offset=2, size=5).select(
+        "document_id", "code", "title", "section_code", "category_code", big(F.col("position")).alias("position"))
+
+
 # --------------------------------------------------------------- inventories
 _INV = f"""{S.CLAUSE}, inv AS (SELECT 0 AS kind_order, 'clause' AS kind, document_id, clause_order AS seq, clause_id AS id, 'Band ' || clause_number AS name, len(string_split(text, ' ')) AS token_count,
     CASE WHEN length(text) > 220 THEN left(text, 217) || '...' ELSE text END AS preview FROM clause

@@ -63,13 +63,15 @@ _CQ = f"cq AS (SELECT event_id AS qid, lower('Q' || json_extract_string(props, '
       NOT bool_or(fits) AS blocked FROM j GROUP BY qid""",
 )
 def cache_exact(spark, sf):
-    v = FB.verified_batch(votes(spark, sf).where("vote = 'up'"))
+    return FB.cache_exact(cache_questions(spark, sf), FB.verified_batch(votes(spark, sf).where("vote = 'up'")))
+
+
+def cache_questions(spark, sf):
     e = A.table(spark, sf, "events")
-    q = e.select(
+    return e.select(
         F.col("event_id").alias("qid"), X.normalize_text(F.concat(F.lit("Q"), F.get_json_object("props", "$.k"), F.lit("  savol"))).alias("normalized_question"),
         F.when(F.col("event_id") % 2 == 0, R.code_key(A.code_of(F.col("user_id") % 7))).otherwise("").alias("doc_key"),
     )
-    return FB.cache_exact(q, v)
 
 
 @query(
@@ -86,6 +88,37 @@ def cache_semantic(spark, sf):
     return FB.cache_semantic(q, stored, 64).withColumn("score", r6(F.col("score")))
 
 
+@query(
+    "cache_active",
+    f"""WITH {_V}, {_CQ}, j AS (SELECT qid, v.*, dc = '' OR code = dc AS fits FROM cq JOIN ver v ON v.normalized_question = cq.nq WHERE verified_count > 1)
+    SELECT qid, arg_max(answer, (verified_count, updated_at, answer, source_hash)) FILTER (fits) AS answer, NOT bool_or(fits) AS blocked FROM j GROUP BY qid""",
+)
+def cache_active(spark, sf):
+    """The exact cache where answers verified only once are switched off."""
+    v = FB.verified_batch(votes(spark, sf).where("vote = 'up'")).withColumn("is_active", F.col("verified_count") > 1)
+    return FB.cache_exact(cache_questions(spark, sf), v).select("qid", "answer", "blocked")
+
+
+@query(
+    "negative_near",
+    f"""WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT a.vec_id AS qid, b.vec_id AS id, b.label FROM vec a, vec b
+      WHERE b.vec_id % 2 = 0 AND a.vec_id % 2 = 1 AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.4)
+    SELECT qid, lower(replace({S.code('(label % 7)')}, ' ', '')) AS code_key, round(least(0.58, sum(0.12 + least(0.28, (id % 4) * 0.05))), 6)::DOUBLE AS penalty FROM p GROUP BY 1, 2""",
+)
+def negative_near(spark, sf):
+    """Penalties of questions that were never rejected word for word, from all rejections near enough (a low floor for these vectors)."""
+    v = A.vectors(spark, sf)
+    q = v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("qid"), "vector", F.concat(F.lit("q"), "vec_id").alias("normalized_question"))
+    k = F.col("vec_id")
+    rejected = v.where("vec_id % 2 = 0").select(
+        k.alias("reject_id"), F.concat(F.lit("r"), k).alias("normalized_question"), A.code_of(F.col("label") % 7).alias("code"), (1 + k % 4).alias("rejected_count"),
+        F.array(F.concat(F.lit("s"), k)).alias("source_ids"), F.lit("a").alias("answer"), F.lit(None).cast("timestamp").alias("rejected_at"), "vector",
+    )
+    near = FB.near_rejections(q.select("qid", "vector"), rejected.select(F.col("reject_id").alias("id"), "vector"), 64, floor=0.4)
+    docs, _ = FB.negative_signal(q.select("qid", "normalized_question"), rejected.drop("vector"), near)
+    return docs.select("qid", "code_key", r6(F.col("penalty")).alias("penalty"))
+
+
 @query(
     "doc_penalties",
     f"""WITH {_V} SELECT lower(replace(code, ' ', '')) AS code_key, round(least(0.58, sum(0.12 + least(0.28, (rejected_count - 1) * 0.05))), 6)::DOUBLE AS penalty FROM rej GROUP BY 1""",
