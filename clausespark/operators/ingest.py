@@ -9,46 +9,97 @@ from pyspark.sql import functions as F
 from clausespark import constants as K
 from clausespark.functions import refs as R
 from clausespark.functions import text as X
-from clausespark.operators.ordered import running
-from clausespark.session import cut_lineage
-
-
-def _has_class(test) -> Column:
-    return F.exists(F.coalesce("classes", F.array().cast("array<string>")), test)
-
-
-def roles(elements: DataFrame) -> DataFrame:
-    """What each element is, by the first rule that fits."""
-    div = F.col("tag") == "div"
-    upper = lambda f: _has_class(lambda c: f(F.upper(c)))
-    role = (
-        F.when((F.col("tag") == "a") & (F.coalesce("id", F.lit("")) != ""), "anchor")
-        .when(div & _has_class(lambda c: c == "TEXT_HEADER_DEFAULT"), "header")
-        .when(div & upper(lambda c: c.startswith("APPL_BANNER")), "banner")
-        .when(div & upper(lambda c: c == "ACT_TITLE_APPL"), "appendix_title")
-        .when(div & _has_class(lambda c: c == "ACT_TEXT"), "clause")
-        .when(F.col("tag") == "img", "image")
-        .when(F.col("tag") == "table", "table")
+from clausespark.sources import html_files
+
+#: What a page adds to an element: its role and the page's running state up to it.
+STATE = (
+    "role string, chapter_order bigint, chapter_title string, banner string, appendix_title string, clause_order bigint, "
+    "image_order bigint, table_order bigint, unnumbered bigint, anchor string"
+)
+ROWS_TOGETHER = 4096
+
+
+def role_of(tag: str, classes: list[str], element_id: str | None) -> str | None:
+    """What an element is, by the first rule that fits."""
+    if tag == "a":
+        return "anchor" if element_id else None
+    if tag != "div":
+        return {"img": "image", "table": "table"}.get(tag)
+    upper = [c.upper() for c in classes]
+    rules = (
+        ("header", "TEXT_HEADER_DEFAULT" in classes), ("banner", any(c.startswith("APPL_BANNER") for c in upper)),
+        ("appendix_title", "ACT_TITLE_APPL" in upper), ("clause", "ACT_TEXT" in classes),
     )
-    return elements.withColumn("role", role)
+    return next((name for name, fits in rules if fits), None)
 
 
-def segment(elements: DataFrame) -> DataFrame:
-    """Add chapter_order, chapter_title and the appendix state to every element.
+def page_rows(doc_id, html: str) -> list[tuple]:
+    """Elements of one page with its state: chapters, appendix, running numbers and anchors, in one pass.
 
-    A chapter starts at a non-empty header and resets the appendix. The running values are block-wise,
-    so a page of any length is never ordered in one task.
+    A chapter starts at a non-empty header and resets the appendix. Clauses count from thirty characters on,
+    images once per source, tables if they have cells; a table without a number of its own or of an appendix
+    moves the fallback counter.
     """
-    # pages are parsed once; the running values below read the elements several times
-    t = roles(cut_lineage(elements))
-    head = (F.col("role") == "header") & (F.col("text") != "")
-    t = running(t, "doc_id", "pos", sums={"chapter_order": head.cast("int")}, last={"chapter_title": F.when(head, F.col("text"))})
-    number = _either_number(F.col("spaced"))
-    banner = F.when((F.col("role") == "banner") & number.isNotNull(), F.struct(F.col("chapter_order").alias("c"), number.alias("v")))
-    title = F.when(F.col("role") == "appendix_title", F.struct(F.col("chapter_order").alias("c"), F.nullif(F.col("spaced"), F.lit("")).alias("v")))
-    t = running(t, "doc_id", "pos", last={"_banner": banner, "_title": title})
-    here = lambda s: F.when(F.col(f"{s}.c") == F.col("chapter_order"), F.col(f"{s}.v"))
-    return t.withColumns({"appendix_number": here("_banner"), "appendix_title": here("_title")}).drop("_banner", "_title")
+    rows, events, seen = [], [], set()
+    count = dict.fromkeys(("chapter", "clause", "image", "table", "unnumbered"), 0)
+    chapter = banner = title = None
+    for e in html_files.elements(doc_id, html):
+        role, order = role_of(e.tag, e.classes, e.id), dict.fromkeys(("clause", "image", "table", "unnumbered"))
+
+        def step(name: str) -> None:
+            count[name] += 1
+            order[name] = count[name]
+
+        kind = value = None
+        if role == "header" and e.text:
+            count["chapter"] += 1
+            chapter, banner, title = e.text, None, None
+        elif role == "banner" and html_files.names_appendix(e.spaced):
+            banner = e.spaced
+        elif role == "appendix_title":
+            title = e.spaced or None
+        elif role == "anchor":
+            kind, value = ("hold" if e.has_img else "anchor"), e.id
+        elif role == "clause" and len(e.text) >= K.MIN_TEXT_LEN:
+            kind = "clause"
+            step("clause")
+        elif role == "image":
+            kind, value = "image", e.src
+            if e.src and e.src not in seen:
+                seen.add(e.src)
+                step("image")
+        elif role == "table":
+            if banner is None and not html_files.names_table(e.label) and not html_files.names_appendix(e.label):
+                count["unnumbered"] += 1
+            order["unnumbered"] = count["unnumbered"]
+            if e.cells:
+                kind = "table"
+                step("table")
+        if kind:
+            events.append((e.pos, kind, value, e.parent_anchor))
+        rows.append((*e, role, count["chapter"], chapter, banner, title, order["clause"], order["image"], order["table"], order["unnumbered"]))
+    anchors = dict(fold_anchors(events))
+    return [(*r, anchors.get(r[1])) for r in rows]
+
+
+def segment(pages: DataFrame) -> DataFrame:
+    """Elements of pages (doc_id, html) with their page-local state; a page is one parsed row, so nothing is shuffled."""
+    schema = f"{html_files.ELEMENT_SCHEMA.format(key=pages.schema['doc_id'].dataType.simpleString())}, {STATE}"
+    names = [*html_files.Element._fields, *[c.split()[0] for c in STATE.split(", ")]]
+
+    def parse(batches):
+        rows = []
+        for frame in batches:
+            for doc_id, html in zip(frame["doc_id"], frame["html"]):
+                rows += page_rows(doc_id, html or "")
+                if len(rows) >= ROWS_TOGETHER:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    t = pages.select("doc_id", "html").mapInPandas(parse, schema)
+    return t.withColumn("appendix_number", _either_number(F.col("banner")))
 
 
 def _either_number(text: Column) -> Column:
@@ -62,63 +113,34 @@ def chapters(segmented: DataFrame) -> DataFrame:
 
 def clauses(segmented: DataFrame) -> DataFrame:
     """Clause texts of at least thirty characters in running order."""
-    c = segmented.where((F.col("role") == "clause") & (F.length("text") >= K.MIN_TEXT_LEN))
-    c = running(c, "doc_id", "pos", sums={"clause_order": F.lit(1)})
+    c = segmented.where("clause_order IS NOT NULL")
     return c.select("doc_id", "pos", "clause_order", "chapter_order", "chapter_title", X.clause_number("text").alias("clause_number"), "text")
 
 
 def images(segmented: DataFrame) -> DataFrame:
     """First image per source of a page, with the chapter and appendix it stands in."""
-    i = segmented.where((F.col("role") == "image") & F.col("src").isNotNull())
-    first = i.groupBy("doc_id", "src").agg(F.min("pos").alias("pos"))
-    i = i.join(first, ["doc_id", "src", "pos"])
-    i = running(i, "doc_id", "pos", sums={"image_order": F.lit(1)})
-    return i.select(
+    return segmented.where("image_order IS NOT NULL").select(
         "doc_id", "pos", "image_order", "chapter_order", F.col("chapter_title").alias("section_title"), "appendix_number",
         F.col("appendix_title").alias("title"), F.col("src").alias("image_url"), F.col("context").alias("context_text"), "parent_anchor",
     )
 
 
 def tables(segmented: DataFrame) -> DataFrame:
-    """Tables with a resolved number and title; the fallback counter moves only for unnumbered tables."""
-    t = segmented.where(F.col("role") == "table").withColumn("label", F.coalesce("label", F.lit("")))
+    """Tables with a resolved number and title."""
+    t = segmented.where("table_order IS NOT NULL").withColumn("label", F.coalesce("label", F.lit("")))
     named = R.label_table_number(F.lower("label"))
     appendix = F.coalesce(_either_number(F.col("label")), F.col("appendix_number"))
-    t = t.withColumn("_number", F.coalesce(named, F.concat(F.lit("ilova-"), appendix)))
-    filled = F.size(F.coalesce("cells", F.array().cast("array<struct<row:int,is_header:boolean,text:string,row_span:int,col_span:int>>"))) > 0
-    t = running(t, "doc_id", "pos", sums={"_seq": F.col("_number").isNull().cast("int"), "table_order": filled.cast("int")})
-    t = t.where(filled).withColumn("table_number", F.coalesce("_number", F.col("_seq").cast("string")))
+    number = F.coalesce(named, F.concat(F.lit("ilova-"), appendix), F.col("unnumbered").cast("string"))
     title = F.when(F.col("label") != "", R.label_title(F.col("label")))
     return t.select(
-        "doc_id", "pos", "table_order", "chapter_order", F.col("chapter_title").alias("section_title"), "table_number", title.alias("title"),
+        "doc_id", "pos", "table_order", "chapter_order", F.col("chapter_title").alias("section_title"), number.alias("table_number"), title.alias("title"),
         F.col("html").alias("raw_html"), "cells",
     )
 
 
-def attach_anchors(segmented: DataFrame) -> DataFrame:
-    """(doc_id, pos, anchor) of the clauses, tables and images that get an anchor.
-
-    Each assignment depends on earlier ones, so the events of one page are folded in order. A page is one
-    parsed file, and only its few typed columns travel here.
-    """
-    kind = (
-        F.when(F.col("role") == "anchor", F.when(F.col("has_img"), "hold").otherwise("anchor"))
-        .when((F.col("role") == "clause") & (F.length("text") >= K.MIN_TEXT_LEN), "clause")
-        .when((F.col("role") == "image"), "image")
-        .when((F.col("role") == "table") & (F.size("cells") > 0), "table")
-    )
-    value = F.when(F.col("role") == "anchor", F.col("id")).when(F.col("role") == "image", F.col("src"))
-    e = segmented.select("doc_id", "pos", kind.alias("kind"), value.alias("value"), "parent_anchor").where("kind IS NOT NULL")
-    schema = f"doc_id {segmented.schema['doc_id'].dataType.simpleString()}, pos int, anchor string"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        return pd.DataFrame(
-            [(frame["doc_id"].iloc[0], p, a) for p, a in fold_anchors(frame[["pos", "kind", "value", "parent_anchor"]].itertuples(index=False))],
-            columns=["doc_id", "pos", "anchor"],
-        )
-
-    return e.groupBy("doc_id").applyInPandas(fold, schema)
+def anchors(segmented: DataFrame) -> DataFrame:
+    """(doc_id, pos, role, anchor) of the clauses, tables and images that get an anchor."""
+    return segmented.where("anchor IS NOT NULL").select("doc_id", "pos", "role", "anchor")
 
 
 def fold_anchors(events) -> list[tuple[int, str]]:

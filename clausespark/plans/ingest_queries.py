@@ -46,7 +46,7 @@ def pages(spark, sf):
 
 
 def segmented(spark, sf):
-    return H.segment(html_files.flatten(pages(spark, sf)))
+    return H.segment(pages(spark, sf))
 
 
 _L = f"""li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -57,7 +57,7 @@ _APPT = """(SELECT max(j) FROM range(ln.i // 10 * 10, ln.i + 1) r(j) WHERE j % 7
 
 @query("html_elements", f"WITH {_L} SELECT doc_id, 'header' AS role, count(*) AS n FROM ln WHERE i % 10 = 0 GROUP BY 1 UNION ALL SELECT doc_id, 'clause', count(*) FROM ln GROUP BY 1 UNION ALL SELECT doc_id, 'table', count(*) FROM ln WHERE i % 6 = 5 GROUP BY 1 UNION ALL SELECT doc_id, 'image', count(*) FROM ln WHERE i % 5 = 2 GROUP BY 1")
 def html_elements(spark, sf):
-    e = H.roles(html_files.flatten(pages(spark, sf))).where(F.col("role").isin("header", "clause", "table", "image"))
+    e = segmented(spark, sf).where(F.col("role").isin("header", "clause", "table", "image"))
     return e.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -158,8 +158,7 @@ def row_search_text(spark, sf):
 @query("anchors")
 def anchors(spark, sf):
     """Anchors of clauses, tables and images (the fold is property-tested)."""
-    s = segmented(spark, sf)
-    return H.attach_anchors(s).join(s.select("doc_id", "pos", "role"), ["doc_id", "pos"]).select("doc_id", "pos", "role", "anchor")
+    return H.anchors(segmented(spark, sf))
 
 
 @query(

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -203,14 +204,41 @@ def _cells(table: _Node) -> list[dict]:
     return out
 
 
-def _elements(doc_id, html: str) -> Iterator[tuple]:
+class Element(NamedTuple):
+    """A div, a, table or img of a page; the fields of ``ELEMENT_SCHEMA``."""
+
+    doc_id: object
+    pos: int
+    tag: str
+    classes: list[str]
+    id: str | None
+    src: str | None
+    text: str
+    spaced: str
+    has_img: bool
+    parent_anchor: str | None
+    label: str | None
+    context: str | None
+    html: str | None
+    cells: list[dict] | None
+
+
+def names_appendix(text: str | None) -> bool:
+    return bool(_APPENDIX_NO.search(text or ""))
+
+
+def names_table(text: str | None) -> bool:
+    return any(r.search(text or "") for r in _TABLE_NO)
+
+
+def elements(doc_id, html: str) -> Iterator[Element]:
     pos = 0
     for n in _Page(html).root.walk():
         if n.tag not in ("div", "a", "table", "img"):
             continue
         pos += 1
         table = n.tag == "table"
-        yield (
+        yield Element(
             doc_id, pos, n.tag, _classes(n), n.attrs.get("id"), _clean(n.attrs.get("src") or "") or None,
             _clean("".join(n.strings())), n.spaced(), n.has_image(),
             n.anchor.attrs.get("id") if n.anchor is not None else None,
@@ -222,13 +250,12 @@ def _elements(doc_id, html: str) -> Iterator[tuple]:
 def flatten(pages: DataFrame) -> DataFrame:
     """Ordered div, a, table and img elements of every page (doc_id, html); pages are parsed one by one."""
     schema = ELEMENT_SCHEMA.format(key=pages.schema["doc_id"].dataType.simpleString())
-    names = [c.strip().split(" ")[0] for c in schema.split("cells ")[0].rstrip(", ").split(",") if " " in c.strip()] + ["cells"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for doc_id, html in zip(frame["doc_id"], frame["html"]):
-                rows = list(_elements(doc_id, html or ""))
+                rows = list(elements(doc_id, html or ""))
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=Element._fields)
 
     return pages.select("doc_id", "html").mapInPandas(parse, schema)

@@ -14,12 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from clausespark import constants as K
 from clausespark.operators import feedback as FB
 from clausespark.operators import ingest
-from clausespark.sources import html_files, sinks
+from clausespark.session import cut_lineage
+from clausespark.sources import sinks
 
 
 def ingest_batch(pages: DataFrame, out: str, batch_id: int) -> None:
     """Chapters, clauses, tables and images of one set of pages, and which pages these were, under the batch number."""
-    seg = ingest.segment(html_files.flatten(pages))
+    seg = cut_lineage(ingest.segment(pages))
     for name, df in (("chapters", ingest.chapters(seg)), ("clauses", ingest.clauses(seg)), ("tables", ingest.tables(seg)), ("images", ingest.images(seg))):
         sinks.write_batch(df, f"{out}/{name}", batch_id)
     sinks.write_batch(pages.select("doc_id").distinct(), f"{out}/{sinks.INGESTED}", batch_id)

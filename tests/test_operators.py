@@ -139,7 +139,7 @@ HTML = """<html><body><div class="TEXT_HEADER_DEFAULT">1-bob. Umumiy</div><a id=
 
 def parsed(spark):
     pages = spark.createDataFrame([("d", HTML)], "doc_id string, html string")
-    return ingest.segment(html_files.flatten(pages))
+    return ingest.segment(pages)
 
 
 def test_page_structure(spark):
@@ -212,7 +212,7 @@ def test_page_depth_and_length_cost_no_more_than_linear_time():
 
     for page in ("<p>" * 100_000 + "x", "<div>" * 30_000 + "x", "<div><img src='a'>" + "<p>y</p><img src='b'>" * 50_000 + "</div>", "<a id='q'></a>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<table></table>" * 50_000):
         t0 = time.perf_counter()
-        n = sum(1 for _ in html_files._elements("d", page))
+        n = sum(1 for _ in ingest.page_rows("d", page))
         assert n >= 0 and time.perf_counter() - t0 < 40
 
 
