@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import fingerprints, gray_index, language_id, mixing, personal_data, positional_index, secret_scan, sharding, spans
+from clausespark.llm import fingerprints, gray_index, language_id, mixing, personal_data, positional_index, quality, quotes, secret_scan, sharding, spans
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,15 @@ def op6_crf_secrets(spark, folder):
 def op8_crf_personal_data(spark, folder):
     found = personal_data.scan(table(spark, folder, "documents").select("doc_id", "text"), personal_data.train())
     return spans.digest(found, personal_data.BASE_KINDS, personal_data.KINDS)
+
+
+@query("op7_ordinal_quality")
+def op7_ordinal_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rated = quality.rate(docs, quality.fit(docs, table(spark, folder, "labels")))
+    return rated.select("doc_id", language_id.held_out().alias("held_out"), "expected_grade", "top_probability", "selected")
+
+
+@query("op5_quotation_links")
+def op5_quotation_links(spark, folder):
+    return quotes.formatted(table(spark, folder, "conversations"))
