@@ -1,7 +1,10 @@
 """Times the headline queries and prints one JSON line.
 
-Environment: BENCH_SF_DIR (tables), BENCH_CPUS (local threads), BENCH_RUNS (runs per query, the median
-counts), BENCH_QUERIES (comma-separated names).
+The total is that of the headline queries; heavier ones are timed beside it under "more", and some at a
+second, smaller scale under "small", so that growth with the data shows.
+
+Environment: BENCH_SF_DIR (tables), BENCH_SMALL_DIR (tables of the second scale), BENCH_CPUS (local threads),
+BENCH_RUNS (runs per query, the median counts), BENCH_QUERIES (comma-separated names, instead of all).
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ HEADLINE = (
     "doc_route final_order confidence verified_upsert negative_signal fifo_pairs dashboard doc_counts clauses table_cells draft_dedupe "
     "job_ledger eval_summary"
 ).split()
+MORE = "exact_clause row_candidates row_fallback seeded_knn".split()
+GROWTH = "lexical_retrieve exact_clause row_candidates clauses knn_topk".split()
 
 
 def main() -> None:
@@ -32,16 +37,20 @@ def main() -> None:
     spark = local_session(cores, "bench")
     queries = load().queries
     spark.read.parquet(f"{folder}/region.parquet").count()
-    times: dict[str, float] = {}
-    for name in names.split(",") if names else HEADLINE:
+    def timed(name: str, where: str) -> float:
         took = []
         for _ in range(runs):
             t0 = time.perf_counter()
-            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            queries[name](spark, where).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(took), 3)
-        print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
+        print(f"{name} {where}: {took}", file=sys.stderr, flush=True)
+        return round(statistics.median(took), 3)
+
+    times = {name: timed(name, folder) for name in (names.split(",") if names else HEADLINE)}
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}
+    if not names:
+        small = os.environ.get("BENCH_SMALL_DIR", os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.01"))
+        out |= {"more": {name: timed(name, folder) for name in MORE}, "small": {name: timed(name, small) for name in GROWTH}}
     print(json.dumps(out), flush=True)
 
 

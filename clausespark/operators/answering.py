@@ -304,8 +304,11 @@ def source_record(item: dict[str, Column] | None = None) -> Column:
     )
 
 
-def prompt_context(items: DataFrame, examples: Column | None = None) -> DataFrame:
-    """One prompt context per question: numbered blocks in context order, then the style examples."""
+def prompt_context(items: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """One prompt context per question: numbered blocks in context order, then the style examples.
+
+    examples: qid, examples (array of question/answer structs).
+    """
     dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-"))
     chapter = F.coalesce(F.nullif(F.col("chapter"), F.lit("")), F.lit("Nomalum bob"))
     body = F.left(F.coalesce("snippet", F.lit("")), F.lit(1200))
@@ -322,7 +325,12 @@ def prompt_context(items: DataFrame, examples: Column | None = None) -> DataFram
     )
     block = F.when(F.col("kind") == "clause", clause).when(F.col("kind") == "image", image).otherwise(row)
     g = items.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("context_rank").alias("r"), block.alias("b")))).alias("bs"))
-    return g.select("qid", F.array_join(F.transform("bs", lambda s: s["b"]), "\n\n").alias("context"))
+    context = F.array_join(F.transform("bs", lambda s: s["b"]), "\n\n")
+    if examples is None:
+        return g.select("qid", context.alias("context"))
+    none = F.array().cast("array<struct<question: string, answer: string>>")
+    shown = F.coalesce("examples", none)
+    return g.join(examples, "qid", "left").select("qid", F.concat(context, example_block(shown)).alias("context"))
 
 
 def example_block(examples: Column) -> Column:

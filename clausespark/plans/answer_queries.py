@@ -310,19 +310,36 @@ def context_select(spark, sf):
     return Q.context_select(ordered_items(spark, sf)).select("qid", "item_id", "context_rank")
 
 
-@query(
-    "prompt_context",
-    f"""WITH {S.ITEM}, {S.ITEM_Q}, {_ORDERED}, {_CONTEXT}, b AS (SELECT qid, context_rank, CASE kind
+_PROMPT = f"""WITH {S.ITEM}, {S.ITEM_Q}, {_ORDERED}, {_CONTEXT}, b AS (SELECT qid, context_rank, CASE kind
       WHEN 'clause' THEN 'Manba ' || context_rank || chr(10) || 'Hujjat: ' || code || chr(10) || 'Bob: ' || chapter || chr(10) || 'Band: ' || clause_number || chr(10) || 'Numeric dalil: -' || chr(10) || 'Matn: ' || snippet
       WHEN 'image' THEN 'Manba ' || context_rank || ' (Rasm)' || chr(10) || 'Hujjat: ' || code || chr(10) || 'Bob: ' || chapter || chr(10) || 'Ilova: ' || appendix_number || chr(10) || 'Rasm URL: -' || chr(10) || 'Matn: ' || snippet
-      ELSE 'Manba ' || context_rank || ' (Jadval satri)' || chr(10) || 'Hujjat: ' || code || chr(10) || 'Bo''lim: ' || chapter || chr(10) || 'Jadval: ' || table_number || chr(10) || 'Satr: ' || row_index || chr(10) || 'Numeric dalil: -' || chr(10) || 'Matn: ' || snippet END AS block FROM ctx)
-    SELECT qid, md5(string_agg(block, chr(10) || chr(10) ORDER BY context_rank)) AS context_md5 FROM b GROUP BY qid""",
-)
+      ELSE 'Manba ' || context_rank || ' (Jadval satri)' || chr(10) || 'Hujjat: ' || code || chr(10) || 'Bo''lim: ' || chapter || chr(10) || 'Jadval: ' || table_number || chr(10) || 'Satr: ' || row_index || chr(10) || 'Numeric dalil: -' || chr(10) || 'Matn: ' || snippet END AS block FROM ctx)"""
+
+
+@query("prompt_context", f"{_PROMPT} SELECT qid, md5(string_agg(block, chr(10) || chr(10) ORDER BY context_rank)) AS context_md5 FROM b GROUP BY qid")
 def prompt_context(spark, sf):
     it = Q.context_select(ordered_items(spark, sf)).withColumn("numeric_evidence", F.lit(None).cast("string")).withColumn("image_url", F.lit(None).cast("string"))
     return Q.prompt_context(it).select("qid", F.md5("context").alias("context_md5"))
 
 
+@query(
+    "prompt_examples",
+    f"""{_PROMPT}, e AS (SELECT DISTINCT qid, 'Namuna 1' || chr(10) || 'Savol: s' || qid || chr(10) || 'Javob: j' || (qid % 5)
+      || CASE WHEN qid % 4 = 0 THEN chr(10) || chr(10) || 'Namuna 2' || chr(10) || 'Savol: t' || chr(10) || 'Javob: u' ELSE '' END AS x FROM item WHERE qid % 2 = 0),
+    c AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY context_rank) AS c FROM b GROUP BY qid)
+    SELECT qid, md5(c || coalesce(chr(10) || chr(10) || 'Javob uslubi namunalari:' || chr(10) || x, '')) AS context_md5 FROM c LEFT JOIN e USING (qid)""",
+)
+def prompt_examples(spark, sf):
+    """Contexts followed by one or two style examples, or none."""
+    it = Q.context_select(ordered_items(spark, sf)).withColumn("numeric_evidence", F.lit(None).cast("string")).withColumn("image_url", F.lit(None).cast("string"))
+    k = F.col("qid").cast("string")
+    pair = lambda q, a: F.struct(q.alias("question"), a.alias("answer"))
+    one = pair(F.concat(F.lit("s"), k), F.concat(F.lit("j"), (F.col("qid") % 5).cast("string")))
+    ex = A.items(spark, sf).where("qid % 2 = 0").select("qid").distinct()
+    ex = ex.select("qid", F.when(F.col("qid") % 4 == 0, F.array(one, pair(F.lit("t"), F.lit("u")))).otherwise(F.array(one)).alias("examples"))
+    return Q.prompt_context(it, ex).select("qid", F.md5("context").alias("context_md5"))
+
+
 @query(
     "confidence",
     f"""WITH {S.ITEM}, {S.ITEM_Q}, {_ORDERED},

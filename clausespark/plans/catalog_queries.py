@@ -56,13 +56,12 @@ def child_counts(spark, sf):
 def catalog_rollups(spark, sf):
     r, n, _ = taxonomy(spark, sf)
     c = n.groupBy("section_id").agg(F.count(F.lit(1)).alias("categories"))
-    p = A.doc_processes(spark, sf)
-    cnt = lambda cond: p.where(cond).agg(F.count(F.lit(1))).scalar()
-    total = p.agg(F.count(F.lit(1))).scalar()
-    rate = F.when(total > 0, F.floor(cnt("status = 'done'") / total * 100 + 0.5)).otherwise(0)
-    return r.join(c, "section_id").select(
-        "section", "categories", cnt("status = 'processing'").alias("processing"), cnt("status IN ('processing', 'queued')").alias("stuck"), big(rate).alias("success_rate")
-    )
+    status = F.col("status")
+    cnt = lambda *s: F.count(F.when(status.isin(*s), 1))
+    p = A.doc_processes(spark, sf).agg(F.count(F.lit(1)).alias("total"), cnt("done").alias("done"), cnt("processing").alias("processing"), cnt("processing", "queued").alias("stuck"))
+    rate = F.when(F.col("total") > 0, F.floor(F.col("done") / F.col("total") * 100 + 0.5)).otherwise(0)
+    # one row of totals beside every section
+    return r.join(c, "section_id").withColumn("_all", F.lit(0)).join(p.withColumn("_all", F.lit(0)), "_all").select("section", "categories", "processing", "stuck", big(rate).alias("success_rate"))
 
 
 @query(

@@ -394,12 +394,7 @@ cases AS (SELECT q.qid, coalesce(bool_or(m), false) AS hit, coalesce(1.0::DOUBLE
 
 
 def _expectations(spark, sf):
-    """Documents that contain a library question word for word: (qid, code).
-
-    Whole lines are compared by an equi-join: a text contains a passage only if every line of the
-    passage that is bounded by line breaks on both sides is a line of the text, and the remaining
-    rows are confirmed on the full text.
-    """
+    """Documents that contain a library question word for word: (qid, document_id)."""
     return E.containing_documents(A.questions(spark, sf), A.texts(spark, sf, "documents"))
 
 
