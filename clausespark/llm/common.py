@@ -72,8 +72,8 @@ def join_counted(rows: DataFrame, lookup: DataFrame, key: str, count: str, sprea
     partitions by ``spread`` in place of the key. Null keys match nothing.
     """
     values = [c for c in lookup.columns if c not in (key, count)]
-    total = lookup.agg(F.sum(count).alias("__all"))
-    hot = lookup.join(F.broadcast(total), F.col(count) * HOT_KEYS > F.col("__all")).select(key, F.struct(*values).alias("__hot"))
+    total = lookup.agg(F.sum(count)).scalar()
+    hot = lookup.filter(F.col(count) * HOT_KEYS > total).select(key, F.struct(*values).alias("__hot"))
     t = rows.join(F.broadcast(hot), key, "left")
     spreader = F.xxhash64(*spread, F.lit(1)).cast(dict(rows.dtypes)[key])
     t = t.withColumn("__k", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spreader))
