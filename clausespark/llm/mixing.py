@@ -8,8 +8,8 @@ constant factor in the odds does not change the order, so the cut itself calibra
 
 Ranks are cut without sorting a source. Each source has about one rank bucket per ``BUCKET_ROWS`` documents;
 the sums of the buckets show which one holds the cut, and only that bucket is ordered by row. In it, documents
-that do not fit are passed over and later ones tried again, ``FILL_ROUNDS`` times, so that what is taken falls
-short of the target by little.
+are taken in rank order and those that do not fit are passed over. If room is left, the buckets behind the cut
+are summed again over the documents that still fit, which gives the next cut, until no document left fits.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; documents of size
 0 have no words to take (taken 0; copies as the certain ones); a null doc_id and repeated doc_ids are ranked by
@@ -20,16 +20,16 @@ start with two underscores are not carried along.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import own_columns, unit_hash
-from clausespark.session import cut_lineage
+from clausespark.session import cut_lineage, ship_package
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BUCKET_ROWS = 1000
-FILL_ROUNDS = 4
 SIZE_POWER = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,30 +78,66 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0))
     t = t.withColumns({"__certain": certain, "__left": F.floor(F.col("target") - certain * F.col("source_size") + 1e-6)})
 
-    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = t.groupBy("__s", "__bucket", "__left").agg(F.sum("size").alias("__sum"))
-    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    cut = buckets.filter((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("__sum") > F.col("__left")))
-    cut = cut_lineage(cut.groupBy("__s").agg(F.min("__bucket").alias("__cut"), F.min(F.col("__left") - F.col("__before")).alias("__room")))
-    t = t.join(cut, "__s", "left")
-    at_cut = F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))
-    # no cut: every document fits, which happens only if there is nothing to draw from
-    sure = t.filter(~at_cut).withColumn("__drawn", F.coalesce(F.col("__bucket") < F.col("__cut"), F.col("__left") > 0))
-
-    edge = t.filter(at_cut).withColumn("__drawn", F.lit(False))
-    for _ in range(FILL_ROUNDS):
-        rank = Window.partitionBy("__s", "__open").orderBy("__rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        every = Window.partitionBy("__s")
-        edge = edge.withColumn("__open", ~F.col("__drawn") & (F.col("size") <= F.col("__room")))
-        edge = edge.withColumn("__fits", F.col("__open") & (F.sum("size").over(rank) <= F.col("__room")))
-        edge = edge.withColumn("__room", F.col("__room") - F.coalesce(F.sum(F.when(F.col("__fits"), F.col("size"))).over(every), F.lit(0)))
-        edge = edge.withColumn("__drawn", F.col("__drawn") | F.col("__fits")).drop("__open", "__fits")
-    t = sure.unionByName(edge)
+    passes, edge = fill(cut_lineage(t.select("__s", "__left", "__bucket", "__rank", "size")))
+    t = t.join(passes, "__s", "left")
+    at_cut = F.coalesce(F.exists("__passes", lambda p: p["cut"] == F.col("__bucket")), F.lit(False))
+    reached = lambda p: (F.col("__bucket") > p["after"]) & (p["cut"].isNull() | (F.col("__bucket") < p["cut"])) & (F.col("size") <= p["room"]) & (F.col("size") > 0)
+    sure = t.filter(~at_cut).withColumn("__drawn", F.coalesce(F.exists("__passes", reached), F.lit(False)))
+    tied = Window.partitionBy("__s", "__bucket", "__rank", "size").orderBy(F.lit(1))
+    edges = t.filter(at_cut).join(edge, ["__s", "__bucket", "__rank", "size"], "left")
+    edges = edges.withColumn("__drawn", F.coalesce(F.row_number().over(tied) <= F.col("__drawn_rows"), F.lit(False))).drop("__drawn_rows")
+    t = sure.unionByName(edges)
     t = t.withColumn("copies", (F.col("__certain") + F.col("__drawn").cast("int")).cast("int"))
     t = t.withColumn("taken", F.col("copies") * F.col("size"))
     return t.select(*kept, *out)
 
 
+def fill(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is drawn of ``rows`` (__s, __left, __bucket, __rank, size) in rank order, documents that do not fit passed over.
+
+    First (__s, __passes), the array of (after, cut, room) of each source: of the buckets between after and cut
+    (all, if null) every document of at most room words is drawn. Then (__s, __bucket, __rank, size,
+    __drawn_rows) of the buckets that hold a cut.
+    """
+    ship_package(rows.sparkSession)
+
+    @F.pandas_udf("array<boolean>")
+    def fitting(sizes: pd.Series, room: pd.Series) -> pd.Series:
+        out = []
+        for row, left in zip(sizes, room):
+            drawn = []
+            for n in row:
+                drawn.append(bool(n <= left))
+                left -= n * drawn[-1]
+            out.append(drawn)
+        return pd.Series(out)
+
+    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    state = rows.filter("__left > 0").select("__s", F.lit(-1).cast("long").alias("after"), F.col("__left").cast("long").alias("room")).distinct()
+    every, edges = None, None
+    while True:
+        state = cut_lineage(state)
+        fits = rows.join(state, "__s").filter((F.col("__bucket") > F.col("after")) & (F.col("size") <= F.col("room")) & (F.col("size") > 0))
+        sums = fits.groupBy("__s", "after", "room", "__bucket").agg(F.sum("size").alias("sum"))
+        sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+        cut = F.min(F.when(F.col("before") + F.col("sum") > F.col("room"), F.struct(F.col("__bucket").alias("cut"), (F.col("room") - F.col("before")).alias("start"))))
+        cuts = cut_lineage(sums.groupBy("__s", "after", "room").agg(cut.alias("c")).select("__s", "after", "room", "c.cut", "c.start"))
+        held = fits.drop("after", "room").join(cuts.select("__s", F.col("cut").alias("__bucket"), "start"), ["__s", "__bucket"])
+        held = held.groupBy("__s", "__bucket", "start").agg(F.array_sort(F.collect_list(F.struct("__rank", "size"))).alias("row"))
+        held = held.withColumn("drawn", fitting("row.size", "start"))
+        taken = held.select("__s", "__bucket", "start", F.explode(F.arrays_zip("row", "drawn")).alias("x"))
+        taken = taken.select("__s", "__bucket", "start", "x.row.*", F.col("x.drawn").cast("int").alias("n"))
+        edge = cut_lineage(taken.groupBy("__s", "__bucket", "start", "__rank", "size").agg(F.sum("n").alias("__drawn_rows")))
+        every = cuts if every is None else every.union(cuts)
+        edges = edge if edges is None else edges.union(edge)
+        left = edge.groupBy("__s", F.col("__bucket").alias("after"), "start").agg(F.sum(F.col("size") * F.col("__drawn_rows")).alias("words"))
+        state = left.select("__s", "after", (F.col("start") - F.col("words")).alias("room")).filter("room > 0")
+        if cuts.filter("cut IS NOT NULL").isEmpty():
+            break
+    passes = every.groupBy("__s").agg(F.collect_list(F.struct("after", "cut", "room")).alias("__passes"))
+    return cut_lineage(passes), edges.drop("start").filter("__drawn_rows > 0")
+
+
 def repeat_copies(mixed: DataFrame) -> DataFrame:
     """Each row as often as its ``copies`` say; rows of none go."""
     return mixed.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__i")

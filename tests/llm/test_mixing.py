@@ -66,3 +66,13 @@ def test_empty_and_wordless(spark):
 def test_copies_are_repeated(spark):
     mixed = mix(spark.createDataFrame(rows(200), SCHEMA))
     assert repeat_copies(mixed).count() == mixed.agg({"copies": "sum"}).first()[0]
+
+
+def test_a_giant_document_leaves_no_room_unused(spark):
+    rng = random.Random(2)
+    data = [(i, "w " * max(1, int(rng.lognormvariate(3, 1))), "a", "", 0) for i in range(5000)] + [(-1, "w " * 40000, "a", "", 0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for seed in range(3):
+        got = mix(df, seed=seed, share=0.3).collect()
+        room = got[0]["target"] - sum(r["taken"] for r in got)
+        assert 0 <= room < min(r["size"] for r in got if not r["copies"])
