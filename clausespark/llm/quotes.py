@@ -3,8 +3,9 @@
 Lines that start with > are quoted, one level per sign; neighbouring lines of one level are a passage. What is
 left, without the line that announces a quote, is the message's own text. Passages and own texts are normalised
 (case and white space) and hashed, whole and line by line. A passage is linked by its whole hash or else by its
-first line that is found: to the first message of the same conversation before it that says so, else, if the
-quoted words are at least ``FAR_WORDS``, to the first message before it in any conversation. Lookups hold one
+first line that is found: to the first message of the same conversation before it that says so, whatever its
+length, else, if the quoted words are at least ``FAR_WORDS``, to the first message before it in any conversation.
+Words are runs between white space; in scripts written without spaces every two letters count as one. Lookups hold one
 row per hash, the first message, so no pairs of messages with a common line are ever made.
 
 A message replies to what its first linked level-1 passage quotes, else to the message before it in its
@@ -33,7 +34,9 @@ from clausespark.session import cut_lineage, ship_package
 
 PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 ANNOUNCED = re.compile(r"\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
-NEAR_WORDS, FAR_WORDS = 2, 6
+FAR_WORDS = 6
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 UNIT = "struct<passage: int, level: int, priority: int, hash: bigint, words: int>"
 
 
@@ -66,13 +69,18 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in passages]
 
 
+def length(text: str) -> int:
+    """Words of a normalised text."""
+    return max(len(text.split()), len(SPACELESS.findall(text)) // 2)
+
+
 def units(text: str) -> list[tuple[int, int, int]]:
     """(priority, hash, words) of a text: the whole first, then its lines."""
     whole = normalise(text)
-    out = [(0, digest(whole), len(whole.split()))] if whole else []
+    out = [(0, digest(whole), length(whole))] if whole else []
     lines = [normalise(x) for x in text.split("\n")]
     lines = [x for x in lines if x and x != whole]
-    return out + [(i + 1, digest(x), len(x.split())) for i, x in enumerate(lines)]
+    return out + [(i + 1, digest(x), length(x)) for i, x in enumerate(lines)]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -110,7 +118,7 @@ def quote_links(messages: DataFrame) -> DataFrame:
     """(id, passage, level, to): every quoted passage that is found, with the message it quotes."""
     spread = lambda c: messages.select("id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), F.explode(c).alias("u")).select("id", "conv", "u.*")
     said, quoted = spread("said"), spread("quoted")
-    near = _lookup(quoted, said, F.col("conv"), NEAR_WORDS).withColumn("far", F.lit(0))
+    near = _lookup(quoted, said, F.col("conv"), 1).withColumn("far", F.lit(0))
     far = _lookup(quoted, said, F.lit("all"), FAR_WORDS).withColumn("far", F.lit(1))
     best = F.min(F.struct("far", "priority", "to"))
     return near.unionByName(far).groupBy("id", "passage", "level").agg(best.alias("b")).select("id", "passage", "level", "b.to")

@@ -52,3 +52,15 @@ def test_a_common_line_links_to_its_first_speaker(spark):
     rows = [(1, i, "user", "the same long line that everybody says here" if i % 2 == 0 else "> the same long line that everybody says here\nyes") for i in range(200)]
     got = run(spark, rows)
     assert all((got[1, i]["reply_turn"], got[1, i]["by_quote"]) == (0, True) for i in range(1, 200, 2))
+
+
+def test_one_word_and_scripts_without_spaces(spark):
+    rows = [
+        (1, 0, "user", "yes"), (1, 1, "assistant", "and"), (1, 2, "user", "> yes\nindeed"),
+        (2, 0, "user", "今天我们讨论公司的年度预算问题"), (2, 1, "assistant", "好"), (2, 2, "user", "> 今天我们讨论公司的年度预算问题\n同意"),
+        (3, 0, "user", "> 今天我们讨论公司的年度预算问题\n看看"), (4, 0, "user", "> 好\n短"), (5, 0, "user", "> yes\nfar and short"),
+    ]
+    got = run(spark, rows)
+    link = lambda c, t: (got[c, t]["reply_conv"], got[c, t]["reply_turn"], got[c, t]["by_quote"])
+    assert link(1, 2) == (1, 0, True) and link(2, 2) == (2, 0, True) and link(3, 0) == (2, 0, True)
+    assert link(4, 0) == (None, None, False) and link(5, 0) == (None, None, False)
