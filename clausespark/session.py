@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -49,24 +50,78 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session, whose executor is the driver itself, gets a temporary folder. On a
-    cluster such a folder would be split over the machines, so there it is an error.
+    Where it is unset, a local session, whose executor is the driver itself, gets a temporary folder, one per
+    process. On a cluster such a folder would be split over the machines, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="clausespark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="clausespark-")
+
+
+class Scratch:
+    """Tables that ``cut_lineage`` writes while this scope is open; all but what ``keep`` returns go when it ends.
+
+    Scopes nest: what is kept belongs to the scope around, or stays if there is none. Nothing may read the
+    other tables afterwards, so what leaves the scope must have come through ``keep``.
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch.open.remove(self)
+        for path in self.paths:
+            self._delete(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as a table that outlives the scope."""
+        above = Scratch.open[:Scratch.open.index(self)]
+        path, kept = _written(df)
+        if above:
+            above[-1].paths.append(path)
+        return kept
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the tables of this scope that ``df`` reads, if nothing needs them any more."""
+        read = df.inputFiles()
+        for path in [p for p in self.paths if any(p.split("/")[-1] in f for f in read)]:
+            self.paths.remove(path)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/clausespark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     Later steps that read it several times neither repeat the work nor lose it with an executor, and
-    the planner sees its true size, which lets it choose broadcasts on its own.
+    the planner sees its true size, which lets it choose broadcasts on its own. Inside a ``Scratch`` scope
+    the table goes when the scope ends.
     """
-    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/clausespark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, table = _written(df)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
+    return table

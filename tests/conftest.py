@@ -16,6 +16,12 @@ def spark():
     return local_session(8, "tests")
 
 
+@pytest.fixture(scope="session")
+def small():
+    """Folder of the smallest given tables."""
+    return SMALL
+
+
 @pytest.fixture
 def one(spark):
     """Value of a Column expression over literals."""

@@ -184,11 +184,10 @@ def test_dense_positions_of_a_hot_key(spark):
         by[r["k"]] = r["pos"] + 1
 
 
-def test_job_ledger_rounds(spark):
+def test_job_ledger_rounds(spark, small):
     from clausespark.operators import curate
-    from conftest import SMALL
 
-    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    e = spark.read.parquet(f"{small}/events.parquet")
     names = F.array(*[F.lit(n) for n in ("create", "start", "progress", "finish", "cancel", "restart", "extend", "delete")])
     c = e.select((F.col("user_id") % 5).alias("job_id"), F.col("event_id").alias("seq"), "ts", F.get(names, (F.col("event_id") * 31 % 8).cast("int")).alias("command"), F.lit(2).cast("bigint").alias("amount"))
     now = F.lit("2024-02-01").cast("timestamp")
@@ -235,3 +234,21 @@ def test_the_later_vote_wins_whatever_the_batch(spark):
     for order in ((new, old, none), (none, old, new), (old, new, none)):
         r = FB.upsert(FB.upsert(order[0], order[1], FB.VERIFIED_KEY, "verified_count"), order[2], FB.VERIFIED_KEY, "verified_count").first()
         assert (r["verified_count"], r["code"], r["updated_at"]) == (3, "new", datetime(2024, 1, 7))
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from clausespark.session import Scratch, cut_lineage, scratch_folder
+
+    where = os.path.join(scratch_folder(spark).removeprefix("file:"), "clausespark")
+    with Scratch(spark) as outer:
+        with Scratch(spark) as scope:
+            first = cut_lineage(spark.range(5))
+            second = cut_lineage(first.selectExpr("id + 1 AS id"))
+            scope.drop(first)
+            kept = scope.keep(second.filter("id > 2"))
+            names = {os.path.basename(p) for p in scope.paths}
+        assert not names & set(os.listdir(where)) and kept.count() == 3
+        assert len(outer.paths) == 1 and os.path.basename(outer.paths[0]) in os.listdir(where)
+    assert os.path.basename(outer.paths[0] if outer.paths else "x") not in os.listdir(where)

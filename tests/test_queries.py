@@ -9,7 +9,6 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import compare, duck
-from conftest import SMALL
 
 SAMPLE = (
     "clean_text stem_tokens query_terms exact_refs numeric_score intent query_gates knn_topk lexical_retrieve rrf near_dup clause_candidates "
@@ -18,13 +17,13 @@ SAMPLE = (
 
 
 @pytest.fixture(scope="session")
-def con():
-    return duck(SMALL)
+def con(small):
+    return duck(small)
 
 
 @pytest.mark.parametrize("name", list(entry.queries()) if os.environ.get("CLAUSESPARK_ALL") else SAMPLE)
-def test_query(spark, con, name):
-    line = compare(spark, con, SMALL, name, entry.queries()[name], entry.oracle_sql().get(name))
+def test_query(spark, con, small, name):
+    line = compare(spark, con, small, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert line.startswith(("ok", "ROWS")), line
 
 

@@ -10,7 +10,6 @@ from clausespark.operators import ingest
 from clausespark.plans import chat_queries
 from clausespark.sources import html_files, sinks
 from clausespark.streaming import jobs
-from conftest import SMALL
 from test_operators import HTML
 
 
@@ -35,13 +34,13 @@ def test_a_document_without_images_any_more_keeps_none(spark, tmp_path):
     assert sinks.latest_documents(spark, out, "images").count() == 0
 
 
-def test_a_missing_snapshot_is_an_error(spark, tmp_path):
+def test_a_missing_snapshot_is_an_error(spark, small, tmp_path):
     with pytest.raises(AnalysisException):
-        jobs.upsert_batch(chat_queries.votes(spark, SMALL).limit(1), str(tmp_path), 3)
+        jobs.upsert_batch(chat_queries.votes(spark, small).limit(1), str(tmp_path), 3)
 
 
-def test_vote_stream_replays(spark, tmp_path):
-    votes = chat_queries.votes(spark, SMALL)
+def test_vote_stream_replays(spark, small, tmp_path):
+    votes = chat_queries.votes(spark, small)
     for n, part in enumerate((votes.where("event_id < 500"), votes.where("event_id >= 500"))):
         part.write.mode("append").parquet(str(tmp_path / "in" / f"p={n}"))
     stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
