@@ -41,17 +41,18 @@ def row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
 
 
-def ordered_positions(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, pos: str = "pos") -> DataFrame:
+def ordered_positions(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, pos: str = "pos", carry: list[str] | None = None) -> DataFrame:
     """0-based place of every row in one global order, plus running sums up to and including the row.
 
     ``sums`` maps new columns to summed ones. Rows are range-partitioned and sorted; places and sums inside a
     partition are raised by the totals of the partitions before, of which there is one row each. Equal rows
-    may lie in any order among themselves. No task holds more than one range.
+    may lie in any order among themselves. No task holds more than one range. ``carry`` names the columns to
+    keep once the rows are in order; all by default.
     """
     sums = sums or {}
     ids = F.monotonically_increasing_id()
     t = df.orderBy(*order).withColumns({"__part": F.shiftright(ids, 33), "__row": ids.bitwiseAND(F.lit((1 << 33) - 1))})
-    t = cut_lineage(t)
+    t = cut_lineage(t if carry is None else t.select(*carry, "__part", "__row"))
     totals = t.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     carried = {"__first": F.coalesce(F.sum("__n").over(before), F.lit(0))}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import fingerprints, gray_index, language_id, mixing, personal_data, positional_index, quality, quotes, secret_scan, sharding, spans
+from clausespark.llm import fingerprints, gray_index, language_id, mixing, personal_data, positional_index, prefix_trie, quality, quotes, secret_scan, sharding, spans
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op7_ordinal_quality(spark, folder):
 @query("op5_quotation_links")
 def op5_quotation_links(spark, folder):
     return quotes.formatted(table(spark, folder, "conversations"))
+
+
+@query("op11_centroid_prefix_trie")
+def op11_centroid_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
