@@ -4,7 +4,7 @@ A filter is a direction on the sphere: one code word from each of ``PARTS`` smal
 side, after a rotation by random signs and a Hadamard transform that spreads every vector over its parts. A
 vector falls into every filter whose inner product with it is at least ``HEIGHT``; which filters these are is
 list-decoded from the code, part by part, following only prefixes that the best words of the remaining parts
-can still lift over the threshold. A vector that no filter of a code catches goes to its best one. There are
+can still lift over the threshold. A vector that no filter of a code catches goes to its best ones. There are
 ``CODES`` independent codes. Vectors that are near each other fall into mostly the same filters, so the vectors
 of one label and filter are compared and the cosines of those pairs are verified in double precision.
 
@@ -40,6 +40,8 @@ COSINE = 0.98
 CODES, PARTS, WORDS = 6, 2, 64
 #: Least inner product, in standard deviations of that of a random unit vector.
 HEIGHT = 3.2
+#: A vector that no filter of a code reaches that high takes those of at least this share of its best.
+NEARLY = 0.95
 TILE = 1024
 #: Vectors decoded at a time.
 SLICE = 2048
@@ -53,6 +55,7 @@ class Code:
         rng = np.random.default_rng([seed, dim, number])
         self.wide = max(parts, 1 << (dim - 1).bit_length())
         self.signs = rng.choice([-1.0, 1.0], (2, self.wide))
+        words = min(words, 4 ** (self.wide // parts))
         book = rng.standard_normal((parts, words, self.wide // parts))
         self.book = book / np.linalg.norm(book, axis=2, keepdims=True) / np.sqrt(parts)
         self.parts, self.words, self.first = parts, words, number * words ** parts
@@ -70,12 +73,12 @@ class Code:
         return x
 
     def decode(self, x: np.ndarray, height: float = HEIGHT) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters at least ``height`` deviations up; of a row without any, the best one."""
+        """(row, filter) of all filters at least ``height`` deviations up; of a row without any, those near its best."""
         y = self.rotate(x).reshape(len(x), self.parts, -1)
         scores = np.einsum("npd,pwd->npw", y, self.book)
         ahead = np.cumsum(scores.max(axis=2)[:, ::-1], axis=1)[:, ::-1]  # best of this part and the later ones
         ahead = np.c_[ahead, np.zeros(len(x))]
-        least = np.minimum(height / np.sqrt(self.wide), ahead[:, 0] - 1e-12)
+        least = np.minimum(height / np.sqrt(self.wide), ahead[:, 0] * NEARLY)
         row, word, score = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
         for p in range(self.parts):
             reach = score[:, None] + scores[row, p] + ahead[row, p + 1][:, None]

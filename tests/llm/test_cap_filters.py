@@ -86,6 +86,6 @@ def test_decoding_finds_all_filters_above():
     y = code.rotate(x).reshape(50, 2, -1)
     assert np.allclose(np.linalg.norm(code.rotate(x), axis=1), 1)
     all_ = (np.einsum("nd,wd->nw", y[:, 0], code.book[0])[:, :, None] + np.einsum("nd,wd->nw", y[:, 1], code.book[1])[:, None]).reshape(50, -1)
-    least = np.minimum(1.0 / np.sqrt(code.wide), all_.max(axis=1))
+    least = np.minimum(1.0 / np.sqrt(code.wide), all_.max(axis=1) * cap_filters.NEARLY)
     row, number = code.decode(x, 1.0)
     assert set(zip(row.tolist(), number.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(all_ >= least[:, None] - 1e-12))))
