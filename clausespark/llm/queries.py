@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausespark.llm import cap_filters, fingerprints, gray_index, language_id, mixing, personal_data, positional_index, prefix_trie, quality, quotes, secret_scan, sharding, spans
+from clausespark.llm import cap_filters, fingerprints, gray_index, hard_negatives, language_id, mixing, personal_data, positional_index, prefix_trie, quality, quotes, secret_scan, sharding, spans
 from clausespark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op11_centroid_prefix_trie(spark, folder):
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+@query("op12_threshold_hard_negatives", hard_negatives.ORACLE)
+def op12_threshold_hard_negatives(spark, folder):
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
 @query("op13_cap_filter_dedup")
 def op13_cap_filter_dedup(spark, folder):
     return cap_filters.near_duplicates(table(spark, folder, "embeddings"))
