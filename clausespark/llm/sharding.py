@@ -11,6 +11,8 @@ The walk asks only for the last end at or before a place. It is answered from a
 as long as the bounds disagree, the bins that matter are cut finer by another aggregate. The driver never
 holds more than about ``BINS`` summary rows per round, whatever the number of groups.
 
+Everything is worked out on (text key, doc_id, count) and joined to the rows once, at the end.
+
 Defined cases: null texts are one group of rows of 16 bytes, text_crc32 null; null doc_ids sort first; equal
 rows tie and may swap slots; fewer groups than shards leave the last shards empty; an empty table gives an
 empty result. Added columns replace input columns of the same
@@ -21,15 +23,17 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import join_counted, ordered_positions, own_columns
-from clausespark.session import cut_lineage
+from clausespark.session import Scratch, cut_lineage
 
 SHARDS = 40
 BINS = 16384
 ROW_BYTES = 16
+#: Rows of one doc_id and text up to which they are told apart in one task.
+REPEATED = 1024
 
 
 class Ends:
@@ -153,16 +157,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, keep: list[st
     t = docs.withColumns({"size": length + ROW_BYTES, "text_crc32": F.crc32(F.col("text").cast("binary"))})
     key = F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex("text_crc32"), F.octet_length("text"))
     t = t.withColumn("__key", F.when(F.col("text").isNull(), F.lit("null")).otherwise(key)).select(*kept, "size", "text_crc32", "__key")
-    groups = t.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__bytes"), F.min("doc_id").alias("__least"))
-    order = [F.col("__least").asc_nulls_first(), F.col("__key").asc()]
-    groups = cut_lineage(ordered_positions(groups, order, {"__end": "__bytes", "__rows": "__n"}, "__place"))
-    ends = Ends(groups, "__end", bins)
-    cuts = balanced_cuts(ends, shards, least_capacity(ends, shards)) if ends.total else []
-    stops = F.array(*[F.lit(c) for c in cuts[:-1]]).cast("array<bigint>")
-    groups = groups.withColumn("shard", F.size(F.filter(stops, lambda c: c < F.col("__end"))))
-    begins = groups.groupBy("shard").agg(F.min(F.col("__rows") - F.col("__n")).alias("__begin"))  # at most one row per shard
-    t = join_counted(t, groups.select("__key", "__n", "__place", "shard"), "__key", "__n", ["doc_id"])
-    t = ordered_positions(t, [F.col("__place"), F.col("doc_id").asc_nulls_first()], pos="__pos")
-    t = t.join(F.broadcast(begins), "shard")
-    t = t.withColumns({"slot": F.col("__pos") - F.col("__begin"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-    return t.select(*kept, *out)
+    with Scratch(docs.sparkSession) as scratch:
+        # rows of equal doc_id and text are interchangeable: one class each, which takes as many places in turn
+        classes = cut_lineage(t.groupBy("__key", "doc_id").agg(F.count(F.lit(1)).alias("__m"), F.sum("size").alias("__bytes")))
+        groups = classes.groupBy("__key").agg(F.sum("__m").alias("__n"), F.count(F.lit(1)).alias("__classes"), F.sum("__bytes").alias("__bytes"), F.min("doc_id").alias("__least"))
+        order = [F.col("__least").asc_nulls_first(), F.col("__key").asc()]
+        groups = cut_lineage(ordered_positions(groups, order, {"__end": "__bytes", "__rows": "__n"}, "__place"))
+        ends = Ends(groups, "__end", bins)
+        cuts = balanced_cuts(ends, shards, least_capacity(ends, shards)) if ends.total else []
+        stops = F.array(*[F.lit(c) for c in cuts[:-1]]).cast("array<bigint>")
+        groups = groups.withColumn("shard", F.size(F.filter(stops, lambda c: c < F.col("__end"))))
+        begins = groups.groupBy("shard").agg(F.min(F.col("__rows") - F.col("__n")).alias("__begin"))  # at most one row per shard
+        classes = join_counted(classes, groups.select("__key", "__classes", "__place", "shard"), "__key", "__classes", ["doc_id"])
+        classes = ordered_positions(classes, [F.col("__place"), F.col("doc_id").asc_nulls_first()], {"__upto": "__m"}, "__pos", ["__key", "doc_id", "__m", "shard"])
+        classes = classes.join(F.broadcast(begins), "shard")
+        classes = scratch.keep(classes.select("__key", F.col("doc_id").alias("__id"), "__m", "shard", (F.col("__upto") - F.col("__m") - F.col("__begin")).alias("__from")))
+    t = t.join(classes.withColumnRenamed("__key", "__k"), (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    same = Window.partitionBy("__key", "doc_id").orderBy(F.lit(1))
+    few = t.filter(F.col("__m") <= REPEATED).withColumn("__nth", F.row_number().over(same) - 1)
+    out_columns = {"slot": F.col("__from") + F.col("__nth"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    if classes.filter(F.col("__m") > REPEATED).isEmpty():
+        return few.withColumns(out_columns).select(*kept, *out)
+    many = ordered_positions(t.filter(F.col("__m") > REPEATED), [F.col("__key"), F.col("doc_id")], pos="__at")
+    first = many.groupBy("__key", "doc_id").agg(F.min("__at").alias("__first")).select(F.col("__key").alias("__k"), F.col("doc_id").alias("__id"), "__first")
+    many = many.drop("__k", "__id").join(first, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    many = many.withColumn("__nth", F.col("__at") - F.col("__first"))
+    return few.withColumns(out_columns).select(*kept, *out).union(many.withColumns(out_columns).select(*kept, *out))

@@ -49,3 +49,15 @@ def test_empty_and_few(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
     got = shard(spark.createDataFrame([(1, "a", "", 0), (2, "a", "", 0), (3, "b", "", 0)], SCHEMA), 40).collect()
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(1, 0, 0), (2, 0, 1), (3, 1, 0)}
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    from clausespark.llm import sharding
+
+    monkeypatch.setattr(sharding, "REPEATED", 3)
+    rows = [(i % 5, "a" if i % 2 else "b", "x", i) for i in range(100)] + [(None, None, "x", 7)] * 9 + [(50 + i, f"t{i}", "x", i) for i in range(20)]
+    got = shard(spark.createDataFrame(rows, SCHEMA).repartition(3), 4).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["other"]) for r in got))) == sorted(map(repr, ((r[0], r[1], r[3]) for r in rows)))
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
