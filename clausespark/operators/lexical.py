@@ -14,7 +14,7 @@ No side is broadcast by hand: small ones are broadcast by size, large ones are s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark import constants as K
@@ -24,6 +24,8 @@ from clausespark.session import cut_lineage
 PRIORITY_WEIGHT, UNIQUE_WEIGHT = 3.0, 1.15
 #: The most that counts of occurrences (1.0, 0.6) and full priority coverage (0.45) add to a score.
 EXTRA_MOST = 2.05
+#: Scores are rounded to nine digits; bounds leave more room than that.
+SLACK = 1e-6
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -91,11 +93,12 @@ def score_candidates(terms: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def top_scored(terms: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """The same rows as the best ``k`` of ``score_candidates`` per question, without joining common terms to every clause.
+    """The best ``k`` rows of ``score_candidates`` per question, and others, without joining common terms to every clause.
 
     Each term has an upper bound of what it adds. The rarest terms alone give partial scores, and the k-th best
     of these is a floor. Terms are then taken from rare to common until those left could not lift an untouched
-    clause to the floor; only clauses that a term taken so far touches are scored in full.
+    clause to the floor. The partial sums of the terms taken are kept; the terms left are looked up only for
+    clauses that they could still lift to the k-th best partial score.
     """
     count = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     bound = F.when(F.col("is_unique"), UNIQUE_WEIGHT).otherwise(0.0) + F.when(F.col("is_priority"), PRIORITY_WEIGHT).otherwise(0.0)
@@ -104,26 +107,49 @@ def top_scored(terms: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     left = F.sum("bound").over(rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     t = t.withColumn("left", left).withColumn("lead", left * 2 > F.sum("bound").over(Window.partitionBy("qid")))
     t = cut_lineage(t)
+    led = cut_lineage(_gather(t.where("lead"), hits))
+    t = t.join(_floor(led, k), "qid", "left")
+    needed = F.col("lead") | F.col("floor").isNull() | (F.col("left") + EXTRA_MOST + SLACK >= F.col("floor"))
+    t = cut_lineage(t.withColumn("taken", needed).drop("floor"))
+    taken = cut_lineage(_added(led, _gather(t.where("taken AND NOT lead"), hits)))
+    rest = t.where("NOT taken")
+    open_ = cut_lineage(rest.groupBy("qid").agg(F.sum("bound").alias("most")))
+    # a question without terms left has exact scores already; of the others only what can reach the floor is looked up
+    full = _floor(taken, k).join(open_.select("qid", "most"), "qid", "left")
+    reach = F.col("p_coverage") * PRIORITY_WEIGHT + F.col("coverage") * UNIQUE_WEIGHT + F.col("most") + EXTRA_MOST
+    reach = F.when(F.col("most").isNull(), _score()).otherwise(reach)
+    live = taken.join(full, "qid", "left").where(F.col("floor").isNull() | (reach + SLACK >= F.col("floor")))
+    live = cut_lineage(live.drop("most", "floor").join(open_, "qid", "left").withColumn("asks", F.col("most").isNotNull()).drop("most"))
+    more = live.where("asks").select("qid", "clause_id").join(rest, "qid")
+    return _scores(_added(live.drop("asks"), _gather(more, hits)))
+
+
+def _added(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The sums of disjoint terms, put together."""
+    sums = [F.sum(c).alias(c) for c in ("tf", "coverage", "p_tf", "p_coverage")]
+    return one.unionByName(two).groupBy("qid", "clause_id").agg(*sums, F.max("n_priority").alias("n_priority"))
+
+
+def _floor(sums: DataFrame, k: int) -> DataFrame:
+    """(qid, floor): the k-th best score so far, for questions with so many."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "clause_id")
-    partial = score_candidates(t.where("lead"), hits).withColumn("r", F.row_number().over(order))
-    floor = cut_lineage(partial.where(F.col("r") == k).select("qid", F.col("score").alias("floor")))
-    t = t.join(floor, "qid", "left")
-    needed = t.where(F.col("lead") | F.col("floor").isNull() | (F.col("left") + EXTRA_MOST + 1e-6 >= F.col("floor")))
-    touched = needed.join(hits, "term").select("qid", "clause_id").distinct()
-    return _scores(_gather(touched.join(terms, "qid"), hits))
+    return _scores(sums).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k).select("qid", F.col("score").alias("floor"))
 
 
-def _scores(g: DataFrame) -> DataFrame:
-    s = g.where(F.col("tf") > 0)
-    s = s.where(~((F.col("n_priority") > 0) & (F.col("p_coverage") <= 0) & (F.col("coverage") < 2)))
-    score = (
+def _score() -> Column:
+    return (
         F.col("p_coverage") * PRIORITY_WEIGHT
         + F.col("coverage") * UNIQUE_WEIGHT
         + F.least(F.lit(1.0), F.log1p("p_tf") * 0.45)
         + F.least(F.lit(0.6), F.log1p("tf") * 0.18)
         + F.when((F.col("n_priority") > 0) & (F.col("p_coverage") == F.col("n_priority")), 0.45).otherwise(0.0)
     )
-    return s.select("qid", "clause_id", F.round(score, 9).alias("score"), "coverage", "tf")
+
+
+def _scores(g: DataFrame) -> DataFrame:
+    s = g.where(F.col("tf") > 0)
+    s = s.where(~((F.col("n_priority") > 0) & (F.col("p_coverage") <= 0) & (F.col("coverage") < 2)))
+    return s.select("qid", "clause_id", F.round(_score(), 9).alias("score"), "coverage", "tf")
 
 
 def top_clauses(scored: DataFrame, k: int) -> DataFrame:
@@ -135,7 +161,8 @@ def top_clauses(scored: DataFrame, k: int) -> DataFrame:
 def matches(questions: DataFrame, clauses: DataFrame, postings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Terms of the questions and their hits, as written tables."""
     terms = cut_lineage(question_terms(questions))
-    return terms, cut_lineage(term_hits(clause_tokens(clauses) if postings is None else postings, terms))
+    postings = cut_lineage(clause_tokens(clauses)) if postings is None else postings  # read twice
+    return terms, cut_lineage(term_hits(postings, terms))
 
 
 def retrieve(questions: DataFrame, clauses: DataFrame, k: int = K.LEXICAL_K, postings: DataFrame | None = None) -> DataFrame:
