@@ -61,11 +61,20 @@ def doc_scores(items: DataFrame, score: str) -> DataFrame:
     return top.groupBy("qid", "code").agg((F.max(score) * 0.72 + F.avg(score) * 0.28).alias("doc_score"))
 
 
-def route(parts: list[tuple[DataFrame, float]], named: DataFrame) -> DataFrame:
+def route(parts: list[tuple[DataFrame, float]], named: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Weighted document scores: (qid, code, score, rank, selected).
 
-    parts: (qid, code, doc_score) lists with weights. named: (qid, code) codes stated in the question.
+    parts: (qid, code, doc_score) lists with weights. named: (qid, code) codes found in the question text; they compete.
+    explicit: (qid, code, pos) codes that the caller asks for. They bypass routing: such a question gets these
+    codes alone, in their order, all selected and without a score. Blank codes and repeats that differ in case are dropped.
     """
+    if explicit is not None:
+        c = explicit.select("qid", F.btrim("code").alias("code"), "pos").where("code <> ''").withColumn("_k", F.lower("code"))
+        c = c.groupBy("qid", "_k").agg(F.min_by("code", F.struct("pos", "code")).alias("code"), F.min("pos").alias("pos"))
+        order = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "code")).cast("bigint")
+        given = c.select("qid", "code", F.lit(None).cast("double").alias("score"), order.alias("rank"), F.lit(True).alias("selected"))
+        free = lambda df: df.join(explicit.where("btrim(code) <> ''").select("qid").distinct(), "qid", "left_anti")
+        return route([(free(df), weight) for df, weight in parts], free(named)).unionByName(given)
     rows = None
     for df, weight in parts:
         d = df.select("qid", "code", (F.col("doc_score") * weight).alias("s"))

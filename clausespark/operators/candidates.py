@@ -10,13 +10,14 @@ from clausespark.functions import numeric as N
 from clausespark.functions import text as X
 from clausespark.functions import vectors as V
 from clausespark.operators import fusion, lexical, rerank, vector
+from clausespark.operators import scope as SC
 from clausespark.session import cut_lineage
 
 
-def with_vector(df: DataFrame, text: str, key: str, as_key: str) -> DataFrame:
-    """(key, idx, w) hashing-trick vectors of a text column; blank texts have none."""
-    d = df.select(F.col(key).alias(as_key), V.hash_vectors(text).alias("v"))
-    return d.select(as_key, "v.idx", "v.w").where(F.size("idx") > 0)
+def with_vector(df: DataFrame, text: str, key: str, as_key: str, *more: str) -> DataFrame:
+    """(key, idx, w) hashing-trick vectors of a text column, and ``more`` columns; blank texts have none."""
+    d = df.select(F.col(key).alias(as_key), V.hash_vectors(text).alias("v"), *more)
+    return d.select(as_key, "v.idx", "v.w", *more).where(F.size("idx") > 0)
 
 
 def question_features(questions: DataFrame) -> DataFrame:
@@ -30,20 +31,31 @@ def question_features(questions: DataFrame) -> DataFrame:
 def hybrid(
     questions: DataFrame, clauses: DataFrame, postings: DataFrame | None = None,
     dense_k: int = K.DENSE_K, lexical_k: int = K.LEXICAL_K, rerank_n: int = K.RERANK_CANDIDATES, top_k: int = K.TOP_K,
-    numeric_profile: str | None = None,
+    numeric_profile: str | None = None, scopes: SC.Scopes | None = None,
 ) -> DataFrame:
-    """Dense and lexical lists, fused, reranked and calibrated: the clause candidates of each question."""
-    fused = fused_lists(questions, clauses, postings, dense_k, lexical_k)
+    """Dense and lexical lists, fused, reranked and calibrated: the clause candidates of each question.
+
+    With scopes both lists hold the best clauses of the documents a question may use.
+    """
+    fused = fused_lists(questions, clauses, postings, dense_k, lexical_k, scopes)
     best = fused.where(F.col("fused_rank") <= rerank_n)
     # only the fused head of each question picks up its texts
     items = best.join(questions, "qid").join(clauses.withColumn("snippet", F.col("text")), "clause_id")
     return calibrate(rerank.rerank(items, rerank_n, top_k), numeric_profile)
 
 
-def fused_lists(questions, clauses, postings=None, dense_k=K.DENSE_K, lexical_k=K.LEXICAL_K) -> DataFrame:
+def fused_lists(questions, clauses, postings=None, dense_k=K.DENSE_K, lexical_k=K.LEXICAL_K, scopes=None) -> DataFrame:
+    dense = dense_list(questions, clauses, dense_k, scopes)
+    return fusion.reciprocal_rank(dense, lexical.retrieve(questions, clauses, lexical_k, postings, scopes))
+
+
+def dense_list(questions: DataFrame, clauses: DataFrame, k: int = K.DENSE_K, scopes: SC.Scopes | None = None) -> DataFrame:
+    """Dense list of each question, inside its scope if it has one."""
     q = with_vector(questions, "question", "qid", "qid")
-    dense = vector.dense_candidates(q, with_vector(clauses, "text", "clause_id", "id"), dense_k)
-    return fusion.reciprocal_rank(dense, lexical.retrieve(questions, clauses, lexical_k, postings))
+    if scopes is None:
+        return vector.dense_candidates(q, with_vector(clauses, "text", "clause_id", "id"), k)
+    stored = with_vector(SC.allow(clauses, scopes), "text", "clause_id", "id", "scopes")
+    return vector.dense_candidates(scopes.keyed(q), stored, k)
 
 
 def calibrate(items: DataFrame, profile: str | None = None) -> DataFrame:
@@ -266,8 +278,10 @@ def low_quality_top(features: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame) -> DataFrame:
-    """Second look for weak questions: deep passes over their phrasings, then unscoped passes.
+def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame, scopes: SC.Scopes | None = None) -> DataFrame:
+    """Second look for weak questions: deep passes over their phrasings in their scopes, then unscoped passes.
+
+    Questions that name a document themselves are not widened.
 
     questions: qid, question, refs (reference struct), phrasings (array). All phrasings of all weak
     questions are searched in one pass each, as extra question rows, and merged with their weights.
@@ -280,7 +294,7 @@ def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame) -> DataF
     threshold = max(K.STRICT_MIN_SCORE, K.MIN_SCORE + 0.06)
     weak = (F.col("n_items") == 0) | (F.col("best") < threshold) | (F.col("n_items") < 3)
     deep_q = state.where(weak).select("qid").join(f.where(F.size("refs.clause_numbers") == 0), "qid")
-    deep = phrasing_pass(deep_q, clauses, postings, 4, 48, 48, 80, 16)
+    deep = phrasing_pass(deep_q, clauses, postings, 4, 48, 48, 80, 16, scopes)
     merged = cut_lineage(fusion.merge_weighted(base, deep, 0.98 * 1.03, "clause_id"))
 
     state = low_quality_top(f, merged)
@@ -293,14 +307,15 @@ def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame) -> DataF
     return out.withColumn("score", F.round("score", 9))
 
 
-def phrasing_pass(questions, clauses, postings, passes, dense_k, lexical_k, rerank_n, top_k) -> DataFrame:
+def phrasing_pass(questions, clauses, postings, passes, dense_k, lexical_k, rerank_n, top_k, scopes=None) -> DataFrame:
     """Hybrid search of the first phrasings of each question, the best score per clause kept.
 
     Numeric scoring goes by the profile of the original question.
     """
     e = questions.select("qid", F.col("profile").alias("asked"), F.posexplode(F.slice("phrasings", 1, passes)).alias("pos", "question"))
     e = e.select(F.struct("qid", "pos").alias("qid"), "asked", "question")
-    found = hybrid(e, clauses, postings, dense_k, lexical_k, rerank_n, top_k, numeric_profile="asked")
+    inside = None if scopes is None else scopes.rekeyed(e, F.col("qid.qid"))
+    found = hybrid(e, clauses, postings, dense_k, lexical_k, rerank_n, top_k, numeric_profile="asked", scopes=inside)
     found = found.withColumn("pos", F.col("qid.pos")).withColumn("qid", F.col("qid.qid"))
     row = F.struct(*[F.col(c) for c in found.columns])
     best = found.groupBy("qid", "clause_id").agg(F.max_by(row, F.struct(F.col("score"), -F.col("pos"))).alias("r"))

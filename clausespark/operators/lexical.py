@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from clausespark import constants as K
 from clausespark.functions import text as X
+from clausespark.operators import scope as SC
 from clausespark.session import cut_lineage
 
 PRIORITY_WEIGHT, UNIQUE_WEIGHT = 3.0, 1.15
@@ -158,16 +159,43 @@ def top_clauses(scored: DataFrame, k: int) -> DataFrame:
     return r.withColumnRenamed("score", "lexical_score")
 
 
-def matches(questions: DataFrame, clauses: DataFrame, postings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Terms of the questions and their hits, as written tables."""
-    terms = cut_lineage(question_terms(questions))
+def matches(
+    questions: DataFrame, clauses: DataFrame, postings: DataFrame | None = None, scopes: SC.Scopes | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Terms of the questions and their hits, as written tables.
+
+    With scopes a term is a pair of scope and term, so that counts, bounds and hits are those inside the scope.
+    """
     postings = cut_lineage(clause_tokens(clauses)) if postings is None else postings  # read twice
-    return terms, cut_lineage(term_hits(postings, terms))
+    if scopes is None:
+        terms = cut_lineage(question_terms(questions))
+        return terms, cut_lineage(term_hits(postings, terms))
+    terms = cut_lineage(scopes.keyed(question_terms(questions)))
+    everywhere = term_hits(postings, terms.where(F.col("within") == SC.EVERYTHING)).withColumn("within", F.lit(SC.EVERYTHING))
+    inside = scoped_hits(postings, terms.where(F.col("within") != SC.EVERYTHING), SC.homes(clauses, "clause_id"), scopes)
+    pair = lambda df: df.withColumn("term", F.struct("within", "term")).drop("within")
+    return pair(terms), cut_lineage(pair(everywhere.unionByName(inside)))
+
+
+def scoped_hits(postings: DataFrame, terms: DataFrame, homes: DataFrame, scopes: SC.Scopes) -> DataFrame:
+    """Hits of (within, term) pairs inside their scopes: (within, term, clause_id, tf, text_tf).
+
+    Postings of documents in no scope are left out before their tokens are matched. A clause's hits are
+    repeated once per distinct scope that holds it and asks for the term, not once per question.
+    """
+    wanted = terms.select("within", "term").distinct()
+    members = scopes.rows().join(wanted.select("within").distinct(), "within", "left_semi")
+    held = homes.join(members.select("code_key").distinct(), "code_key", "left_semi")
+    found = term_hits(postings.join(held, "clause_id", "left_semi"), wanted)
+    seen = found.join(held, "clause_id").join(members, "code_key")
+    return seen.join(wanted, ["within", "term"], "left_semi").select("within", "term", "clause_id", "tf", "text_tf")
 
 
-def retrieve(questions: DataFrame, clauses: DataFrame, k: int = K.LEXICAL_K, postings: DataFrame | None = None) -> DataFrame:
+def retrieve(
+    questions: DataFrame, clauses: DataFrame, k: int = K.LEXICAL_K, postings: DataFrame | None = None, scopes: SC.Scopes | None = None
+) -> DataFrame:
     """Lexical list of a question table: (qid, clause_id, lexical_score, coverage, tf, lexical_rank)."""
-    terms, hits = matches(questions, clauses, postings)
+    terms, hits = matches(questions, clauses, postings, scopes)
     return top_clauses(top_scored(terms, hits, k), k)
 
 

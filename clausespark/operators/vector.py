@@ -43,6 +43,34 @@ def _matrix(frame: pd.DataFrame, dim: int) -> np.ndarray:
     return out / norm[:, None]
 
 
+def _groups(questions: pd.DataFrame) -> list[tuple[object, np.ndarray]]:
+    """Questions by scope: (scope or None for everything, positions)."""
+    if "within" in questions:
+        keys = [w or None for w in questions["within"]]
+    elif "scope" in questions:
+        keys = [None if s is None or len(s) == 0 else frozenset(s) for s in questions["scope"]]
+    else:
+        keys = [None] * len(questions)
+    at: dict[object, list[int]] = {}
+    for i, key in enumerate(keys):
+        at.setdefault(key, []).append(i)
+    return [(key, np.array(rows)) for key, rows in at.items()]
+
+
+def _open_rows(frame: pd.DataFrame):
+    """Function from a scope to the positions of the stored rows it allows."""
+    every = np.arange(len(frame))
+    if "scopes" in frame:
+        lists = [() if s is None else s for s in frame["scopes"]]
+        held: dict[str, list[int]] = {}
+        for i, names in enumerate(lists):
+            for name in names:
+                held.setdefault(name, []).append(i)
+        return lambda scope: every if scope is None else np.array(held.get(scope, []), int)
+    keys = frame["key"].to_numpy() if "key" in frame else None
+    return lambda scope: every if scope is None else np.flatnonzero(np.isin(keys, list(scope)))
+
+
 class _TopK:
     """Running top k per question; ties go to the smaller id."""
 
@@ -50,9 +78,7 @@ class _TopK:
         self.qid = questions["qid"].to_numpy()
         self.q = _matrix(questions, dim)
         self.k, self.dim = k, dim
-        self.scope = None
-        if "scope" in questions:
-            self.scope = [None if s is None or len(s) == 0 else set(s) for s in questions["scope"]]
+        self.groups = _groups(questions)
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(self.qid)
         self.floor = np.full(len(self.qid), -np.inf)
 
@@ -60,28 +86,28 @@ class _TopK:
         ids = frame["id"].to_numpy(dtype=object)
         order = np.argsort(ids, kind="stable")
         frame, ids = frame.iloc[order], ids[order]
-        scores = np.round(self.q @ _matrix(frame, self.dim).T, SCORE_DIGITS)
-        keys = frame["key"].to_numpy() if self.scope is not None else None
-        masks: dict[frozenset, np.ndarray] = {}
-        for j in range(len(self.qid)):
-            row = scores[j]
-            keep = row >= self.floor[j]
-            if self.scope is not None and self.scope[j] is not None:
-                allowed = frozenset(self.scope[j])
-                if allowed not in masks:
-                    masks[allowed] = np.isin(keys, list(allowed))
-                keep &= masks[allowed]
-            at = np.flatnonzero(keep)
-            if len(at) == 0:
-                continue
-            # ids ascend, so a stable sort by falling score leaves ties in id order
-            at = at[np.argsort(-row[at], kind="stable")[: self.k]]
-            s = np.concatenate([self.best[j][0], row[at]])
-            i = np.concatenate([self.best[j][1], ids[at]])
-            top = sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[: self.k]
-            self.best[j] = (s[top], i[top])
-            if len(top) == self.k:
-                self.floor[j] = s[top][-1]
+        stored = _matrix(frame, self.dim)
+        open_rows = _open_rows(frame)
+        for scope, asking in self.groups:
+            rows = open_rows(scope)
+            if len(rows):
+                whole = len(rows) == len(ids)
+                scores = np.round(self.q[asking] @ (stored if whole else stored[rows]).T, SCORE_DIGITS)
+                for j, row in zip(asking, scores):
+                    self._merge(j, row, ids if whole else ids[rows])
+
+    def _merge(self, j: int, row: np.ndarray, ids: np.ndarray) -> None:
+        at = np.flatnonzero(row >= self.floor[j])
+        if len(at) == 0:
+            return
+        # ids ascend, so a stable sort by falling score leaves ties in id order
+        at = at[np.argsort(-row[at], kind="stable")[: self.k]]
+        s = np.concatenate([self.best[j][0], row[at]])
+        i = np.concatenate([self.best[j][1], ids[at]])
+        top = sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[: self.k]
+        self.best[j] = (s[top], i[top])
+        if len(top) == self.k:
+            self.floor[j] = s[top][-1]
 
     def frame(self) -> pd.DataFrame:
         sizes = [len(b[0]) for b in self.best]
@@ -110,8 +136,10 @@ def top_k(
 ) -> DataFrame:
     """Cosine top k of every question over all stored vectors: (qid, id, score, rank).
 
-    questions: qid, vector or (idx, w), optionally scope (allowed keys, empty = all).
-    stored: id, vector or (idx, w), and key when the questions carry a scope.
+    questions: qid, vector or (idx, w), optionally scope (allowed keys, empty = all) or within (a scope's
+    name, empty = all). stored: id, vector or (idx, w), with key for the first and scopes (names of the
+    scopes that hold the row) for the second. Questions of one scope are scored together, and only against
+    the rows it allows.
     """
     out = T.StructType(
         [
@@ -153,9 +181,11 @@ def _scored(questions, stored, scorer, block_rows, slice_rows, out) -> DataFrame
         return _block_pairs(questions, stored, scorer, block_rows, slice_rows, out)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if head.empty:
+            return
         found = scorer(head)
         for frame in batches:
-            if len(frame) and len(head):
+            if len(frame):
                 found.add(frame)
                 if isinstance(found, _Above):
                     yield found.frame().astype({"score": "float64"})

@@ -167,8 +167,8 @@ def merge_candidates(spark, sf):
     return m.select("qid", fusion.merge_key().alias("key"), "item_id", r6(F.col("score")).alias("score"))
 
 
-def routed(spark, sf):
-    """Document routes of the library questions."""
+def routed(spark, sf, explicit=None):
+    """Document routes of the library questions; ``explicit`` codes (qid, code, pos) bypass them."""
     q, c, d = A.questions(spark, sf), A.clauses(spark, sf), A.documents(spark, sf)
     codes = c.select("clause_id", "code")
     lex = lexical.retrieve(q, c, K.ROUTE_DENSE_K).join(codes, "clause_id").select("qid", "code", F.col("clause_id").alias("item_id"), "lexical_score")
@@ -184,13 +184,11 @@ def routed(spark, sf):
     by_title = by_title.groupBy("qid", "code").agg(F.max(F.col("cov") * 0.8 + F.least(F.lit(0.6), F.log1p("tf") * 0.3)).alias("doc_score"))
     named = q.select("qid", F.explode(R.doc_codes("question")).alias("code"))
     return Q.route(
-        [(Q.doc_scores(dense, "dense_score"), 0.78), (by_title, 0.35), (Q.doc_scores(lex, "lexical_score"), 0.55)], named
+        [(Q.doc_scores(dense, "dense_score"), 0.78), (by_title, 0.35), (Q.doc_scores(lex, "lexical_score"), 0.55)], named, explicit
     )
 
 
-@query(
-    "doc_route",
-    f"""WITH {P.BASE}, {S.DOCUMENT}, {P.terms_cte('a', 'question')}, {P.lexical_cte('a', 50)}, {P.dense_cte('a', 'question', 50)},
+ROUTE_SQL = f"""{P.BASE}, {S.DOCUMENT}, {P.terms_cte('a', 'question')}, {P.lexical_cte('a', 50)}, {P.dense_cte('a', 'question', 50)},
     ds AS (SELECT qid, code, max(s) * 0.72 * 0.78 + avg(s) * 0.28 * 0.78 AS s FROM (SELECT qid, code, score AS s, row_number() OVER (PARTITION BY qid, code ORDER BY score DESC, clause_id) AS r
        FROM adense JOIN clause USING (clause_id) WHERE score > 0) WHERE r <= 3 GROUP BY qid, code),
     ls AS (SELECT qid, code, max(s) * 0.72 * 0.55 + avg(s) * 0.28 * 0.55 AS s FROM (SELECT qid, code, score AS s, row_number() OVER (PARTITION BY qid, code ORDER BY score DESC, clause_id) AS r
@@ -203,9 +201,11 @@ def routed(spark, sf):
     ts AS (SELECT qid, code, max(cov * 0.8 + least(0.6, ln(1 + tf) * 0.3)) * 0.35 AS s FROM (SELECT qid, document_id, any_value(code) AS code, count(*) AS cov, sum(tf) AS tf
         FROM tt JOIN th USING (term) GROUP BY qid, document_id HAVING bool_or(in_t)) GROUP BY qid, code),
     tot AS (SELECT qid, code, round(sum(s), 9) AS score FROM (SELECT * FROM ds UNION ALL SELECT * FROM ls UNION ALL SELECT * FROM ts) GROUP BY qid, code),
-    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, code) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM tot)
-    SELECT qid, code, round(score, 6) AS score, rank, (score >= 0.12 OR score >= greatest(0.12 * 0.92, top - 0.08) OR top < 0.12 * 0.92) AND rank <= 3 AS selected FROM r WHERE rank <= 10""",
-)
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, code) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM tot)"""
+ROUTES = """SELECT qid, code, round(score, 6) AS score, rank, (score >= 0.12 OR score >= greatest(0.12 * 0.92, top - 0.08) OR top < 0.12 * 0.92) AND rank <= 3 AS selected FROM r WHERE rank <= 10"""
+
+
+@query("doc_route", f"WITH {ROUTE_SQL} {ROUTES}")
 def doc_route(spark, sf):
     r = routed(spark, sf).where("rank <= 10")
     return r.select("qid", "code", r6(F.col("score")).alias("score"), "rank", "selected")

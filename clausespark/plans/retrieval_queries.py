@@ -327,7 +327,8 @@ def _library(spark, sf):
     return q.withColumn("phrasings", I.expansions("question", F.col("refs"), N.query_profile("question")))
 
 
-def _discovery_sql() -> str:
+def _discovery_sql(scope: str | None = None) -> str:
+    """SQL of the discovery passes; ``scope`` names the table of (qid, clause_id) that the passes before the wide one may use."""
     exp = f"""xs AS (SELECT qid, {S.squeeze('question')} AS base, {S.simple('question')} AS nb, p.is_numeric, p.comparator, p.props FROM question JOIN aprof p USING (qid))"""
     phr = (
         "SELECT qid, 0 AS pos, base AS question FROM xs UNION ALL SELECT qid, 1, base || ' shnq band talabi' FROM xs "
@@ -338,10 +339,11 @@ def _discovery_sql() -> str:
       ELSE {S.kw('f.anchors', 't.h')} <= 0 AND (t.semantic < 0.7 OR t.keyword < 0.82) END AS low FROM afeat f LEFT JOIN (
         SELECT qid, max(score) AS score, count(*) AS n, arg_max({S.norm('snippet')}, (score, clause_id)) AS h, arg_max(semantic, (score, clause_id)) AS semantic,
                arg_max(keyword, (score, clause_id)) AS keyword FROM {items} GROUP BY qid) t USING (qid))"""
-    return f"""WITH RECURSIVE {P.BASE}, {P.hybrid_cte('a', 'question')}, {exp}, phr {P.MAT} (SELECT * FROM ({phr}) WHERE question IS NOT NULL),
+    deep = f" deep {P.MAT} (SELECT dq.qid, s.clause_id FROM dq JOIN {scope} s ON s.qid = dq.qid // 10)," if scope else ""
+    return f"""WITH RECURSIVE {P.BASE}, {P.hybrid_cte('a', 'question', scope=scope)}, {exp}, phr {P.MAT} (SELECT * FROM ({phr}) WHERE question IS NOT NULL),
     st1 AS {low('acand')}, weak AS (SELECT qid FROM st1 WHERE n = 0 OR best < 0.24 OR n < 3),
-    dq {P.MAT} (SELECT qid * 10 + pos AS qid, question FROM phr WHERE qid IN (SELECT qid FROM weak) AND pos < 4),
-    {P.hybrid_cte('d', 'dq', 48, 48, 80, 16, 'dask')},
+    dq {P.MAT} (SELECT qid * 10 + pos AS qid, question FROM phr WHERE qid IN (SELECT qid FROM weak) AND pos < 4),{deep}
+    {P.hybrid_cte('d', 'dq', 48, 48, 80, 16, 'dask', 'deep' if scope else None)},
     m1 {P.MAT} (SELECT qid, clause_id, max(score) AS score, arg_max(snippet, score) AS snippet, arg_max(semantic, score) AS semantic, arg_max(keyword, score) AS keyword FROM (
         SELECT qid, clause_id, score, snippet, semantic, keyword FROM acand UNION ALL
         SELECT qid // 10, clause_id, score * (0.98::DOUBLE * 1.03::DOUBLE), snippet, semantic, keyword FROM dcand) GROUP BY qid, clause_id),

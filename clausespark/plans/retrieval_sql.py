@@ -37,13 +37,18 @@ def terms_cte(p: str, src: str) -> str:
       FROM (SELECT qid, u, pr, unnest(list_distinct(list_concat(u, pr))) AS term FROM {p}t4))"""
 
 
-def lexical_cte(p: str, k: int | None) -> str:
+def inside(scope: str | None, item: str = "clause_id") -> str:
+    """Join that leaves the pairs of a table (qid, clause_id), or nothing to join."""
+    return f" SEMI JOIN {scope} USING (qid, {item})" if scope else ""
+
+
+def lexical_cte(p: str, k: int | None, scope: str | None = None) -> str:
     """{p}lex(qid, clause_id, score, coverage, tf, rk) by scanning every clause for every term; all of them without ``k``."""
     return f"""{p}hit {MAT} (SELECT term, clause_id, (length(h) - length(replace(h, term, ''))) // length(term) AS tf
       FROM (SELECT DISTINCT term FROM {p}terms) t, hay WHERE contains(h, term)),
 {p}g {MAT} (SELECT qid, clause_id, sum(CASE WHEN is_u THEN tf ELSE 0 END) AS tf, count(*) FILTER (is_u) AS coverage,
       sum(CASE WHEN is_p THEN tf ELSE 0 END) AS p_tf, count(*) FILTER (is_p) AS p_cov, max(n_p) AS n_p
-      FROM {p}terms JOIN {p}hit USING (term) GROUP BY qid, clause_id),
+      FROM {p}terms JOIN {p}hit USING (term){inside(scope)} GROUP BY qid, clause_id),
 {p}ok AS (SELECT * FROM {p}g WHERE tf > 0 AND NOT (n_p > 0 AND p_cov = 0 AND coverage < 2)),
 {p}ls AS (SELECT qid, clause_id, coverage, tf, round(p_cov * 3.0::DOUBLE + coverage * 1.15::DOUBLE + least(1.0, ln(1 + p_tf) * 0.45::DOUBLE)
       + least(0.6, ln(1 + tf) * 0.18::DOUBLE) + CASE WHEN n_p > 0 AND p_cov = n_p THEN 0.45 ELSE 0 END::DOUBLE, 9) AS score FROM {p}ok),
@@ -53,9 +58,12 @@ def lexical_cte(p: str, k: int | None) -> str:
 HAY = f"""hay {MAT} (SELECT clause_id, {S.fold("chapter_title || ' ' || text")} AS h, {S.fold('text')} AS b FROM clause)"""
 
 
-def dense_cte(p: str, src: str, k: int, iv: str = "cv", item: str = "clause_id") -> str:
+def dense_cte(p: str, src: str, k: int, iv: str = "cv", item: str = "clause_id", scope: str | None = None) -> str:
+    met = f"SELECT qid, {item}, round(sum(a.w * b.w), 9) AS score FROM {p}qv a JOIN {iv} b USING (idx){inside(scope, item)} GROUP BY qid, {item}"
+    if scope:  # a small scope may hold fewer rows that share a word than the list has places
+        met = f"""SELECT qid, {item}, coalesce(score, 0) AS score FROM (FROM {scope} SEMI JOIN {p}qv USING (qid) SEMI JOIN {iv} USING ({item})) LEFT JOIN ({met}) USING (qid, {item})"""
     return f"""{sparse_cte(p + 'qv', src, 'qid', 'question')},
-{p}dd AS (SELECT qid, {item}, round(sum(a.w * b.w), 9) AS score FROM {p}qv a JOIN {iv} b USING (idx) GROUP BY qid, {item}),
+{p}dd AS ({met}),
 {p}dense {MAT} (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {item}) AS rk FROM {p}dd) WHERE rk <= {k})"""
 
 
@@ -136,10 +144,10 @@ def calibrate_cte(p: str, src: str, asked: str | None = None) -> str:
       round(sem, 9) AS semantic, round(kw, 9) AS keyword, round(numv, 9) AS numeric FROM {p}z)"""
 
 
-def hybrid_cte(p: str, src: str, dense_k=24, lex_k=24, rerank_n=40, top_k=8, asked: str | None = None) -> str:
+def hybrid_cte(p: str, src: str, dense_k=24, lex_k=24, rerank_n=40, top_k=8, asked: str | None = None, scope: str | None = None) -> str:
     return ",\n".join(
         [
-            terms_cte(p, src), lexical_cte(p, lex_k), dense_cte(p, src, dense_k), fused_cte(p), rerank_cte(p, src, rerank_n),
+            terms_cte(p, src), lexical_cte(p, lex_k, scope), dense_cte(p, src, dense_k, scope=scope), fused_cte(p), rerank_cte(p, src, rerank_n),
             suppress_cte(p, top_k), calibrate_cte(p, src, asked),
         ]
     )
