@@ -157,6 +157,26 @@ def match(profile: Column, text: Column | str) -> Column:
     return F.when(profile["is_numeric"], hit).otherwise(none)
 
 
+#: Lengths this close count as near, and buckets are a little wider, so a near length is at most one bucket away.
+NEAR_METRES, BUCKET_WIDTH = 0.02, 0.025
+
+
+def measures(text: Column | str) -> Column:
+    """Distinct stated values as structs (unit, value, bucket): lengths in metres, other units as written."""
+
+    def measure(e: Column) -> Column:
+        value = F.coalesce(e["metres"], e["value"])
+        unit = F.when(e["metres"].isNotNull(), "length").otherwise(e["unit"])
+        return F.struct(unit.alias("unit"), value.alias("value"), F.floor(value / BUCKET_WIDTH).alias("bucket"))
+
+    return F.array_distinct(F.transform(evidence(text), measure))
+
+
+def same_measure(asked: Column, stated: Column, unit: Column) -> Column:
+    """Whether a stated value is one that was asked for: lengths within two centimetres, others equal."""
+    return F.when(unit == "length", F.abs(asked - stated) <= NEAR_METRES).otherwise(asked == stated)
+
+
 def format_value(value: Column, unit: Column) -> Column:
     """Decimal comma, at most three decimals, percent sign attached."""
     fixed = F.format_string("%.3f", F.bround(value, 3))

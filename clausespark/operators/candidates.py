@@ -131,11 +131,31 @@ def pair_semantic(pairs: DataFrame, qv: DataFrame, iv: DataFrame, key: str) -> D
     return j.withColumn("semantic", F.round(s, 9)).drop("_q", "_i")
 
 
+def measure_index(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, unit, value, bucket): the values that each item states, one row per distinct value."""
+    e = items.select(key, F.explode(N.measures(text)).alias("m"))
+    return e.select(key, "m.unit", "m.value", "m.bucket")
+
+
+def stating(questions: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Items that state a value a question asks for: distinct (qid, key).
+
+    An interval join as an equi-join on unit and bucket: an asked length looks into its own bucket and the two
+    beside it, so work follows the values that lie near, not questions times items.
+    """
+    asked = measure_index(questions, "qid", "question").withColumnRenamed("value", "asked")
+    around = F.when(F.col("unit") == "length", F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).otherwise(F.array("bucket"))
+    asked = asked.select("qid", "unit", "asked", F.explode(around).alias("bucket"))
+    j = asked.join(index, ["unit", "bucket"]).where(N.same_measure(F.col("asked"), F.col("value"), F.col("unit")))
+    return j.select("qid", key).distinct()
+
+
 def row_candidates(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Scored table rows per question.
 
-    rows: row_id, table_id, table_number, row_index, code, search_text, combined. All rows that
-    a term hits are scored. A row without a hit scores its cosine alone, so of those only the nearest can enter.
+    rows: row_id, table_id, table_number, row_index, code, search_text, combined. Scored are all rows that a
+    term hits, all that state a value the question asks for, and the ``k`` nearest. A row that is none of these
+    is no candidate; without numbers it could not enter, as it scores its cosine alone.
     questions: qid, question, row_priority (boolean).
     """
     f = question_features(questions)
@@ -145,7 +165,9 @@ def row_candidates(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     hit = terms.join(text_hits(rows, "row_id", "search_text", terms), "term").select("qid", "row_id").distinct()
     asked = qv.join(f.where((F.size("terms") > 0) | F.col("row_priority")).select("qid"), "qid", "left_semi")
     near = vector.top_k(asked, iv, k, K.HASH_DIM).select("qid", F.col("id").alias("row_id"))
-    pairs = pair_semantic(cut_lineage(hit.union(near).distinct()), qv, iv, "row_id")
+    valued = stating(questions, measure_index(rows, "row_id", "combined"), "row_id")
+    valued = valued.join(f.where((F.size("terms") > 0) | F.col("row_priority")).select("qid"), "qid", "left_semi")
+    pairs = pair_semantic(cut_lineage(hit.union(near).union(valued).distinct()), qv, iv, "row_id")
     t = pairs.join(f, "qid").join(rows.withColumn("_h", X.normalize_text("combined")), "row_id")
     t = (
         t.withColumn("coverage", X.term_coverage(F.col("terms"), F.col("_h")))

@@ -213,9 +213,9 @@ def keyword_fallback(spark, sf):
 
 
 # --------------------------------------------------------------------- rows
-def row_search(spark, sf):
+def row_search(spark, sf, rows=None):
     """Rows with their search text and the combined haystack."""
-    r, t = A.rows(spark, sf), A.tables(spark, sf).select("table_id", "code", "title", "section_title")
+    r, t = A.rows(spark, sf) if rows is None else rows, A.tables(spark, sf).select("table_id", "code", "title", "section_title")
     j = r.join(t, "table_id")
     vals = F.array_join("texts", " | ")
     search = F.concat_ws(
@@ -240,40 +240,84 @@ def row_questions(spark, sf):
     return g.select("qid", text.alias("question")).withColumn("row_priority", I.gates("question")["row_priority"])
 
 
-ROW_SQL = f"""{S.NORM_TABLE}, {S.NORM_ROW},
+def _row_sql(norm_row: str, rowq: str) -> str:
+    return f"""{S.NORM_TABLE}, {norm_row},
 rowtext AS (SELECT r.row_id, r.table_id, r.table_number, r.row_index, t.code, 'Hujjat: ' || t.code || chr(10) || 'Jadval: ' || r.table_number || chr(10)
    || 'Sarlavha: ' || t.title || chr(10) || 'Qiymatlar: ' || array_to_string(texts, ' | ') AS search_text, t.title, t.section_title, texts
    FROM norm_row r JOIN norm_table t USING (table_id)),
 rowfull AS (SELECT *, search_text || ' | Row: ' || array_to_string(texts, ' | ') || ' | ' || title || ' | ' || section_title AS combined FROM rowtext),
-rowq AS (SELECT min(p_partkey) AS qid, CASE min(p_partkey) % 3 WHEN 0 THEN p_name || ' jadval satr: qaysi material talab ' || min(p_type) || '?'
-   WHEN 1 THEN p_name || ' ustun' ELSE 'zzz jadval ' || md5(p_name) END AS question FROM part GROUP BY p_name)"""
+rowq AS ({rowq})"""
 
 
-@query(
-    "row_candidates",
-    f"""WITH {ROW_SQL}, {P.sparse_cte('rv', 'rowtext', 'row_id', 'search_text')}, {P.dense_cte('a', 'rowq', 8, 'rv', 'row_id')}, {P.features_cte('a', 'rowq')},
+ROW_SQL = _row_sql(
+    S.NORM_ROW,
+    """SELECT min(p_partkey) AS qid, CASE min(p_partkey) % 3 WHEN 0 THEN p_name || ' jadval satr: qaysi material talab ' || min(p_type) || '?'
+   WHEN 1 THEN p_name || ' ustun' ELSE 'zzz jadval ' || md5(p_name) END AS question FROM part GROUP BY p_name""",
+)
+
+
+def _row_candidates_sql(source: str, numeric: bool = False) -> str:
+    valued = scored = met = extra = shown = ""
+    num = "0"
+    if numeric:
+        near = "CASE WHEN a.metres IS NOT NULL THEN abs(a.metres - b.metres) <= 0.02 ELSE a.unit = b.unit AND a.value = b.value END"
+        valued = f" UNION SELECT a.qid, b.qid FROM prof_ev a JOIN rowev b ON {near} JOIN ft ON ft.qid = a.qid AND (len(ft.terms) > 0 OR ft.pri)"
+        scored = f"pp {P.MAT} (SELECT qid, row_id AS tid, combined AS text FROM cnd JOIN rowfull USING (row_id)), {S.match_cte('prof', 'pp', 'nm')},"
+        num, met = "coalesce(m.score, 0)", " LEFT JOIN nm m ON m.pair = c.qid || '#' || c.row_id"
+        extra, shown = f" + CASE WHEN is_numeric THEN num * {max(0.12, K.NUMERIC_WEIGHT * 0.85)!r}::DOUBLE ELSE 0 END", ", round(num, 6) AS numeric"
+        source = f"{source}, {S.evidence_cte('(SELECT row_id AS qid, combined AS text FROM rowfull)', 'rowev')}"
+    return f"""WITH {source}, {P.sparse_cte('rv', 'rowtext', 'row_id', 'search_text')}, {P.dense_cte('a', 'rowq', 8, 'rv', 'row_id')}, {P.features_cte('a', 'rowq')},
     pq AS (SELECT qid, question AS text FROM rowq), {S.profile_cte('pq', 'prof')},
     ft AS (SELECT *, {S.any_of('norm', K.ROW_TABLE_TERMS)} AND {S.any_of('norm', K.ROW_FOCUS_TERMS)} AND {S.any_of('norm', K.ROW_QUESTION_TERMS)}
            AND NOT {S.any_of('norm', K.DOCUMENT_LIST_PHRASES)} AS pri FROM afeat),
     rh AS (SELECT *, {S.fold('search_text')} AS hs, {S.norm('combined')} AS h FROM rowfull),
     hit AS (SELECT f.qid, r.row_id FROM ft f, rh r WHERE len(list_filter(terms, lambda t: contains(r.hs, t))) > 0),
-    cnd AS (SELECT * FROM hit UNION SELECT qid, row_id FROM adense),
-    x AS (SELECT c.qid, c.row_id, coalesce(d.score, 0) AS sem, f.*EXCLUDE(qid), r.*EXCLUDE(row_id), p.is_numeric FROM cnd c JOIN ft f USING (qid) JOIN rh r USING (row_id)
-          JOIN prof p USING (qid) LEFT JOIN add d USING (qid, row_id)),
+    cnd AS (SELECT * FROM hit UNION SELECT qid, row_id FROM adense JOIN ft USING (qid) WHERE len(terms) > 0 OR pri{valued}),{scored}
+    x AS (SELECT c.qid, c.row_id, coalesce(d.score, 0) AS sem, f.*EXCLUDE(qid), r.*EXCLUDE(row_id), p.is_numeric, {num} AS num FROM cnd c JOIN ft f USING (qid) JOIN rh r USING (row_id)
+          JOIN prof p USING (qid) LEFT JOIN add d USING (qid, row_id){met}),
     y AS (SELECT *, {S.coverage('terms', 'h')} AS cov, {S.frequency('terms', 'h')} AS tf, {S.coverage('specific', 'h')} AS sc,
           greatest({S.kw('terms', 'h')}, {S.kw('specific', 'h')}) AS kw FROM x),
     z AS (SELECT *, round(sem * 0.85 + kw * 0.6 + least(0.35, tf * 0.06) + CASE WHEN contains(h, norm) THEN 0.35 ELSE 0 END
-          + CASE WHEN pri AND cov >= 2 THEN 0.12 ELSE 0 END, 9) AS score FROM y),
+          + CASE WHEN pri AND cov >= 2 THEN 0.12 ELSE 0 END{extra}, 9) AS score FROM y),
     k AS (SELECT * FROM z WHERE NOT (len(specific) > 0 AND sc = 0 AND sem < 0.2 AND NOT pri) AND NOT (NOT pri AND score < 0.16 AND kw <= 0)
           AND NOT (pri AND cov = 0 AND sem < 0.16))
-    SELECT qid, row_id, table_id, table_number, code, round(score, 6) AS score, round(sem, 6) AS semantic, round(kw, 6) AS keyword, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM k) WHERE rank <= 8""",
-)
+    SELECT qid, row_id, table_id, table_number, code, round(score, 6) AS score, round(sem, 6) AS semantic, round(kw, 6) AS keyword{shown}, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM k) WHERE rank <= 8"""
+
+
+@query("row_candidates", _row_candidates_sql(ROW_SQL))
 def row_candidates(spark, sf):
     r = C.row_candidates(row_questions(spark, sf), row_search(spark, sf), K.ROW_INTENT_TOP_K)
     return r.select("qid", "row_id", "table_id", "table_number", "code", *[r6(F.col(c)).alias(c) for c in ("score", "semantic", "keyword")], "rank")
 
 
+_VALUE_ROW = """norm_row AS (
+  SELECT p_partkey AS row_id, p_brand AS table_id, p_partkey AS row_index,
+         regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS document_id, regexp_extract(p_brand, '(\\d+)', 1) AS table_number,
+         [p_name, CASE p_partkey % 3 WHEN 0 THEN p_size || ' mm' WHEN 1 THEN (p_size // 10) || ',' || (p_size % 10) || ' sm'
+           ELSE 'qalinligi kamida ' || p_size || ' mm bo''lishi kerak' END] AS texts FROM part)"""
+_VALUE_Q = """SELECT DISTINCT p_size::BIGINT AS qid, CASE p_size % 3 WHEN 0 THEN 'qalinligi kamida ' || p_size || ' mm' WHEN 1 THEN CASE WHEN p_size < 10 THEN '' ELSE 'qoplama ' END || p_size || ' mm' ELSE 'necha ' || p_size || ' sm yoki ' || (p_size + 1) || ' mm' END AS question FROM part"""
+
+
+@query("numeric_row_candidates", _row_candidates_sql(_row_sql(_VALUE_ROW, _VALUE_Q), True))
+def numeric_row_candidates(spark, sf):
+    """Rows whose last cell states a length, asked for by value in the same or another unit."""
+    size = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 3
+    small = F.concat(F.floor(F.col("p_size") / 10).cast("string"), F.lit(","), (F.col("p_size") % 10).cast("string"), F.lit(" sm"))
+    must = F.concat(F.lit("qalinligi kamida "), size, F.lit(" mm bo'lishi kerak"))
+    stated = F.when(k == 0, F.concat(size, F.lit(" mm"))).when(k == 1, small).otherwise(must)
+    p = A.table(spark, sf, "part")
+    said = p.select(F.col("p_partkey").alias("row_id"), F.array("p_name", stated).alias("texts"))
+    rows = A.rows(spark, sf).drop("texts").join(said, "row_id")
+    m = F.col("p_size") % 3
+    one, two = F.concat(F.lit("qalinligi kamida "), size, F.lit(" mm")), F.concat(F.when(F.col("p_size") < 10, "").otherwise("qoplama "), size, F.lit(" mm"))
+    three = F.concat(F.lit("necha "), size, F.lit(" sm yoki "), (F.col("p_size") + 1).cast("string"), F.lit(" mm"))
+    q = p.select(F.col("p_size").cast("bigint").alias("qid"), F.when(m == 0, one).when(m == 1, two).otherwise(three).alias("question")).distinct()
+    r = C.row_candidates(q.withColumn("row_priority", I.gates("question")["row_priority"]), row_search(spark, sf, rows), K.ROW_INTENT_TOP_K)
+    return r.select("qid", "row_id", "table_id", "table_number", "code", *[r6(F.col(c)).alias(c) for c in ("score", "semantic", "keyword", "numeric")], "rank")
+
+
 @query(
     "row_fallback",
     f"""WITH {ROW_SQL}, {P.features_cte('a', 'rowq')}, rh AS (SELECT row_id, {S.norm("array_to_string(texts, ' | ')")} AS h FROM rowtext),

@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from clausespark.functions import text as X
-from clausespark.operators import chat, ingest, lexical, rerank, vector
+from clausespark.operators import candidates, chat, ingest, lexical, rerank, vector
 from clausespark.operators.ordered import running
 from clausespark.sources import html_files, sinks
 
@@ -252,3 +252,16 @@ def test_scratch_tables_go_with_their_scope(spark):
         assert not names & set(os.listdir(where)) and kept.count() == 3
         assert len(outer.paths) == 1 and os.path.basename(outer.paths[0]) in os.listdir(where)
     assert os.path.basename(outer.paths[0] if outer.paths else "x") not in os.listdir(where)
+
+
+def test_row_with_the_asked_value_and_no_term_is_found(spark):
+    many = [(i, "qavat devor qavat devor qavat devor") for i in range(30)]  # near by cosine, no value
+    rows = many + [(100, "qalinlik 45 mm kamida kerak"), (101, "4,5 sm"), (102, "45 foiz"), (103, "7 sm"), (104, None), (105, "")]
+    r = spark.createDataFrame(rows, "row_id bigint, search_text string").selectExpr("*", "'t' AS table_id", "'1' AS table_number", "row_id AS row_index", "'c' AS code", "search_text AS combined")
+    q = spark.createDataFrame([(1, "kamida 45 mm"), (2, "45 foiz"), (3, None), (4, "devor")], "qid bigint, question string")
+    pairs = candidates.stating(q, candidates.measure_index(r, "row_id", "combined"), "row_id")
+    # 4,5 sm is the same length in another unit, 7 sm is 2.5 cm away, a share is no length
+    assert sorted(tuple(x) for x in pairs.collect()) == [(1, 100), (1, 101), (2, 102)]
+    asked = q.where("qid = 1").withColumn("row_priority", F.lit(True))
+    found = candidates.row_candidates(asked, r.withColumn("search_text", F.lit("qavat devor")), 3)
+    assert found.where("numeric > 0.5").select("row_id").first()["row_id"] == 100
