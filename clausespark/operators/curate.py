@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausespark import constants as K
 from clausespark.functions import refs as R
 from clausespark.functions import text as X
+from clausespark.operators import feedback as FB
 from clausespark.operators.ordered import dense_positions
 from clausespark.session import cut_lineage
 
@@ -105,6 +106,44 @@ def review(drafts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
     return after.select(drafts.columns), j.where(F.coalesce(approve, no)), rejected
 
 
+SHORT_ANSWER_MOST = 400
+
+
+def publish(verified: DataFrame, approved: DataFrame) -> DataFrame:
+    """The verified table after approvals: each counts as one vote and gives its short answer, origin and job.
+
+    approved: draft_id, reviewed_at, question, answer, source_ids, code, clause_number, short_answer, job_id.
+    verified: as feedback.verified_batch gives it, with origin_type and job_id once drafts were published. Of several
+    drafts with one key the latest review gives the values; a blank short answer keeps the stored one.
+    """
+    missing = {"origin_type": F.lit("feedback"), "job_id": F.lit(None).cast(approved.schema["job_id"].dataType)}
+    old = verified.withColumns({c: v for c, v in missing.items() if c not in verified.columns})
+    votes = approved.withColumnsRenamed({"draft_id": "event_id", "reviewed_at": "ts"})
+    batch = FB.verified_batch(votes).withColumns({c: F.lit(None).cast(old.schema[c].dataType) for c in missing})
+    keyed = votes.withColumn("normalized_question", X.normalize_text("question")).withColumn("source_hash", R.source_hash(F.col("source_ids")))
+    at, short = F.struct("ts", "event_id"), F.nullif(F.btrim("short_answer"), F.lit(""))
+    given = keyed.groupBy(*FB.VERIFIED_KEY).agg(
+        F.max_by(short, F.when(short.isNotNull(), at)).alias("_short"), F.max_by("job_id", F.when(F.col("job_id").isNotNull(), at)).alias("_job"), F.lit(True).alias("_given")
+    )
+    j = FB.upsert(old, batch, FB.VERIFIED_KEY, "verified_count").join(given, FB.VERIFIED_KEY, "left")
+    return j.withColumns(
+        {
+            "short_answer": F.left(F.coalesce("_short", "short_answer"), F.lit(SHORT_ANSWER_MOST)),
+            "origin_type": F.when(F.col("_given"), "ai_generated").otherwise(F.coalesce("origin_type", F.lit("feedback"))),
+            "job_id": F.coalesce("_job", "job_id"),
+        }
+    ).select(old.columns)
+
+
+def withhold(rejected: DataFrame, refused: DataFrame) -> DataFrame:
+    """The rejected table after refusals: each counts as one rejection of its question and answer.
+
+    refused: draft_id, reviewed_at, question, answer, source_ids, code, reason.
+    """
+    batch = FB.rejected_batch(refused.withColumnsRenamed({"draft_id": "event_id", "reviewed_at": "ts"}))
+    return FB.upsert(rejected, batch, FB.REJECTED_KEY, "rejected_count")
+
+
 def draft_sources(kind: Column, has_table: Column, code: Column, clause_number: Column, anchor: Column, excerpt: Column, table_number: Column) -> Column:
     """Source structs of a draft: its clause, its table, or both."""
     none = F.lit(None).cast("string")

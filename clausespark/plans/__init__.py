@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("text_queries", "retrieval_queries", "answer_queries", "scope_queries", "chat_queries", "catalog_queries", "ingest_queries")
+MODULES = ("text_queries", "retrieval_queries", "answer_queries", "scope_queries", "chat_queries", "catalog_queries", "curation_queries", "ingest_queries")
 
 
 def load() -> SimpleNamespace:

@@ -341,19 +341,21 @@ def reviewed(spark, sf):
     return U.review(v, decisions)
 
 
-@query(
-    "approve_drafts",
-    f"""WITH {_DRAFT} SELECT draft_id, {S.norm('question')} AS normalized_question,
-      sha1('["' || array_to_string(list_sort(list_filter([CASE WHEN k % 5 <> 1 OR tn IS NULL THEN 'clause:' || lower(replace({S.code('document_id')}, ' ', '')) || ':1.1' END, CASE WHEN tn IS NOT NULL THEN 'table:' || lower(replace({S.code('document_id')}, ' ', '')) || ':' || tn END], lambda x: x IS NOT NULL)), '", "') || '"]') AS source_hash
-    FROM valid WHERE k % 11 <> 0 AND k % 3 = 0""",
-)
-def approve_drafts(spark, sf):
-    _, ok, _ = reviewed(spark, sf)
+HASH_SQL = f"""sha1('["' || array_to_string(list_sort(list_filter([CASE WHEN k % 5 <> 1 OR tn IS NULL THEN 'clause:' || lower(replace({S.code('document_id')}, ' ', '')) || ':1.1' END, CASE WHEN tn IS NOT NULL THEN 'table:' || lower(replace({S.code('document_id')}, ' ', '')) || ':' || tn END], lambda x: x IS NOT NULL)), '", "') || '"]')"""
+
+
+def draft_source_ids():
+    """Identity strings of the sources of a draft."""
     src = U.draft_sources(F.col("source_kind"), F.col("has_table"), A.code_of(F.col("document_id")), F.col("clause_number"), F.col("source_anchor"), F.col("source_excerpt"), F.col("table_number"))
     nothing = F.lit(None).cast("string")
     names = ("clause_number", "html_anchor", "table_number", "snippet")
-    ids = F.array_distinct(F.transform(src, lambda s: R.source_id(s["type"], s["shnq_code"], {n: s[n] for n in names} | {"row_index": F.lit(None).cast("bigint"), "appendix_number": nothing, "image_url": nothing, "title": nothing})))
-    return ok.select("draft_id", X.normalize_text("question").alias("normalized_question"), R.source_hash(ids).alias("source_hash"))
+    return F.array_distinct(F.transform(src, lambda s: R.source_id(s["type"], s["shnq_code"], {n: s[n] for n in names} | {"row_index": F.lit(None).cast("bigint"), "appendix_number": nothing, "image_url": nothing, "title": nothing})))
+
+
+@query("approve_drafts", f"WITH {_DRAFT} SELECT draft_id, {S.norm('question')} AS normalized_question, {HASH_SQL} AS source_hash FROM valid WHERE k % 11 <> 0 AND k % 3 = 0")
+def approve_drafts(spark, sf):
+    _, ok, _ = reviewed(spark, sf)
+    return ok.select("draft_id", X.normalize_text("question").alias("normalized_question"), R.source_hash(draft_source_ids()).alias("source_hash"))
 
 
 @query("reject_drafts", f"WITH {_DRAFT} SELECT draft_id, {S.norm('question')} AS normalized_question, CASE WHEN k % 2 = 0 THEN 'izoh' ELSE 'qa_generator_reject_delete' END AS reason FROM valid WHERE k % 11 <> 0 AND k % 3 = 1")

@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from clausespark.functions import text as X
-from clausespark.operators import candidates, chat, ingest, lexical, rerank, vector
+from clausespark.operators import candidates, chat, curate, feedback, ingest, lexical, rerank, vector
 from clausespark.operators.ordered import running
 from clausespark.sources import html_files, sinks
 
@@ -265,3 +265,25 @@ def test_row_with_the_asked_value_and_no_term_is_found(spark):
     asked = q.where("qid = 1").withColumn("row_priority", F.lit(True))
     found = candidates.row_candidates(asked, r.withColumn("search_text", F.lit("qavat devor")), 3)
     assert found.where("numeric > 0.5").select("row_id").first()["row_id"] == 100
+
+
+def test_reviews_reach_the_verified_and_rejected_tables(spark):
+    shape = "draft_id bigint, reviewed_at timestamp, question string, answer string, source_ids array<string>, code string, clause_number string, short_answer string, job_id bigint"
+    at = lambda d: datetime(2024, 1, d)
+    ok = spark.createDataFrame(
+        [(1, at(5), "Eni  qancha?", "45 mm", ["b", "a"], "C", "1.1", "45", 7), (2, at(6), "eni qancha?", "45 mm", ["a", "b"], "D", None, " ", 8), (3, at(6), None, None, None, None, None, None, None)],
+        shape,
+    )
+    seen = ok.where("draft_id = 1").selectExpr("draft_id + 100 AS event_id", "timestamp'2024-01-01' AS ts", "question", "answer", "source_ids", "'old' AS code", "clause_number")
+    other = spark.createDataFrame([(200, at(1), "bo'yi?", "3 m", ["z"], "Z", "2.2")], seen.schema)
+    table = curate.publish(feedback.verified_batch(seen.union(other)), ok)
+    by = {r["normalized_question"]: r for r in table.collect()}
+    one = by["eni qancha?"]
+    assert (one["verified_count"], one["short_answer"], one["origin_type"], one["job_id"], one["code"], one["clause_number"]) == (3, "45", "ai_generated", 8, "D", "1.1")
+    assert by["bo'yi?"]["origin_type"] == "feedback" and by["bo'yi?"]["verified_count"] == 1
+    # a second round starts from the first one's table; without approvals nothing changes
+    assert sorted(map(str, curate.publish(table, ok.limit(0)).collect())) == sorted(map(str, table.collect()))
+    refused = ok.where("draft_id < 3").withColumn("reason", F.lit("izoh")).drop("short_answer", "job_id")
+    votes = seen.withColumn("reason", F.lit(None).cast("string"))
+    gone = curate.withhold(feedback.rejected_batch(votes), refused).first()
+    assert (gone["rejected_count"], gone["reason"], gone["code"]) == (3, "izoh", "D")
