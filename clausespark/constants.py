@@ -190,3 +190,8 @@ CONTEXT_ITEMS = 18
 CLAUSE_EXCERPT = 850
 TABLE_EXCERPT = 1400
 GUEST_LIMIT = 3
+
+# What to offer when several tables bear one number.
+CHOICE_DOCUMENTS = 7
+CHOICE_CHAPTERS = 6
+UNKNOWN_CHAPTER = "Noma'lum bob"

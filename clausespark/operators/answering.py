@@ -399,6 +399,26 @@ def table_pick(questions: DataFrame, tables: DataFrame) -> DataFrame:
     return g.select("qid", F.col("n").alias("n_candidates"), picked.alias("table_id"))
 
 
+def table_choices(tables: DataFrame) -> DataFrame:
+    """What to offer where a table number is not unique: (number_key, kind, label, position).
+
+    The first seven documents and the first six chapters that hold a table of that number, each once whatever
+    its case. tables: table_id, code, table_number, section_title, table_order. Blank codes are left out, a
+    missing chapter counts as an unknown one. Each list is cut by a per-group limit before the shuffle.
+    """
+    t = tables.withColumn("number_key", R.table_key("table_number")).where("number_key <> ''")
+    order = ["table_order", "table_id"]
+    chapter = F.coalesce(F.nullif("section_title", F.lit("")), F.lit(K.UNKNOWN_CHAPTER))
+    parts = (("document", F.coalesce("code", F.lit("")), K.CHOICE_DOCUMENTS), ("chapter", chapter, K.CHOICE_CHAPTERS))
+    out = None
+    for kind, label, limit in parts:
+        named = t.withColumn("label", label).where(F.trim("label") != "")
+        d = first_distinct(named, "number_key", F.lower(F.trim("label")), order, limit)
+        d = d.select("number_key", F.lit(kind).alias("kind"), "label", "position")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def context_words(message: Column, doc_code: Column) -> Column:
     """Words of a message that may describe a table."""
     rx = F.lit(r"(?U)[\p{L}]+(?:'[\p{L}]+)?")

@@ -501,6 +501,31 @@ def table_options(spark, sf):
     return o.select("code", F.when(tail != "", F.concat(ref, F.lit(" - "), tail)).otherwise(ref).alias("label"), "position")
 
 
+_SIZED = f"""sized AS (SELECT min(p_partkey) AS table_id, p_size::VARCHAR AS number, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS num,
+  CASE WHEN min(p_partkey) % 2 = 0 THEN {S.code("regexp_extract(p_brand, '(\\d+)', 1)::BIGINT")} ELSE lower({S.code("regexp_extract(p_brand, '(\\d+)', 1)::BIGINT")}) END AS code,
+  CASE WHEN min(p_partkey) % 5 > 0 THEN p_type END AS section FROM part GROUP BY p_size, p_brand, p_type)"""
+
+
+@query(
+    "table_choices",
+    f"""WITH {_SIZED}, o AS (SELECT number, 'document' AS kind, code AS label, lower(code) AS key, num, table_id FROM sized
+      UNION ALL SELECT number, 'chapter', coalesce(section, 'Noma''lum bob'), lower(coalesce(section, 'Noma''lum bob')), num, table_id FROM sized),
+    f AS (SELECT number, kind, arg_min(label, (num, table_id)) AS label, min((num, table_id)) AS place FROM o GROUP BY number, kind, key)
+    SELECT number AS number_key, kind, label, position FROM (SELECT *, row_number() OVER (PARTITION BY number, kind ORDER BY place) AS position FROM f)
+    WHERE position <= CASE kind WHEN 'document' THEN 7 ELSE 6 END""",
+)
+def table_choices(spark, sf):
+    """Tables numbered by size: one per size, brand and type."""
+    num = F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")
+    p = A.table(spark, sf, "part").groupBy("p_size", "p_type", num.alias("table_order")).agg(F.min("p_partkey").alias("table_id"))
+    code = A.code_of(F.col("table_order"))
+    t = p.select(
+        "table_id", "table_order", F.col("p_size").cast("string").alias("table_number"), F.when(F.col("table_id") % 2 == 0, code).otherwise(F.lower(code)).alias("code"),
+        F.when(F.col("table_id") % 5 > 0, F.col("p_type")).alias("section_title"),
+    )
+    return Q.table_choices(t).select("number_key", "kind", "label", "position")
+
+
 # -------------------------------------------------------------- disposition
 @query(
     "disposition",

@@ -659,7 +659,7 @@ def clause_quality(spark, sf):
     return c.select("clause_id", r6(X.clause_quality(F.col("text"))).alias("score"), (F.length("text") >= 40).alias("useful"))
 
 
-@query("html_to_text", f"SELECT page_id, md5({S.squeeze(chr(114) + 'egexp_replace(html, ' + S.q('<[^>]+>') + ', ' + S.q(' ') + ', ' + S.q('g') + ')')}) AS text_md5 FROM pages")
+@query("html_to_text", "SELECT page_id, md5(" + S.squeeze("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ") AS text_md5 FROM pages")
 def html_to_text(spark, sf):
     p = A.texts(spark, sf, "pages")
     return p.select("page_id", F.md5(X.html_to_text(F.lit(None).cast("string"), "html")).alias("text_md5"))
