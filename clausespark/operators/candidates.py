@@ -300,10 +300,13 @@ def low_quality_top(features: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame, scopes: SC.Scopes | None = None) -> DataFrame:
+def discover(
+    questions: DataFrame, clauses: DataFrame, base: DataFrame, scopes: SC.Scopes | None = None, fixed: DataFrame | None = None
+) -> DataFrame:
     """Second look for weak questions: deep passes over their phrasings in their scopes, then unscoped passes.
 
-    Questions that name a document themselves are not widened.
+    Questions that name a document themselves are not widened, nor are those in ``fixed`` (qid), whose scope
+    is a filter the caller set.
 
     questions: qid, question, refs (reference struct), phrasings (array). All phrasings of all weak
     questions are searched in one pass each, as extra question rows, and merged with their weights.
@@ -322,6 +325,8 @@ def discover(questions: DataFrame, clauses: DataFrame, base: DataFrame, scopes:
     state = low_quality_top(f, merged)
     glob = (F.col("n_items") == 0) | (F.col("best") < K.STRICT_MIN_SCORE) | F.col("low_quality")
     open_q = f.where(F.size("refs.document_codes") == 0)
+    if fixed is not None:
+        open_q = open_q.join(fixed.select("qid"), "qid", "left_anti")
     chosen = state.where(glob).select("qid", F.when(F.col("low_quality"), 1.06).otherwise(0.96).alias("w"))
     wide = phrasing_pass(chosen.select("qid").join(open_q, "qid"), clauses, postings, 3, 50, 50, 80, 16)
     wide = wide.join(chosen, "qid").withColumn("score", F.col("score") * F.col("w") * F.col("w")).drop("w")

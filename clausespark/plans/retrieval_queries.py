@@ -383,6 +383,7 @@ def _discovery_sql(scope: str | None = None) -> str:
       ELSE {S.kw('f.anchors', 't.h')} <= 0 AND (t.semantic < 0.7 OR t.keyword < 0.82) END AS low FROM afeat f LEFT JOIN (
         SELECT qid, max(score) AS score, count(*) AS n, arg_max({S.norm('snippet')}, (score, clause_id)) AS h, arg_max(semantic, (score, clause_id)) AS semantic,
                arg_max(keyword, (score, clause_id)) AS keyword FROM {items} GROUP BY qid) t USING (qid))"""
+    held = " AND qid % 6 <> 1" if scope else ""  # every sixth question keeps to its scope
     deep = f" deep {P.MAT} (SELECT dq.qid, s.clause_id FROM dq JOIN {scope} s ON s.qid = dq.qid // 10)," if scope else ""
     return f"""WITH RECURSIVE {P.BASE}, {P.hybrid_cte('a', 'question', scope=scope)}, {exp}, phr {P.MAT} (SELECT * FROM ({phr}) WHERE question IS NOT NULL),
     st1 AS {low('acand')}, weak AS (SELECT qid FROM st1 WHERE n = 0 OR best < 0.24 OR n < 3),
@@ -391,7 +392,7 @@ def _discovery_sql(scope: str | None = None) -> str:
     m1 {P.MAT} (SELECT qid, clause_id, max(score) AS score, arg_max(snippet, score) AS snippet, arg_max(semantic, score) AS semantic, arg_max(keyword, score) AS keyword FROM (
         SELECT qid, clause_id, score, snippet, semantic, keyword FROM acand UNION ALL
         SELECT qid // 10, clause_id, score * (0.98::DOUBLE * 1.03::DOUBLE), snippet, semantic, keyword FROM dcand) GROUP BY qid, clause_id),
-    st2 AS {low('m1')}, gq0 AS (SELECT qid, CASE WHEN low THEN 1.06::DOUBLE ELSE 0.96::DOUBLE END AS w FROM st2 WHERE n = 0 OR best < 0.24 OR low),
+    st2 AS {low('m1')}, gq0 AS (SELECT qid, CASE WHEN low THEN 1.06::DOUBLE ELSE 0.96::DOUBLE END AS w FROM st2 WHERE (n = 0 OR best < 0.24 OR low){held}),
     gq {P.MAT} (SELECT qid * 10 + pos AS qid, question FROM phr WHERE qid IN (SELECT qid FROM gq0) AND pos < 3), {P.hybrid_cte('g', 'gq', 50, 50, 80, 16, 'gask')},
     m2 AS (SELECT qid, clause_id, max(score) AS score FROM (SELECT qid, clause_id, score FROM m1 UNION ALL
         SELECT g.qid // 10, clause_id, score * w * w FROM gcand g JOIN gq0 ON gq0.qid = g.qid // 10) GROUP BY qid, clause_id)
