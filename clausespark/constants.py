@@ -183,9 +183,9 @@ NUMERIC_WEIGHT = 0.24
 NUMERIC_RESCUE_MIN = 0.08
 CACHE_MIN_SCORE = 0.9
 REJECTED_NEAR_FLOOR = 0.92
-NEGATIVE_MIN_SCORE = 0.92
 STALE_DOC_MINUTES = 15
 STALE_JOB_MINUTES = 10
+JOB_PAGE = 50
 CONTEXT_ITEMS = 18
 CLAUSE_EXCERPT = 850
 TABLE_EXCERPT = 1400

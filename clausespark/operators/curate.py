@@ -161,6 +161,23 @@ def job_counters(jobs: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.withColumn("remaining", F.greatest(F.lit(0), F.greatest(F.lit(0), F.col("requested")) - F.col("generated")))
 
 
+def timed_out(status: Column, touched: Column, at: Column, stale_minutes: int = K.STALE_JOB_MINUTES) -> Column:
+    """Whether a queued or running job has not been touched for ``stale_minutes`` before ``at``; false if never touched."""
+    return F.coalesce(status.isin(list(K.ACTIVE_JOB_STATUSES)) & (touched < at - F.make_interval(mins=F.lit(stale_minutes))), F.lit(False))
+
+
+def list_jobs(jobs: DataFrame, now: Column, limit: int = K.JOB_PAGE, stale_minutes: int = K.STALE_JOB_MINUTES) -> DataFrame:
+    """The newest ``limit`` jobs of every document, with their place; stale ones are shown as failed.
+
+    jobs: job_id, document_id, status, created_at, updated_at. Newest first, those without a time last, ties by the
+    larger job_id; jobs without a document are one list. Each task cuts its own rows to ``limit`` per document before
+    they are shuffled, so a document may hold any share of the jobs. To list one document, filter ``jobs`` first.
+    """
+    status = F.when(timed_out(F.col("status"), F.col("updated_at"), now, stale_minutes), "failed").otherwise(F.col("status"))
+    newest = Window.partitionBy("document_id").orderBy(F.desc_nulls_last("created_at"), F.desc("job_id"))
+    return jobs.withColumn("status", status).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
+
+
 def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JOB_MINUTES, block: int = 4096) -> DataFrame:
     """Current state of every job from its commands, replayed in order.
 
@@ -177,11 +194,8 @@ def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JO
         F.lit(None).cast("timestamp").alias("touched"), F.lit(0).alias("refused"),
     )
 
-    def timed_out(status: Column, touched: Column, at: Column) -> Column:
-        return status.isin(list(K.ACTIVE_JOB_STATUSES)) & (touched < at - F.make_interval(mins=F.lit(stale_minutes)))
-
     def step(acc: Column, x: Column) -> Column:
-        status = F.when(timed_out(acc["status"], acc["touched"], x["ts"]), "failed").otherwise(acc["status"])
+        status = F.when(timed_out(acc["status"], acc["touched"], x["ts"], stale_minutes), "failed").otherwise(acc["status"])
         active, gone = status.isin(list(K.ACTIVE_JOB_STATUSES)), status.isin("none", "deleted")
         left = F.greatest(F.lit(0), acc["requested"] - acc["generated"])
         cmd, n = x["command"], x["amount"]
@@ -212,7 +226,7 @@ def job_ledger(commands: DataFrame, now: Column, stale_minutes: int = K.STALE_JO
         j = cut_lineage(state).join(part, "job_id", "left")
         state = j.select("job_id", F.when(F.col("cs").isNull(), F.col("s")).otherwise(F.aggregate("cs", F.col("s"), step)).alias("s"))
     f = state.select("job_id", "s.*")
-    final = F.when(timed_out(F.col("status"), F.col("touched"), now), "failed").otherwise(F.col("status"))
+    final = F.when(timed_out(F.col("status"), F.col("touched"), now, stale_minutes), "failed").otherwise(F.col("status"))
     f = f.withColumn("status", final)
     message = (
         F.when((F.col("status") == "failed") & (F.col("generated") > 0), "partial").when(F.col("status") == "failed", "empty")

@@ -396,6 +396,22 @@ def latest_job(spark, sf):
     return e.groupBy(F.col("user_id").alias("document_id")).agg(F.max("event_id").alias("job_id"), F.max_by("event_type", "event_id").alias("status"))
 
 
+_LISTED_AT = "2024-01-15 12:00:00"
+
+
+@query(
+    "jobs_listing",
+    f"""WITH jobs AS (SELECT event_id AS job_id, user_id AS document_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelled' ELSE 'completed' END AS status FROM events)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC NULLS LAST, job_id DESC) AS place, job_id,
+      CASE WHEN status IN ('queued', 'running') AND ts < TIMESTAMP '{_LISTED_AT}' - INTERVAL 10 MINUTE THEN 'failed' ELSE status END AS status FROM jobs QUALIFY place <= 50""",
+)
+def jobs_listing(spark, sf):
+    t = F.col("event_type")
+    status = F.when(t == "signup", "queued").when(t == "view", "running").when(t == "click", "cancelled").otherwise("completed")
+    j = A.table(spark, sf, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), status.alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return U.list_jobs(j, F.lit(_LISTED_AT).cast("timestamp")).select("document_id", big(F.col("place")).alias("place"), "job_id", "status")
+
+
 @query("recent_drafts", "SELECT p_partkey AS draft_id, p_size FROM part WHERE p_size > 10 ORDER BY p_size DESC, p_partkey LIMIT 500")
 def recent_drafts(spark, sf):
     return A.table(spark, sf, "part").where("p_size > 10").orderBy(F.desc("p_size"), "p_partkey").limit(500).select(F.col("p_partkey").alias("draft_id"), "p_size")

@@ -195,6 +195,22 @@ def test_job_ledger_rounds(spark, small):
     assert rows(curate.job_ledger(c, now)) == rows(curate.job_ledger(c, now, block=90))
 
 
+def test_newest_jobs_per_document(spark):
+    from clausespark.operators import curate
+
+    rows = [(i, 1, "completed", f"2024-01-01 00:{i:02}:00") for i in range(5)]
+    rows += [(10, 2, "running", "2024-01-01 00:40:00"), (11, 2, "running", "2024-01-01 00:55:00"), (12, 2, "queued", "2024-01-01 00:55:00"), (13, 2, "queued", None), (14, None, "queued", None)]
+    df = spark.createDataFrame(rows, "job_id int, document_id int, status string, at string")
+    df = df.selectExpr("*", "cast(at AS timestamp) AS created_at", "cast(at AS timestamp) AS updated_at")
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    got = sorted(((r["document_id"] or 0, r["place"], r["job_id"], r["status"]) for r in curate.list_jobs(df, now, limit=4).collect()))
+    assert got == [
+        (0, 1, 14, "queued"), *[(1, i + 1, 4 - i, "completed") for i in range(4)],
+        (2, 1, 12, "queued"), (2, 2, 11, "running"), (2, 3, 10, "failed"), (2, 4, 13, "queued"),
+    ]
+    assert curate.list_jobs(df.limit(0), now).count() == 0
+
+
 def test_containment_matches_scan(spark):
     from clausespark.operators.evaluate import containing_documents
 
