@@ -103,6 +103,27 @@ def image_search_text(spark, sf):
     return i.select("doc_id", "image_url", H.image_search_text().alias("head"))
 
 
+# the blocks of a page in order; a block with an image has no text of its own
+_DIVS = """dv AS (SELECT doc_id, i, 0 AS o, ct AS x FROM ln WHERE i % 10 = 0 UNION ALL SELECT doc_id, i, 1, i || '-ilova' FROM ln WHERE i % 7 = 3 UNION ALL SELECT doc_id, i, 2, 'Sarlavha ' || i FROM ln WHERE i % 7 = 4
+  UNION ALL SELECT doc_id, i, 3, t FROM ln UNION ALL SELECT doc_id, i, 4, '' FROM ln WHERE i % 5 = 2
+  UNION ALL SELECT doc_id, i, 5, CASE WHEN i % 12 = 5 THEN i || '-jadval. Nomi ' || i || ' ' ELSE '' END || 'Nomi Qiymat ' || i || ' ' || (i * 2) || ' Nomi' FROM ln WHERE i % 6 = 5),
+nb AS (SELECT doc_id, i, o, list_transform(list_filter([lag(x) OVER w, lag(x, 2) OVER w, lag(x, 3) OVER w, lead(x) OVER w, lead(x, 2) OVER w], lambda v: v <> '' AND lower(v) NOT LIKE 'http://%' AND lower(v) NOT LIKE 'https://%'), lambda v: left(v, 220)) AS c
+  FROM dv WINDOW w AS (PARTITION BY doc_id ORDER BY i, o)),
+cx AS (SELECT doc_id, i, array_to_string(list_filter(c, lambda v, k: list_position(list_transform(c, lambda u: lower(u)), lower(v)) = k)[:3], ' | ') AS context_text FROM nb WHERE o = 4)"""
+
+
+@query(
+    "image_context",
+    f"""WITH {_L}, {_DIVS}, im AS (SELECT *, CASE WHEN i % 10 = 2 THEN '/img/' || i || '.png' ELSE '/img/dup.png' END AS src, {_APPX} AS an, {_APPT} AS ap_t FROM ln WHERE i % 5 = 2),
+    f AS (SELECT im.*, context_text FROM im JOIN cx USING (doc_id, i) QUALIFY row_number() OVER (PARTITION BY doc_id, src ORDER BY i) = 1)
+    SELECT doc_id, src AS image_url, context_text, concat_ws(chr(10), 'Hujjat: ' || {S.code('doc_id')}, 'Rasm URL: ' || src, 'Bo''lim: ' || ct, 'Ilova: ' || an, 'Sarlavha: Sarlavha ' || ap_t, 'Kontekst: ' || nullif(context_text, '')) AS search_text FROM f""",
+)
+def image_context(spark, sf):
+    """Each image with the texts around it and the search text built from them."""
+    i = H.images(segmented(spark, sf)).withColumn("code", A.code_of(F.col("doc_id")))
+    return i.select("doc_id", "image_url", "context_text", H.image_search_text().alias("search_text"))
+
+
 _TB = f"""tb0 AS (SELECT *, CASE WHEN i % 12 = 5 THEN i::VARCHAR ELSE 'ilova-' || {_APPX} END AS num FROM ln WHERE i % 6 = 5),
 tb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS table_order, coalesce(num, (count(*) FILTER (num IS NULL) OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR) AS table_number,
   CASE WHEN i % 12 = 5 THEN 'Nomi ' || i END AS title FROM tb0)"""
