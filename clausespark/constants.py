@@ -186,6 +186,7 @@ REJECTED_NEAR_FLOOR = 0.92
 STALE_DOC_MINUTES = 15
 STALE_JOB_MINUTES = 10
 JOB_PAGE = 50
+UNNUMBERED_TITLE = "Band -"
 CONTEXT_ITEMS = 18
 CLAUSE_EXCERPT = 850
 TABLE_EXCERPT = 1400

@@ -31,6 +31,28 @@ def reciprocal_rank(dense: DataFrame, lexical: DataFrame, k: int = K.RRF_K) -> D
     return g.withColumn("fused_rank", F.row_number().over(w).cast("bigint"))
 
 
+def shown_texts(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(qid, clause_id, snippet, title, code) of every clause of both lists, each (qid, clause_id) once per list.
+
+    What the dense list says stands, but a longer lexical snippet, a lexical title that names a number and a
+    lexical code where the dense one is missing take its place. Null counts as empty.
+    """
+    names = ("snippet", "title", "code")
+    own = lambda df, a: df.select("qid", "clause_id", F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in names]).alias(a))
+    none = lambda df, a: F.lit(None).cast(own(df, a).schema[a].dataType).alias(a)
+    d = own(dense, "d").select("*", none(dense, "x"))
+    x = own(lexical, "x").select("qid", "clause_id", none(lexical, "d"), "x")
+    g = d.unionByName(x).groupBy("qid", "clause_id").agg(F.first("d", ignorenulls=True).alias("d"), F.first("x", ignorenulls=True).alias("x"))
+
+    def pick(name: str, better: Column) -> Column:
+        return F.when(F.col("d").isNull() | (F.col("x").isNotNull() & better), F.col(f"x.{name}")).otherwise(F.col(f"d.{name}")).alias(name)
+
+    return g.select(
+        "qid", "clause_id", pick("snippet", F.length("x.snippet") > F.length("d.snippet")),
+        pick("title", ~F.col("x.title").isin("", K.UNNUMBERED_TITLE)), pick("code", F.col("d.code") == ""),
+    )
+
+
 def merge_key() -> Column:
     """Identity of a candidate: its kind and the first id it carries, rows going by their table."""
     nb = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -139,6 +139,25 @@ def rrf(spark, sf):
     )
 
 
+@query(
+    "fused_texts",
+    """WITH p AS (SELECT p_partkey % 50 AS qid, p_partkey AS k, p_name, p_brand, p_type FROM part),
+    d AS (SELECT qid, k, p_name AS snippet, 'Band ' || k AS title, CASE WHEN k % 2 = 0 THEN '' ELSE p_brand END AS code FROM p WHERE k % 3 <> 0),
+    x AS (SELECT qid, k, p_type AS snippet, CASE WHEN k % 5 = 0 THEN 'Band -' WHEN k % 7 = 0 THEN '' ELSE 'Band L' || k END AS title, p_brand || '-x' AS code FROM p WHERE k % 4 <> 1)
+    SELECT coalesce(d.qid, x.qid) AS qid, coalesce(d.k, x.k) AS clause_id, CASE WHEN d.k IS NULL OR length(x.snippet) > length(d.snippet) THEN x.snippet ELSE d.snippet END AS snippet,
+      CASE WHEN d.k IS NULL OR x.title NOT IN ('', 'Band -') THEN x.title ELSE d.title END AS title, CASE WHEN d.k IS NULL OR (d.code = '' AND x.k IS NOT NULL) THEN x.code ELSE d.code END AS code
+    FROM d FULL JOIN x ON d.qid = x.qid AND d.k = x.k""",
+)
+def fused_texts(spark, sf):
+    k = F.col("p_partkey")
+    p = A.table(spark, sf, "part").select((k % 50).alias("qid"), k.alias("clause_id"), "p_name", "p_brand", "p_type")
+    k, nr = F.col("clause_id"), F.col("clause_id").cast("string")
+    dense = p.where(k % 3 != 0).select("qid", "clause_id", F.col("p_name").alias("snippet"), F.concat(F.lit("Band "), nr).alias("title"), F.when(k % 2 == 0, "").otherwise(F.col("p_brand")).alias("code"))
+    title = F.when(k % 5 == 0, "Band -").when(k % 7 == 0, "").otherwise(F.concat(F.lit("Band L"), nr))
+    found = p.where(k % 4 != 1).select("qid", "clause_id", F.col("p_type").alias("snippet"), title.alias("title"), F.concat("p_brand", F.lit("-x")).alias("code"))
+    return fusion.shown_texts(dense, found)
+
+
 def fused_items(spark, sf):
     """Fused head of every library question with clause texts."""
     c = A.clauses(spark, sf)

@@ -195,6 +195,17 @@ def test_job_ledger_rounds(spark, small):
     assert rows(curate.job_ledger(c, now)) == rows(curate.job_ledger(c, now, block=90))
 
 
+def test_shown_texts_of_two_lists(spark):
+    from clausespark.operators import fusion
+
+    schema = "qid int, clause_id int, snippet string, title string, code string"
+    dense = spark.createDataFrame([(1, 1, "long text", "Band 1", None), (1, 2, "a", "Band 2", "A"), (1, 3, None, "Band 3", "")], schema)
+    found = spark.createDataFrame([(1, 1, "short", "Band -", "B"), (1, 2, "longer", "2.1", "B"), (2, 1, "x", None, None)], schema)
+    got = sorted(tuple(r) for r in fusion.shown_texts(dense, found).collect())
+    assert got == [(1, 1, "long text", "Band 1", "B"), (1, 2, "longer", "2.1", "A"), (1, 3, "", "Band 3", ""), (2, 1, "x", "", "")]
+    assert fusion.shown_texts(dense.limit(0), found.limit(0)).count() == 0
+
+
 def test_newest_jobs_per_document(spark):
     from clausespark.operators import curate
 
