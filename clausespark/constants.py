@@ -163,6 +163,7 @@ ROW_MIN_SCORE = 0.16
 RICH_CLAUSE_THRESHOLD = 0.42
 IMAGE_TOP_K = 3
 IMAGE_MIN_SCORE = 0.22
+OTHER_IMAGE_FLOOR = 0.30
 TRANSLATION_THRESHOLD = 0.35
 TRANSLATED_WEIGHT = 0.97
 AMBIGUITY_GAP = 0.03

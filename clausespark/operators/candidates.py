@@ -242,6 +242,18 @@ def image_candidates(questions: DataFrame, images: DataFrame, k: int = K.IMAGE_T
     return r.select("qid", "image_id", "score", "semantic", "keyword", "rank")
 
 
+def admitted_images(found: DataFrame, signals: DataFrame, clause_floor: float = K.MIN_SCORE, image_floor: float = K.OTHER_IMAGE_FLOOR) -> DataFrame:
+    """The image candidates a question may show. signals: qid, asks_image, clause_score (of its best clause, null for none).
+
+    A question that asks for an image keeps them all; any other only those of ``image_floor`` or more, and only
+    if its best clause stays below ``clause_floor``. Questions without signals ask for no image and have no clause.
+    """
+    one = signals.groupBy("qid").agg(F.max("asks_image").alias("_asks"), F.max("clause_score").alias("_clause"))
+    t = found.join(one, "qid", "left")
+    weak = F.coalesce("_clause", F.lit(0.0)) < clause_floor
+    return t.where(F.coalesce("_asks", F.lit(False)) | (weak & (F.col("score") >= image_floor))).drop("_asks", "_clause")
+
+
 def exact_clauses(references: DataFrame, clauses: DataFrame, k: int = 6) -> DataFrame:
     """Clauses whose stored number a question names, within the named documents if any.
 

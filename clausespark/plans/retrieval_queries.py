@@ -363,10 +363,36 @@ def row_fallback(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, image_id) AS rank FROM z WHERE score >= 0.22 OR kw > 0) WHERE rank <= 3""",
 )
 def image_candidates(spark, sf):
+    r = found_images(spark, sf)
+    return r.select("qid", "image_id", *[r6(F.col(c)).alias(c) for c in ("score", "semantic", "keyword")], "rank")
+
+
+def found_images(spark, sf):
     title = X.squeeze(F.regexp_replace(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), "<[^>]+>", " "))
     img = A.texts(spark, sf, "pages").select(F.col("page_id").alias("image_id"), F.concat(title, F.lit(" | URL: "), "url").alias("context"))
-    r = C.image_candidates(A.questions(spark, sf), img)
-    return r.select("qid", "image_id", *[r6(F.col(c)).alias(c) for c in ("score", "semantic", "keyword")], "rank")
+    return C.image_candidates(A.questions(spark, sf), img)
+
+
+@query(
+    "images_admitted",
+    f"""WITH {P.BASE}, img AS (SELECT page_id AS image_id,
+      {S.squeeze("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g')")} || ' | URL: ' || url AS context FROM pages),
+    {P.sparse_cte('iv', 'img', 'image_id', 'context')}, {P.dense_cte('a', 'question', 3, 'iv', 'image_id')}, {P.features_cte('a', 'question')}, {P.dense_cte('b', 'question', 1)},
+    ih AS (SELECT image_id, {S.norm('context')} AS h FROM img),
+    x AS (SELECT f.qid, i.image_id, coalesce(d.score, 0) AS sem, {S.kw('terms', 'i.h')} AS kw FROM afeat f CROSS JOIN ih i LEFT JOIN add d ON d.qid = f.qid AND d.image_id = i.image_id),
+    z AS (SELECT *, round(sem + 0.15 * kw, 9) AS score FROM x),
+    top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, image_id) AS rank FROM z WHERE score >= 0.22 OR kw > 0 QUALIFY rank <= 3),
+    sg AS (SELECT q.qid, regexp_matches({S.norm('question')}, 'rasm|image|diagramma|sxema|surat|chizma') AS asks, coalesce(b.score, 0) AS best FROM question q LEFT JOIN bdense b USING (qid))
+    SELECT top.qid, image_id, round(score, 6) AS score, rank FROM top JOIN sg USING (qid) WHERE asks OR (best < 0.5 AND score >= 0.3)""",
+)
+def images_admitted(spark, sf):
+    """Image candidates by the question's words and its best clause; a clause answers from cosine 0.5 on here."""
+    q = A.questions(spark, sf)
+    best = vector.top_k(C.with_vector(q, "question", "qid", "qid"), C.with_vector(A.clauses(spark, sf), "text", "clause_id", "id"), 1, K.HASH_DIM)
+    asks = X.normalize_text("question").rlike("|".join(K.IMAGE_TERMS))
+    signals = q.select("qid", asks.alias("asks_image")).join(best.select("qid", F.col("score").alias("clause_score")), "qid", "left")
+    r = C.admitted_images(found_images(spark, sf), signals, clause_floor=0.5)
+    return r.select("qid", "image_id", r6(F.col("score")).alias("score"), "rank")
 
 
 @query(

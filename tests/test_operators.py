@@ -206,6 +206,15 @@ def test_shown_texts_of_two_lists(spark):
     assert fusion.shown_texts(dense.limit(0), found.limit(0)).count() == 0
 
 
+def test_images_of_other_questions(spark):
+    from clausespark.operators import candidates
+
+    found = spark.createDataFrame([(q, i, s) for q in range(1, 6) for i, s in ((1, 0.25), (2, 0.3), (3, 0.9))], "qid int, image_id int, score double")
+    signals = spark.createDataFrame([(1, True, 0.9), (2, False, 0.9), (3, False, 0.1), (4, None, None), (3, False, 0.05)], "qid int, asks_image boolean, clause_score double")
+    got = sorted((r["qid"], r["image_id"]) for r in candidates.admitted_images(found, signals).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (3, 2), (3, 3), (4, 2), (4, 3), (5, 2), (5, 3)]
+
+
 def test_newest_jobs_per_document(spark):
     from clausespark.operators import curate
 
