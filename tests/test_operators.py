@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clausespark.functions import text as X
@@ -323,3 +324,20 @@ def test_reviews_reach_the_verified_and_rejected_tables(spark):
     votes = seen.withColumn("reason", F.lit(None).cast("string"))
     gone = curate.withhold(feedback.rejected_batch(votes), refused).first()
     assert (gone["rejected_count"], gone["reason"], gone["code"]) == (3, "izoh", "D")
+
+
+def test_block_pairs_of_one_table(spark, tmp_path):
+    """Questions and stored rows that come from one table, compared in blocks without a k."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for i in range(90)]
+    spark.createDataFrame(rows, "n long, v array<float>").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t").select("n", F.col("v").cast("array<double>").alias("vector"))
+    q = t.where("n % 2 = 1").select(F.col("n").alias("qid"), "vector")
+    v = t.where("n % 2 = 0").select(F.col("n").alias("id"), "vector")
+    m = np.array([x for _, x in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    want = {(i, j) for i in range(1, 90, 2) for j in range(0, 90, 2) if round(float(m[i] @ m[j]), 9) >= 0.4}
+    got = vector.above(q, v, 0.4, 4, block_rows=10, slice_rows=16).collect()
+    assert len(got) == len(want) and {(r["qid"], r["id"]) for r in got} == want
+    near = vector.top_k(q, v, 2, 4, block_rows=10, slice_rows=16)
+    assert sorted(near.collect()) == sorted(vector.top_k(q, v, 2, 4).collect())
