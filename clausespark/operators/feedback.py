@@ -9,6 +9,7 @@ from clausespark import constants as K
 from clausespark.functions import refs as R
 from clausespark.functions import text as X
 from clausespark.operators import vector
+from clausespark.session import cut_lineage
 
 VERIFIED_KEY = ["normalized_question", "source_hash", "answer"]
 REJECTED_KEY = ["normalized_question", "answer"]
@@ -93,11 +94,16 @@ def cache_exact(questions: DataFrame, verified: DataFrame) -> DataFrame:
     """Exact cache: (qid, blocked, answer). Rows of another document block the semantic step.
 
     questions: qid, normalized_question, doc_key (or empty). Inactive rows neither answer nor block.
+    The best row per question text, and per text and document, is known before questions are joined, so a question
+    meets at most one row however many answers its text has.
     """
-    j = questions.join(active(verified), "normalized_question")
-    fits = (F.col("doc_key") == "") | (R.code_key("code") == F.col("doc_key"))
     order = F.struct("verified_count", "updated_at", "answer", "source_hash")
-    g = j.groupBy("qid").agg(F.max_by(F.struct("answer", "code"), F.when(fits, order)).alias("hit"))
+    v = active(verified).withColumn("doc_key", F.explode(F.array_distinct(F.array_compact(F.array(F.lit(""), R.code_key("code"))))))
+    best = v.groupBy("normalized_question", "doc_key").agg(F.max_by(F.struct("answer", "code"), order).alias("hit"), F.max(order).alias("order"))
+    best = cut_lineage(best)  # read twice
+    known = questions.join(best.where("doc_key = ''").select("normalized_question"), "normalized_question", "left_semi")
+    j = known.select("qid", "normalized_question", "doc_key").join(best, ["normalized_question", "doc_key"], "left")
+    g = j.groupBy("qid").agg(F.max_by("hit", "order").alias("hit"))
     return g.select("qid", F.col("hit.answer").alias("answer"), F.col("hit.code").alias("code"), F.col("hit").isNull().alias("blocked"))
 
 

@@ -341,3 +341,27 @@ def test_block_pairs_of_one_table(spark, tmp_path):
     assert len(got) == len(want) and {(r["qid"], r["id"]) for r in got} == want
     near = vector.top_k(q, v, 2, 4, block_rows=10, slice_rows=16)
     assert sorted(near.collect()) == sorted(vector.top_k(q, v, 2, 4).collect())
+
+
+def test_exact_cache_joins_one_row_per_question(spark, monkeypatch):
+    """Many answers to one question text are reduced before questions meet them."""
+    from clausespark.operators import feedback as FB
+
+    met = []
+    monkeypatch.setattr(FB, "cut_lineage", lambda df: met.append(df.count()) or df)
+    rows = [("q", f"h{i}", f"a{i}", 1 + i % 7, 100 + i, f"SHNQ {i % 3}") for i in range(60)] + [("p", "h", "b", 1, 5, None)]
+    rows += [("off", "h", "b", 1, 5, "SHNQ 0")]
+    v = spark.createDataFrame(rows, "normalized_question string, source_hash string, answer string, verified_count int, updated_at int, code string")
+    v = v.withColumn("is_active", F.col("normalized_question") != "off")
+    asked = [(1, "q", ""), (2, "q", "shnq1"), (3, "q", "shnq9"), (4, "p", ""), (5, "p", "shnq1"), (6, "off", ""), (7, "q", None), (8, "q", "shnq9"), (8, "q", "shnq2")]
+    q = spark.createDataFrame(asked, "qid int, normalized_question string, doc_key string")
+    got = {r["qid"]: (r["answer"], r["code"], r["blocked"]) for r in FB.cache_exact(q, v).collect()}
+
+    def best(rows):
+        r = max(rows, key=lambda r: (r[3], r[4], r[2], r[1]))
+        return r[2], r[5], False
+
+    of = lambda n: best([r for r in rows if r[0] == "q" and r[5] == f"SHNQ {n}"])
+    none = (None, None, True)
+    assert got == {1: best([r for r in rows if r[0] == "q"]), 2: of(1), 3: none, 4: ("b", None, False), 5: none, 7: none, 8: of(2)}
+    assert met == [5]  # q for any document and for each of three, p for any
