@@ -365,3 +365,15 @@ def test_exact_cache_joins_one_row_per_question(spark, monkeypatch):
     none = (None, None, True)
     assert got == {1: best([r for r in rows if r[0] == "q"]), 2: of(1), 3: none, 4: ("b", None, False), 5: none, 7: none, 8: of(2)}
     assert met == [5]  # q for any document and for each of three, p for any
+
+
+def test_postings_are_not_shuffled(spark):
+    """Tokens leave the rows of the clauses as they are; only hits of terms are summed per clause."""
+    rows = [("1", "x-bob", "bino bino kenglik"), ("1", "x-bob", "bino"), ("2", None, "eshik binolar"), ("3", "bino", None)]
+    clauses = spark.createDataFrame(rows, "clause_id string, chapter_title string, text string").repartition(2)
+    postings = lexical.clause_tokens(clauses)
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    terms = spark.createDataFrame([("bino",), ("eshik",)], "term string")
+    got = {(r["clause_id"], r["term"]): (r["tf"], r["text_tf"]) for r in lexical.term_hits(postings, terms).collect()}
+    assert got == {("1", "bino"): (3, 3), ("2", "eshik"): (1, 1), ("2", "bino"): (1, 1)}
