@@ -377,3 +377,17 @@ def test_postings_are_not_shuffled(spark):
     terms = spark.createDataFrame([("bino",), ("eshik",)], "term string")
     got = {(r["clause_id"], r["term"]): (r["tf"], r["text_tf"]) for r in lexical.term_hits(postings, terms).collect()}
     assert got == {("1", "bino"): (3, 3), ("2", "eshik"): (1, 1), ("2", "bino"): (1, 1)}
+
+
+def test_seeded_search_scores_only_touched_clauses(spark):
+    rng = random.Random(6)
+    vocab = ["kenglik", "masofa", "bino", "yo'lak", "balandlik", "eshik", "qavat", "zinapoya"]
+    rows = [(str(i), f"{i % 4}-bob", " ".join(rng.choice(vocab) for _ in range(3))) for i in range(60)] + [("0", "0-bob", "bino eshik")]
+    clauses = spark.createDataFrame(rows, "clause_id string, chapter_title string, text string")
+    asked = [(i, f"{rng.choice(vocab)} {rng.choice(vocab)}") for i in range(8)] + [(8, "mavjud emas"), (None, "bino")]
+    questions = spark.createDataFrame(asked, "qid int, question string")
+    touched = {(r["qid"], r["clause_id"]) for r in lexical.score_candidates(*lexical.matches(questions, clauses)).collect()}
+    every = candidates.dense_list(questions, clauses, 1000).where("qid IS NOT NULL")
+    want = [(r["qid"], r["clause_id"], r["dense_score"]) for r in every.collect() if (r["qid"], r["clause_id"]) in touched]
+    got = candidates.seeded_dense(questions, clauses, 1000).collect()
+    assert sorted((r["qid"], r["id"], r["score"]) for r in got) == sorted(want) and len(want) > 50
