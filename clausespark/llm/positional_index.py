@@ -26,8 +26,8 @@ from clausespark.session import cut_lineage
 
 #: The text is lower-cased first, so upper-case letters never occur.
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-#: A word of the text as it stands, for counting.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Separators of the text as it stands, for counting its words.
+RAW_SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WINDOW = 10
 LISTS = 3
 BROADCAST_TERMS = 1_000_000
@@ -122,7 +122,7 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     out = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     kept = own_columns(docs, *out)
     found = cut_lineage(contamination(docs.select("doc_id", "text"), items, size)).withColumnRenamed("key", "__key")
-    count = F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long")
+    count = F.size(split_words(F.col("text"), RAW_SEPARATORS)).cast("long")
     t = docs.select(*kept, count.alias("n_words"), row_key().alias("__key")).join(found, "__key", "left")
     t = t.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items")})
     t = t.withColumns({"items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256)), "contaminated": F.col("n_hit") > 0})
