@@ -213,6 +213,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return t.select("doc_id", "text_hash", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def text_links(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of text hashes: every text of a component to the smallest hash in it."""
+    t = _classes(docs, radius, tile).select("root", F.col("text_hash").alias("a")).distinct()
+    least = t.groupBy("root").agg(F.count(F.lit(1)).alias("__n"), F.min("a").alias("b"))
+    return join_counted(t, least, "root", "__n", ["a"]).select("a", "b").filter("a <> b")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``docs`` with one row per component: that of its smallest doc_id (of its smallest text hash if none is set)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"))
