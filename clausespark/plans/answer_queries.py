@@ -409,7 +409,7 @@ def exact_pick(spark, sf):
       + least(0.04, ln(1 + o) * 0.015), 9) AS score FROM s) SELECT qid, item_id, round(score, 6) AS score FROM x""",
 )
 def mixed_rerank(spark, sf):
-    it = A.items(spark, sf).join(item_features(spark, sf), "qid")
+    it = A.items(spark, sf).join(rerank.with_question_features(item_features(spark, sf)), "qid")
     return rerank.mixed_scores(it).select("qid", "item_id", r6(F.col("score")).alias("score"))
 
 
