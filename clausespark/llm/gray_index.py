@@ -180,20 +180,25 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) with the smallest node of each component, by alternating large and small stars until nothing changes."""
+    """(node, root) with the smallest node of each component, by alternating large and small stars until only stars are left.
+
+    Edges that are stars around their smallest node already take no round.
+    """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    state = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = cut_lineage(small.filter("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u, v), u > v, has one smaller neighbour at most, which has none itself."""
+    ends = e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def _classes(docs: DataFrame, radius: int, tile: int) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from clausespark.llm import gray_index
 from clausespark.llm.gray_index import components, keep_one, links, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, fingerprint string, root int"
@@ -95,3 +96,15 @@ def test_empty(spark):
 def test_long_chain_is_one_component(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components(chain).collect()} == {0}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Every round writes a table; edges that are stars around their smallest node are their components already."""
+    written, cut = [], gray_index.cut_lineage
+    monkeypatch.setattr(gray_index, "cut_lineage", lambda df: written.append(1) or cut(df))
+    stars = [(1, 5), (5, 1), (7, 1), (2, 9), (3, 3), (None, 4)]
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert sorted(map(tuple, gray_index.components(edges(stars)).collect())) == [(5, 1), (7, 1), (9, 2)]
+    assert len(written) == 1
+    assert sorted(map(tuple, gray_index.components(edges([(9, 5), (5, 1), (7, 9)])).collect())) == [(5, 1), (7, 1), (9, 1)]
+    assert gray_index.components(edges([])).count() == 0
