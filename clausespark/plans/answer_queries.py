@@ -279,16 +279,18 @@ _ORDERED = f"""oi AS (SELECT i.*, q.m, row_number() OVER (PARTITION BY i.qid, ki
  ordered AS (SELECT * FROM fo WHERE position <= 10)"""
 
 
-def ordered_items(spark, sf):
+def list_features(spark, sf):
+    """Order questions with the flags that order their lists."""
     q = item_features(spark, sf)
     g = I.gates("question")
-    q = q.select(
-        "qid", "question", "refs", "intent", g["table_intent"].alias("table_intent"), g["row_priority"].alias("row_priority"),
-        N.query_profile("question").alias("profile"),
-    )
+    q = q.select("qid", "question", "refs", "intent", g["table_intent"].alias("table_intent"), g["row_priority"].alias("row_priority"), N.is_numeric("question").alias("is_numeric"))
     q = q.withColumn("table_first", (F.col("intent") == "table_lookup") | F.col("table_intent") | F.col("row_priority"))
-    q = q.withColumn("image_first", F.col("intent") == "image_lookup").withColumn("is_numeric", F.col("profile.is_numeric"))
-    return Q.final_order(A.items(spark, sf).join(q, "qid"))
+    return q.withColumn("image_first", F.col("intent") == "image_lookup")
+
+
+def ordered_items(spark, sf, features=None):
+    """Final lists of the order questions; ``features`` are those of ``list_features``, if they are at hand."""
+    return Q.final_order(A.items(spark, sf).join(list_features(spark, sf) if features is None else features, "qid"))
 
 
 @query("final_order", f"WITH {S.ITEM}, {S.ITEM_Q}, {_ORDERED} SELECT qid, item_id, position FROM ordered")
@@ -354,9 +356,10 @@ def prompt_examples(spark, sf):
       reason NOT LIKE 'signal_above%' AS no_answer, reason, conflict FROM r""",
 )
 def confidence(spark, sf):
-    q = item_features(spark, sf).select("qid", "intent", F.col("refs.clause_numbers").alias("clause_numbers"))
-    lists = ordered_items(spark, sf).select("qid", "position", "score", "semantic", "keyword", "numeric", "code", "clause_number")
-    return Q.confidence(lists, q)
+    # written, as the lists and the questions both need them
+    q = cut_lineage(list_features(spark, sf).select("qid", "intent", F.col("refs.clause_numbers").alias("clause_numbers"), "table_first", "image_first"))
+    lists = ordered_items(spark, sf, q.select("qid", "table_first", "image_first")).select("qid", "position", "score", "semantic", "keyword", "numeric", "code", "clause_number")
+    return Q.confidence(lists, q.select("qid", "intent", "clause_numbers"))
 
 
 _CLIST = "cl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank FROM item WHERE kind = 'clause')"

@@ -34,3 +34,12 @@ def test_mixed_scores_with_features_added_before_the_join(spark):
     items = spark.createDataFrame(rows, "qid int, item_id string, kind string, score double, semantic double, keyword double, snippet string, clause_number string, table_number string, appendix_number string")
     got = [sorted((r["item_id"], r["score"]) for r in rerank.mixed_scores(items.join(d, "qid")).collect()) for d in (q, rerank.with_question_features(q))]
     assert got[0] == got[1] and len(got[0]) == 12
+
+
+def test_is_numeric_agrees_with_the_profile_and_builds_none(spark, one):
+    for text in ("kengligi kamida necha mm", "balandligi qancha", "eni 3,5 m", "aniq talab", "salom haqida", "", None):
+        t = F.lit(text).cast("string")
+        assert one(N.is_numeric(t)) == one(N.query_profile(t)["is_numeric"])
+    q = spark.createDataFrame([("3-jadval bo'yicha talab",)], "question string")
+    for c in (I.classify("question", R.exact_refs("question"))["intent"], I.gates("question")["numeric_requirement"]):
+        assert "unit_hints" not in str(q.select(c.alias("v"))._jdf.queryExecution().analyzed())
