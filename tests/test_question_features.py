@@ -43,3 +43,15 @@ def test_is_numeric_agrees_with_the_profile_and_builds_none(spark, one):
     q = spark.createDataFrame([("3-jadval bo'yicha talab",)], "question string")
     for c in (I.classify("question", R.exact_refs("question"))["intent"], I.gates("question")["numeric_requirement"]):
         assert "unit_hints" not in str(q.select(c.alias("v"))._jdf.queryExecution().analyzed())
+
+
+def test_rerank_scores_with_features_added_before_the_join(spark):
+    q = spark.createDataFrame([(1, "kengligi kamida necha mm"), (2, "1.1-band nima deydi"), (3, None), (4, "")], "qid int, question string")
+    rows = [(i % 4 + 1, f"c{i}", "1.1", f"Detal kengligi kamida {i} mm kerak", 0.1 * i, 0.2, 0.3) for i in range(12)]
+    items = spark.createDataFrame(rows, "qid int, clause_id string, clause_number string, snippet string, hybrid_score double, dense_score double, lexical_score double")
+    got = [rerank.rerank_scores(items.join(d, "qid")) for d in (q, rerank.with_question_features(q))]
+    assert got[0].columns == got[1].columns
+    assert sorted(map(tuple, got[0].select("clause_id", "overlap", "rerank_score").collect())) == sorted(map(tuple, got[1].select("clause_id", "overlap", "rerank_score").collect()))
+    # the profile of a question is built from the questions alone
+    plan = str(rerank.rerank_scores(items.join(rerank.with_question_features(q), "qid"))._jdf.queryExecution().optimizedPlan())
+    assert "unit_hints" not in plan[:plan.index("Join")]
