@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clausespark import constants as K
 from clausespark.functions import refs as R
 from clausespark.functions import text as X
+from clausespark.session import cut_lineage
 from clausespark.sources import html_files
 
 #: What a page adds to an element: its role and the page's running state up to it.
@@ -82,16 +83,20 @@ def page_rows(doc_id, html: str) -> list[tuple]:
     return [(*r, anchors.get(r[1])) for r in rows]
 
 
-def segment(pages: DataFrame) -> DataFrame:
-    """Elements of pages (doc_id, html) with their page-local state; a page is one parsed row, so nothing is shuffled."""
+def segment(pages: DataFrame, *roles: str) -> DataFrame:
+    """Elements of pages (doc_id, html) with their page-local state; a page is one parsed row, so nothing is shuffled.
+
+    The state is that of the whole page; of the elements only those of ``roles`` leave the task, all if none is named.
+    """
     schema = f"{html_files.ELEMENT_SCHEMA.format(key=pages.schema['doc_id'].dataType.simpleString())}, {STATE}"
     names = [*html_files.Element._fields, *[c.split()[0] for c in STATE.split(", ")]]
+    role = names.index("role")
 
     def parse(batches):
         rows = []
         for frame in batches:
             for doc_id, html in zip(frame["doc_id"], frame["html"]):
-                rows += page_rows(doc_id, html or "")
+                rows += [r for r in page_rows(doc_id, html or "") if not roles or r[role] in roles]
                 if len(rows) >= ROWS_TOGETHER:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -233,12 +238,12 @@ def row_search_text(grid: DataFrame, table_info: DataFrame) -> DataFrame:
 
     table_info: doc_id, table_order, code, table_number, section_title, title.
     """
-    own = grid.where("NOT carried")
+    own = cut_lineage(grid.where("NOT carried AND text <> ''"))  # read three times, and cells come from parsed pages
     key = ["doc_id", "table_order"]
-    heads = own.where((F.col("text") != "") & F.col("is_header"))
+    heads = own.where("is_header")
     first = heads.groupBy(*key).agg(F.min("row_index").alias("row_index"))
     names = heads.join(first, [*key, "row_index"]).groupBy(*key, "col_index").agg(F.max("text").alias("head"))
-    v = own.where(F.col("text") != "").join(names, [*key, "col_index"], "left")
+    v = own.join(names, [*key, "col_index"], "left")
     named = F.coalesce(F.lower("head") != F.lower("text"), F.lit(False))
     part = F.when(named, F.concat("head", F.lit(": "), "text")).otherwise(F.concat(F.lit("Ustun "), F.col("col_index").cast("string"), F.lit(": "), "text"))
     g = v.groupBy(*key, "row_index").agg(F.array_sort(F.collect_list(F.struct("col_index", part.alias("p")))).alias("ps"))

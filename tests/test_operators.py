@@ -391,3 +391,17 @@ def test_seeded_search_scores_only_touched_clauses(spark):
     want = [(r["qid"], r["clause_id"], r["dense_score"]) for r in every.collect() if (r["qid"], r["clause_id"]) in touched]
     got = candidates.seeded_dense(questions, clauses, 1000).collect()
     assert sorted((r["qid"], r["id"], r["score"]) for r in got) == sorted(want) and len(want) > 50
+
+
+def test_rows_of_tables_are_made_of_pages_parsed_once(spark):
+    """Cells are read three times and heads of tables once more; only tables leave the parsing task."""
+    page = "<div class='TEXT_HEADER_DEFAULT'>Bob</div><table><tr><th>Nomi</th><td>a</td></tr><tr><td>b</td><td></td></tr></table><div class='w'><table><tr><td>c</td></tr></table></div>"
+    parsed = ingest.segment(spark.createDataFrame([("d", page)], "doc_id string, html string"), "table")
+    assert [r["role"] for r in parsed.collect()] == ["table", "table"]
+    t = ingest.tables(parsed)
+    info = t.select("doc_id", "table_order", F.lit("K").alias("code"), "table_number", "section_title", "title")
+    found = ingest.row_search_text(ingest.cells(t), info.limit(9))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1  # that of ``info``
+    assert {(r["table_order"], r["row_index"]): r["search_text"].split("Qiymatlar: ")[1] for r in found.collect()} == {
+        (1, 1): "Ustun 1: Nomi | Ustun 2: a", (1, 2): "Nomi: b", (2, 1): "Ustun 1: c"
+    }
