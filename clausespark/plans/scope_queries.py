@@ -75,7 +75,7 @@ def scoped_hybrid(spark, sf):
 
 @query("scoped_discovery", _with_asked(_discovery_sql("scoped")).replace(f"{P.BASE},", f"{P.BASE}, {_SCOPED},", 1))
 def scoped_discovery(spark, sf):
-    c, q, s = A.clauses(spark, sf), _library(spark, sf), library_scopes(spark, sf)
+    c, q, s = C.indexed(A.clauses(spark, sf)), _library(spark, sf), library_scopes(spark, sf)
     d = C.discover(q, c, C.hybrid(q.select("qid", "question"), c, scopes=s), s, q.where("qid % 6 = 1"))
     return d.select("qid", "clause_id", r6(F.col("score")).alias("score"))
 
