@@ -83,3 +83,16 @@ def test_queries_of_several_searches_work_clauses_out_once(spark, tables, name,
     monkeypatch.setattr(adapters, "clauses", lambda *_: clauses.withColumn("text", counted.asNondeterministic()("text")))
     assert load().queries[name](spark, "").count() > 0
     assert read.value == clauses.count()
+
+
+def test_seeded_forms_give_the_same_rows(tables, monkeypatch):
+    questions, clauses, _ = tables
+    rows = lambda df: sorted(map(str, df.select("qid", "id", "score", "rank").collect()))
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "BLOCK_ROWS", 0)
+        expected = rows(C.seeded_dense(questions, clauses, 4))
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    found = C.seeded_dense(questions, clauses, 4)
+    assert rows(found) == expected and len(expected) > 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan
