@@ -96,3 +96,23 @@ def test_seeded_forms_give_the_same_rows(tables, monkeypatch):
     assert rows(found) == expected and len(expected) > 10
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "SortMergeJoin" not in plan
+
+
+def test_keyword_forms_give_the_same_rows(spark, tables, monkeypatch):
+    questions, clauses, _ = tables
+    # half of the questions ask for a length, which some clauses state
+    more = [(30, "eshik kengligi kamida 20 mm"), (31, "masofa kamida 3 m bino qavat"), (31, "bino"), (32, "eshik necha sm"), (None, "eshik kamida 20 mm")]
+    questions = questions.unionByName(spark.createDataFrame(more, "qid int, question string"))
+    stated = F.when(F.crc32("text") % 3 == 0, F.concat("text", F.lit(" kengligi kamida 20 mm kerak"))).otherwise(F.col("text"))
+    clauses = clauses.withColumn("text", stated)
+    columns = ("qid", "clause_id", "score", "keyword", "numeric", "rank")
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "BLOCK_ROWS", 0)
+        expected = rows(C.keyword_fallback(questions, clauses, 3))
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    found = C.keyword_fallback(questions, clauses, 3)
+    assert rows(found) == expected and len(expected) > 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert not [x for x in keys if "qid" in x and "clause_id" in x]
